@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
+
 #: Marks the leading bits of monotonically_increasing_id(): the partition's number.
 _PARTITION_SHIFT = 33
 
@@ -73,6 +78,12 @@ def size_bin(size: Column, exact_below: int, per_octave: int) -> Column:
     return F.when(size < exact_below, size).otherwise(F.lit(exact_below) + F.greatest(steps, F.lit(0))).cast("long")
 
 
+def shared(spark: SparkSession, thing: T) -> Callable[[], T]:
+    """Broadcasts an object of bounded size; the function gives it back inside a task, its class with it."""
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(thing))
+    return lambda: pickle.loads(sent.value)
+
+
 def byte_slices(batch: pa.RecordBatch, column: str, most: int = 1 << 22) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of whole rows of a binary column, about ``most`` bytes each (a longer row stands alone).
 

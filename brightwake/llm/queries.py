@@ -7,10 +7,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, packing, sharding, source_mix
+from . import language_id, media, near_dedup, packing, sharding, source_mix, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,11 +19,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def remainder(by: int) -> Column:
+    """crc32 of the id as text, by which rows are held out; a null id counts as empty text."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % by
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    trees = language_id.learn(docs.filter(remainder(3) != 1), "doc_id", "lang", F.col("text"))
+    found = language_id.predict(docs, "doc_id", F.col("text"), trees).withColumnRenamed("id", "doc_id")
+    return found.select("doc_id", (remainder(3) == 1).alias("held_out"), F.col("lang").alias("lang_pred"), "score")
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return packing.pack(docs, "doc_id", packing.byte_tokens(F.col("text"))).withColumnRenamed("id", "doc_id")
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dedup.near_duplicates(table(spark, sf_dir, "documents"), "doc_id", F.col("text"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix(table(spark, sf_dir, "documents"), "doc_id", "source").withColumnRenamed("id", "doc_id")
 
@@ -38,11 +55,22 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.store_text(docs, "doc_id", F.col("text")).withColumnRenamed("id", "doc_id")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    labelled = docs.filter(remainder(5) != 0).select("doc_id", "text").join(labels.select("doc_id", "toxic"), "doc_id")
+    classifier = toxicity.learn(labelled, "doc_id", "toxic", F.col("text"))
+    found = toxicity.score(docs, "doc_id", F.col("text"), classifier).withColumnRenamed("id", "doc_id")
+    return found.select("doc_id", (remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Query] = {
+    "op1_language_id": op1_language_id,
     "op4_packing": op4_packing,
+    "op5_near_dedup": op5_near_dedup,
     "op7_source_mix": op7_source_mix,
     "op8_sharding": op8_sharding,
     "op9_media": op9_media,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLES: dict[str, str] = {}
