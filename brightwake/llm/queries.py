@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, media, near_dedup, packing, sharding, source_mix, toxicity
+from . import language_id, media, near_dedup, packing, quality_rules, secret_scan, sharding, source_mix, toxicity, url_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,6 +31,26 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (remainder(3) == 1).alias("held_out"), F.col("lang").alias("lang_pred"), "score")
 
 
+#: The contract's rules.
+URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
+#: Host words that someone has labelled as unwanted; the mined rules find what goes with them.
+URL_SEEDS = ["casino", "pills", "bets", "spam", "ads"]
+
+
+def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(table(spark, sf_dir, "pages"), "page_id", "url", URL_RULES, URL_SEEDS).withColumnRenamed("id", "page_id")
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    ratios = secret_scan.learn(docs, "doc_id", F.col("text"))
+    found = secret_scan.scan(docs, "doc_id", F.col("text"), ratios)
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        F.col("id").alias("doc_id"), count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(secret_scan.listed(F.col("base")), 256).alias("base_sha256"), secret_scan.listed(F.col("spans")).alias("spans")
+    )
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return packing.pack(docs, "doc_id", packing.byte_tokens(F.col("text"))).withColumnRenamed("id", "doc_id")
@@ -41,6 +61,13 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judge(table(spark, sf_dir, "documents"), "doc_id", F.col("text"))
+    return judged.select(
+        F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", quality_rules.base_failed().alias("base_failed"), quality_rules.kept().alias("kept"), F.col("good").alias("posterior")
+    )
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix(table(spark, sf_dir, "documents"), "doc_id", "source").withColumnRenamed("id", "doc_id")
 
@@ -65,8 +92,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
+    "op2_url_rules": op2_url_rules,
+    "op3_secret_scan": op3_secret_scan,
     "op4_packing": op4_packing,
     "op5_near_dedup": op5_near_dedup,
+    "op6_quality_rules": op6_quality_rules,
     "op7_source_mix": op7_source_mix,
     "op8_sharding": op8_sharding,
     "op9_media": op9_media,
