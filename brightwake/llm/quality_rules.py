@@ -1,8 +1,8 @@
 """Quality rules: weak supervision.
 
 Each rule looks at one measure of a text and votes junk, votes good, or abstains. Expectation-maximisation
-over the table of vote patterns estimates, without labels, how often each rule votes which way on good and
-on junk texts (its two accuracies); the posterior probability of good replaces the demand that a text pass
+over the table of vote patterns estimates, without labels, how often each rule votes which way on good and on junk
+texts of each kind (its accuracies); the posterior probability of good replaces the demand that a text pass
 every rule. The pattern table has at most 3 ** (number of rules) rows, whatever the corpus.
 
 All measures are SQL functions over whole texts. Defined results: a null text has no words; the measures of
@@ -11,7 +11,9 @@ an empty text are 0; an empty table keeps the starting estimates.
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -96,52 +98,67 @@ def vote(junk: Column, good: Column) -> Column:
     return F.when(junk, JUNK).when(good, GOOD).otherwise(ABSTAIN)
 
 
-#: Each rule's vote, by its measure; what lies between the two bounds abstains.
-RULES: dict[str, Column] = {
-    "length": vote(F.col("n_words") < 10, F.col("n_words") >= 40),
-    "word_length": vote((share("word_chars", "n_words") < 2.5) | (share("word_chars", "n_words") > 13), share("word_chars", "n_words").between(3, 10)),
-    "symbols": vote(share("n_symbols", "n_words") > 0.25, share("n_symbols", "n_words") < 0.05),
-    "dup_lines": vote((F.col("n_dup_lines") >= 2) & (share("n_dup_lines", "n_lines") > 0.4), (F.col("n_lines") >= 3) & (share("n_dup_lines", "n_lines") < 0.1)),
-    "repeats": vote(share("n_repeat_words", "n_words") > 0.3, (F.col("n_words") >= 40) & (share("n_repeat_words", "n_words") < 0.1)),
-    "variety": vote((F.col("n_words") >= 40) & (share("n_distinct", "n_words") < 0.12), (F.col("n_words") >= 40) & (share("n_distinct", "n_words") > 0.25)),
-    "capitals": vote(share("n_upper", "n_letters") > 0.5, (F.col("n_letters") >= 40) & (share("n_upper", "n_letters") < 0.2)),
-    "bangs": vote(share("n_bangs", "n_words") > 0.25, (F.col("n_words") >= 10) & (share("n_bangs", "n_words") < 0.05)),
-    "letters": vote(share("n_letters", "word_chars") < 0.55, (F.col("n_words") >= 10) & (share("n_letters", "word_chars") > 0.85)),
-}
+def rules() -> dict[str, Column]:
+    """Each rule's vote, by its measure; what lies between the two bounds abstains."""
+    return {
+        "length": vote(F.col("n_words") < 10, F.col("n_words") >= 40),
+        "word_length": vote((share("word_chars", "n_words") < 2.5) | (share("word_chars", "n_words") > 13), share("word_chars", "n_words").between(3, 10)),
+        "symbols": vote(share("n_symbols", "n_words") > 0.25, share("n_symbols", "n_words") < 0.05),
+        "dup_lines": vote((F.col("n_dup_lines") >= 2) & (share("n_dup_lines", "n_lines") > 0.4), (F.col("n_lines") >= 3) & (share("n_dup_lines", "n_lines") < 0.1)),
+        "repeats": vote(share("n_repeat_words", "n_words") > 0.3, (F.col("n_words") >= 40) & (share("n_repeat_words", "n_words") < 0.1)),
+        "variety": vote((F.col("n_words") >= 40) & (share("n_distinct", "n_words") < 0.12), (F.col("n_words") >= 40) & (share("n_distinct", "n_words") > 0.25)),
+        "capitals": vote(share("n_upper", "n_letters") > 0.5, (F.col("n_letters") >= 40) & (share("n_upper", "n_letters") < 0.2)),
+        "bangs": vote(share("n_bangs", "n_words") > 0.25, (F.col("n_words") >= 10) & (share("n_bangs", "n_words") < 0.05)),
+        "letters": vote(share("n_letters", "word_chars") < 0.55, (F.col("n_words") >= 10) & (share("n_letters", "word_chars") > 0.85)),
+    }
 
 
 class Estimates:
-    """Share of good texts, and for each rule the chances of its votes on junk and on good texts."""
+    """The share of good texts and of each kind of junk, and for each of them how often each rule's votes say good.
 
-    #: Weight of the starting estimates, as a share of the rows: keeps the two classes what their names say.
-    ANCHOR = 0.02
+    There is a kind of junk for each rule, begun from the texts on which that rule votes junk: junk comes in
+    kinds that other rules find nothing wrong with, which a single junk class would call good. An abstention
+    says nothing about the class; only the votes that were cast count.
+    """
+
+    #: Weight of the starting estimates, as a share of the votes of a class; it keeps the classes what their names say.
+    ANCHOR = 0.2
+    GOOD, OWN, OTHER = 0.999, 0.1, 0.9
 
     def __init__(self, rules: int):
-        self.prior = 0.85
-        self.start = ((0.3, 0.3, 0.4), (0.28, 0.02, 0.7))  # junk, good; by vote
-        self.chance = [[list(c) for c in self.start] for _ in range(rules)]
-
-    def posterior(self, votes: tuple[int, ...]) -> float:
-        odds = math.log(self.prior / (1 - self.prior)) + sum(math.log(c[1][v] / c[0][v]) for c, v in zip(self.chance, votes, strict=True))
-        return 1 / (1 + math.exp(-max(-700.0, min(700.0, odds))))
-
-    def fit(self, patterns: dict[tuple[int, ...], int], rounds: int = 60) -> Estimates:
-        """Starts from any junk vote meaning junk."""
-        rows = sum(patterns.values())
-        good = {p: 0.05 if JUNK in p else 0.95 for p in patterns}
+        self.start = [[self.GOOD] * rules] + [[self.OWN if j == k else self.OTHER for j in range(rules)] for k in range(rules)]
+        self.says_good = [list(x) for x in self.start]
+        self.shares = [0.85] + [0.15 / rules] * rules
+
+    def weights(self, kind: int) -> list[list[float]]:
+        """For each rule, the logarithm of the chance of its vote: abstain, junk, good."""
+        return [[0.0, math.log(1 - x), math.log(x)] for x in self.says_good[kind]]
+
+    def responsibilities(self, votes: tuple[int, ...]) -> list[float]:
+        """The posterior probability of good, then of each kind."""
+        logs = [math.log(self.shares[k]) + sum(w[v] for w, v in zip(self.weights(k), votes, strict=True)) for k in range(len(self.shares))]
+        top = max(logs)
+        each = [math.exp(x - top) for x in logs]
+        return [x / sum(each) for x in each]
+
+    def fit(self, patterns: dict[tuple[int, ...], int], rounds: int = 40) -> Estimates:
+        rules, rows = len(self.says_good[0]), sum(patterns.values())
+
+        def begun(votes: tuple[int, ...]) -> list[float]:
+            against = votes.count(JUNK)
+            return [0.05 if against else 0.95] + [(0.95 * (v == JUNK) / against) if against else 0.05 / rules for v in votes]
+
+        held = {p: begun(p) for p in patterns}
         for _ in range(rounds if rows else 0):
-            weight = self.ANCHOR * rows
-            mass = sum(n * good[p] for p, n in patterns.items())
-            self.prior = min(0.999, max(0.001, (mass + 0.85 * weight) / (rows + weight)))
-            for j, chance in enumerate(self.chance):
-                for c in (0, 1):
-                    seen = [weight * x for x in self.start[c]]
-                    for p, n in patterns.items():
-                        seen[p[j]] += n * (good[p] if c else 1 - good[p])
-                    chance[c] = [x / sum(seen) for x in seen]
-            now = {p: self.posterior(p) for p in patterns}
-            moved = max(abs(now[p] - good[p]) for p in patterns)
-            good = now
+            for k in range(rules + 1):
+                self.shares[k] = (sum(n * held[p][k] for p, n in patterns.items()) + 1) / (rows + rules + 1)
+                for j in range(rules):
+                    good, junk = (sum(n * held[p][k] for p, n in patterns.items() if p[j] == v) for v in (GOOD, JUNK))
+                    anchor = self.ANCHOR * (good + junk) + 1
+                    self.says_good[k][j] = (good + anchor * self.start[k][j]) / (good + junk + anchor)
+            now = {p: self.responsibilities(p) for p in patterns}
+            moved = max(abs(now[p][0] - held[p][0]) for p in patterns)
+            held = now
             if moved < 1e-6:
                 break
         return self
@@ -149,15 +166,19 @@ class Estimates:
 
 def judge(df: DataFrame, id_col: str, text: Column) -> DataFrame:
     """Per row: id, text_hash, the measures, votes by rule, and good, the posterior probability."""
-    measured = durable(measures(df, id_col, text)).withColumns({f"vote_{k}": v for k, v in RULES.items()})
-    votes = [f"vote_{k}" for k in RULES]
+    measured = durable(measures(df, id_col, text)).withColumns({f"vote_{k}": v for k, v in rules().items()})
+    votes = [f"vote_{k}" for k in rules()]
     patterns = {tuple(r[:-1]): r[-1] for r in measured.groupBy(votes).agg(F.count(F.lit(1))).collect()}
     found = Estimates(len(votes)).fit(patterns)
-    odds = F.lit(math.log(found.prior / (1 - found.prior)))
-    for name, (junk, good) in zip(votes, found.chance, strict=True):
-        weights = F.array(*(F.lit(math.log(g / j)) for j, g in zip(junk, good, strict=True)))
-        odds = odds + F.get(weights, F.col(name))
-    return measured.withColumn("good", 1 / (1 + F.exp(-odds)))
+
+    def chance(kind: int) -> Column:
+        logs = F.lit(math.log(found.shares[kind]))
+        for w, name in zip(found.weights(kind), votes, strict=True):
+            logs = logs + F.get(F.array(*map(F.lit, w)), F.col(name))
+        return F.exp(logs)
+
+    each = [chance(k) for k in range(len(found.shares))]
+    return measured.withColumn("good", each[0] / functools.reduce(operator.add, each))
 
 
 def base_failed() -> Column:
