@@ -1,18 +1,18 @@
 """MinHash near-dedup with odd sketches.
 
-1. Each text becomes the set of its distinct 5-word shingles, as 64-bit hashes, and from it: 128 MinHash
-   samples, cut into 32 bands of 4; an odd sketch, the parity bitmap of the samples folded into 512 bits;
-   and a 128-bit fingerprint of the set. Documents with equal sets form one class at once, whatever their
+1. Each text becomes the set of its distinct 5-word shingles, as 64-bit hashes, and from it: 256 MinHash
+   samples, of which 128 make 32 bands of 4; an odd sketch, the parity bitmap of all samples folded into
+   1024 bits; and a 128-bit fingerprint of the set. Documents with equal sets form one class at once, whatever their
    number; all that follows sees one row for each class.
 2. Classes that share a band are candidates. In each bucket the hubs (the lowest and the highest class)
    stand against all members, which gives rows in proportion to the bucket, not to its square. A pair goes
    on if the size bound and the odd sketches allow 75 %: the population count of the two bitmaps' XOR
-   estimates the similarity, with a margin of more than five standard errors. The full sets decide.
+   estimates the similarity, with a margin of five standard errors. The full sets decide.
 3. Connected components of the confirmed links. Buckets that still hold more than one component then set
-   each class outside the hub's component against all classes of other components in the bucket; the
-   comparison of bitmaps happens inside the join, which gives out only the pairs that pass it. Confirmed
-   links join components again. So no pair of a bucket goes unseen, except inside one component, where a
-   link changes nothing.
+   each class outside the hub's component against all classes of other components in the bucket: two
+   semi-joins keep the classes whose bitmaps allow a link at all, and a join whose condition compares the
+   bitmaps and then the full sets gives out confirmed links only. They join components again. So no pair of
+   a bucket goes unseen, except inside one component, where a link changes nothing.
 
 A pair at 75 % shares no band with a probability of (1 - 0.75 ** 4) ** 32, about 5e-6.
 
@@ -35,10 +35,10 @@ from pyspark.sql import functions as F
 from .common import byte_slices, durable
 
 WORDS, PERCENT = 5, 75
-BANDS, ROWS, SKETCH_WORDS = 32, 4, 8
-SAMPLES, SKETCH_BITS = BANDS * ROWS, SKETCH_WORDS * 64
+BANDS, ROWS, SAMPLES, SKETCH_WORDS = 32, 4, 256, 16
+SKETCH_BITS = SKETCH_WORDS * 64
 #: Lowest estimate that goes on to the full sets.
-LEAST_ESTIMATE = 0.52
+LEAST_ESTIMATE = 0.6
 
 _rng = np.random.default_rng(20240501)
 _BYTE = _rng.integers(1, 1 << 64, 256, dtype=np.uint64, endpoint=False)
@@ -122,7 +122,7 @@ def sketches(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
             samples[i, lo:hi] = np.minimum.reduceat(part * _SEEDS[i], own)
     keys = np.zeros((BANDS, n), np.uint64)
     for j in range(ROWS):
-        keys = mix(keys * _BASE + samples[j::ROWS])
+        keys = mix(keys * _BASE + samples[j : BANDS * ROWS : ROWS])
     keys = mix(keys + np.arange(BANDS, dtype=np.uint64)[:, None] * _M2)
     place = mix(samples + np.arange(SAMPLES, dtype=np.uint64)[:, None] * _M1) % np.uint64(SKETCH_BITS)
     odd = np.zeros((SKETCH_WORDS, n), np.uint64)
@@ -151,24 +151,13 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _set_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The sorted set of each text, as bytes."""
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The set of each text, sorted by its hashes as unsigned numbers."""
     for batch in batches:
         for a, b, data, offsets in byte_slices(batch, "data", 1 << 21):
             values, bounds = shingle_sets(data, offsets)
-            sets = [values[bounds[i] : bounds[i + 1]].tobytes() for i in range(b - a)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sets, pa.binary())], names=["node", "set"])
-
-
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs whose full sets reach the similarity."""
-    for batch in batches:
-        keep = []
-        for a, b in zip(batch.column(2), batch.column(3), strict=True):
-            x, y = np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64)
-            both = len(x) + len(y) - len(np.union1d(x, y))
-            keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
-        yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
+            sets = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), sets], names=["node", "set"])
 
 
 def text_hash(text: Column) -> Column:
@@ -184,18 +173,20 @@ def allowed(left: str, right: str) -> Column:
     return (100 * small >= PERCENT * large) & (apart <= most)
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of the distinct pairs (a, b) whose full sets reach the similarity. Reads only their texts."""
-    pairs = durable(pairs)
-    needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = classes.join(needed, "node", "left_semi").select("node", "id", "text_hash")
+def alike(left: str, right: str) -> Column:
+    """Whether two full sets reach the similarity."""
+    both = F.size(F.array_intersect(f"{left}.set", f"{right}.set"))
+    return 100 * both >= PERCENT * (F.size(f"{left}.set") + F.size(f"{right}.set") - both)
+
+
+def full_sets(nodes: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, set) of the distinct nodes, from their texts alone."""
+    wanted = classes.join(nodes.distinct(), "node", "left_semi").select("node", "id", "text_hash")
     # A sieve of 2 ** 20 places at most keeps most other texts out of the shuffle.
     place = F.pmod(F.xxhash64("id", "text_hash"), F.lit(1 << 20))
     near = docs.withColumn("place", place).join(F.broadcast(wanted.select(place.alias("place")).distinct()), "place", "left_semi")
     texts = near.join(wanted, near["id"].eqNullSafe(wanted["id"]) & (near["text_hash"] == wanted["text_hash"])).select("node", "data").dropDuplicates(["node"])
-    sets = durable(texts.mapInArrow(_set_bytes, "node long, set binary"))
-    one, two = sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), sets.select(F.col("node").alias("b"), F.col("set").alias("set_b"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "set_a", "set_b").mapInArrow(_confirm, "a long, b long")
+    return durable(texts.mapInArrow(_sets, "node long, set array<long>"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -248,17 +239,23 @@ def near_duplicates(df: DataFrame, id_col: str, text: Column) -> DataFrame:
         return pairs.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node")).filter(allowed("x", "y")).select("a", "b")
 
     stars = shared.select(F.col("hub").alias("a"), F.col("node").alias("b")).union(shared.select(F.col("node").alias("a"), F.col("top").alias("b"))).filter("a <> b").distinct()
-    links = durable(confirmed(judged(stars), classes, docs))
+    pairs = durable(judged(stars))
+    sets = full_sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), classes, docs)
+    x, y = sets.alias("x"), sets.alias("y")
+    links = durable(pairs.join(x, F.col("a") == F.col("x.node")).join(y, (F.col("b") == F.col("y.node")) & alike("x", "y")).select("a", "b"))
     roots = durable(components(links))
 
     # Buckets of more than one component: what isn't in the hub's component against the other components.
     named = shared.join(roots, "node", "left").select("key", "hub", "node", F.coalesce("root", "node").alias("root"))
     mixed = named.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.max(F.when(F.col("node") == F.col("hub"), F.col("root"))).alias("hub_root")).filter("r0 <> r1")
-    left_over = durable(named.join(mixed.select("key", "hub_root"), "key").join(light, "node"))
+    left_over = durable(named.join(mixed.select("key", "hub_root"), "key").select("key", "node", "root", "hub_root").join(light, "node"))
     x, y = left_over.filter("root <> hub_root").alias("x"), left_over.alias("y")
-    apart = (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.hub_root")) | (F.col("x.node") < F.col("y.node")))
-    more = x.join(y, (F.col("x.key") == F.col("y.key")) & apart & allowed("x", "y")).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    late = durable(confirmed(more, classes, docs))
+    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & allowed("x", "y")
+    near = durable(x.join(y, apart, "left_semi").union(y.join(x, apart, "left_semi")).distinct())
+    near = near.join(full_sets(near.select("node"), classes, docs), "node")
+    x, y = near.filter("root <> hub_root").alias("x"), near.alias("y")
+    once = (F.col("y.root") == F.col("y.hub_root")) | (F.col("x.node") < F.col("y.node"))
+    late = durable(x.join(y, apart & once & alike("x", "y")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
     if not late.isEmpty():
         roots = durable(components(links.union(late)))
 
