@@ -84,8 +84,7 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    labelled = docs.filter(remainder(5) != 0).select("doc_id", "text").join(labels.select("doc_id", "toxic"), "doc_id")
-    classifier = toxicity.learn(labelled, "doc_id", "toxic", F.col("text"))
+    classifier = toxicity.learn(docs, labels.filter(remainder(5) != 0), "doc_id", "toxic", F.col("text"))
     found = toxicity.score(docs, "doc_id", F.col("text"), classifier).withColumnRenamed("id", "doc_id")
     return found.select("doc_id", (remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 

@@ -6,7 +6,7 @@ r = log((p + a) / |p|) - log((q + a) / |q|) of its smoothed document counts in b
 n-grams that tell most (by the likelihood-ratio statistic of their counts) are kept, each scaled by its r,
 and Spark ML fits a regularised logistic regression over them.
 
-Learning reads about ``docs_per_class`` whole labelled documents of each class, chosen by a hash of their
+Learning reads at most ``docs_per_class`` whole labelled documents of each class, chosen by a hash of their
 ids; the intercept is then moved to the classes' true shares. Scoring reads every text whole.
 
 Defined results: null texts count as empty; an empty text gets the score of a document without features.
@@ -105,14 +105,19 @@ class Classifier:
         self.lexicon, self.weights, self.bias = lexicon, weights, bias
 
 
-def learn(df: DataFrame, id_col: str, label_col: str, text: Column, docs_per_class: int = 2000, features: int = 4096, smooth: float = 1.0, ridge: float = 1e-3) -> Classifier:
-    rows = df.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"), plain(text).alias("data")).filter("label in (0, 1)")
-    sizes = {r[0]: r[1] for r in rows.groupBy("label").agg(F.count(F.lit(1))).collect()}
+def learn(docs: DataFrame, labels: DataFrame, id_col: str, label_col: str, text: Column, docs_per_class: int = 2000, features: int = 4096, smooth: float = 1.0, ridge: float = 1e-3) -> Classifier:
+    """From the texts of ``docs`` and the 0 and 1 labels of ``labels``, which share ``id_col``.
+
+    The sample is chosen among the labels alone, so only its texts are read into the join; it is broadcast,
+    at most ``docs_per_class`` ids of each class.
+    """
+    marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).filter("label in (0, 1) and id is not null")
+    sizes = {r[0]: r[1] for r in marks.groupBy("label").agg(F.count(F.lit(1))).collect()}
     if len(sizes) < 2:
         return Classifier(None, np.zeros(0), {0: -math.inf, 1: math.inf}[next(iter(sizes), 0)])
-    share = F.when(F.col("label") == 1, min(1.0, docs_per_class / sizes[1])).otherwise(min(1.0, docs_per_class / sizes[0]))
-    place = F.pmod(F.xxhash64("id", F.lit(2)), F.lit(1 << 30)) / float(1 << 30)
-    sample = durable(rows.filter(place < share).select("label", "data"))
+    chosen = [marks.filter(F.col("label") == k).orderBy(F.xxhash64("id", F.lit(2)), "id").limit(docs_per_class) for k in (0, 1)]
+    texts = docs.select(F.col(id_col).alias("id"), plain(text).alias("data"))
+    sample = durable(texts.join(F.broadcast(chosen[0].union(chosen[1])), "id").select("label", "data"))
     taken = {r[0]: r[1] for r in sample.groupBy("label").agg(F.count(F.lit(1))).collect()}
     if len(taken) < 2:
         return Classifier(None, np.zeros(0), math.log(sizes[1] / sizes[0]))
