@@ -137,7 +137,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str, label_col: str, text:
     if not len(code):
         return Classifier(None, np.zeros(0), math.log(sizes[1] / sizes[0]))
     lexicon = Lexicon(code[order])
-    kept = shared(df.sparkSession, lexicon)
+    kept = shared(docs.sparkSession, lexicon)
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = kept()
