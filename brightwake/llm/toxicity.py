@@ -105,7 +105,7 @@ class Classifier:
         self.lexicon, self.weights, self.bias = lexicon, weights, bias
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str, label_col: str, text: Column, docs_per_class: int = 2000, features: int = 4096, smooth: float = 1.0, ridge: float = 1e-3) -> Classifier:
+def learn(docs: DataFrame, labels: DataFrame, id_col: str, label_col: str, text: Column, docs_per_class: int = 2000, features: int = 8192, smooth: float = 1.0, ridge: float = 1e-4) -> Classifier:
     """From the texts of ``docs`` and the 0 and 1 labels of ``labels``, which share ``id_col``.
 
     The sample is chosen among the labels alone, so only its texts are read into the join; it is broadcast,
