@@ -178,7 +178,7 @@ WEBHOOK = "struct<title:string,state:string,message:string,evalMatches:array<str
 def webhook_messages(rows: DataFrame, text: str = "text") -> DataFrame:
     """The notice that an alert's body makes: title and state, the message, three measured values at most."""
     p = F.from_json(text, WEBHOOK)
-    values = F.transform(F.slice(F.coalesce(p["evalMatches"], F.array().cast("array<struct<metric:string,value:double>>")), 1, 3), lambda m: F.concat(F.lit("• "), m["metric"], F.lit(": "), F.format_number(m["value"], "0.##")))
+    values = F.transform(F.slice(F.coalesce(p["evalMatches"], F.array().cast("array<struct<metric:string,value:double>>")), 1, 3), lambda m: F.concat(F.lit("• "), m["metric"], F.lit(": "), m["value"].cast("string")))
     summary = F.transform(F.slice(F.coalesce(p["alerts"], F.array().cast("array<struct<labels:map<string,string>,annotations:map<string,string>>>")), 1, 3), lambda a: F.concat(F.lit("- "), F.coalesce(F.try_element_at(a["annotations"], F.lit("summary")), F.try_element_at(a["labels"], F.lit("alertname")), F.lit("?"))))
     body = F.concat_ws("\n", F.concat_ws(" ", F.upper(F.coalesce(p["state"], F.lit("alerting"))), F.coalesce(p["title"], F.lit("Alert"))), p["message"], values, summary)
     return rows.withColumn("notice", body).withColumn("key", F.sha2(F.col("notice"), 256))
