@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brightwake.functions import units
 from brightwake.sources import points as P
 
-from . import alerts, tools
+from . import alerts, panels, tools
 
 Query = Callable[[SparkSession, str], DataFrame]
 WITHIN = "30 days"
@@ -52,6 +55,30 @@ def alerts_firing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["alerts_firing"] = alerts_firing
 
+
+def panels_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = P.events(spark, sf_dir)
+    shown = [replace(p, within="30 days") for p in panels.PANELS]
+    found = panels.latest_panels(P.boat_points(rows), F.lit(rows.agg(F.max("ts")).first()[0]), shown)
+    return found.select("panel", F.round("value", 4).alias("value"))
+
+
+def panels_windowed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The windowed means of all panels over the boat's points, in half-hour windows."""
+    rows = P.events(spark, sf_dir)
+    points, now = P.boat_points(rows), F.lit(rows.agg(F.max("ts")).first()[0])
+    own = [replace(p, within="30 days", every="30 minutes", filled=False) for p in panels.PANELS if p.every and p.shape == "mean" and p.field == "value"]
+    each = [panels.panel(points, p, now).select(F.lit(p.name).alias("panel"), F.date_format("time", "yyyy-MM-dd HH:mm").alias("closed"), F.round("value_double", 6).alias("value")) for p in own]
+    return functools.reduce(DataFrame.unionByName, each)
+
+
+def display_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = units.in_display_units(P.boat_points(P.events(spark, sf_dir)))
+    return rows.select("event_id", "unit", F.round("display_value", 6).alias("value"))
+
+
+QUERIES |= {"panels_latest": panels_latest, "panels_windowed": panels_windowed, "display_units": display_units}
+
 _LIST = lambda xs: "[" + ", ".join(f"'{x}'" if isinstance(x, str) else repr(x) for x in xs) + "]"
 _N, _T = len(P.BOAT), len(P.TEXTS)
 _PTS = (
@@ -114,4 +141,7 @@ ORACLES: dict[str, str] = {
     + ", ".join(f"('{s}', '{n}', CAST({a} AS DOUBLE), CAST({b} AS DOUBLE), '{d}')" for s, n, a, b, d in P.BUOYS)
     + ") AS v(station, name, lat, lon, distance)) USING (station) GROUP BY ALL",
     "alerts_firing": f"{_PTS}, rules AS (SELECT * FROM (VALUES {', '.join(f'''('{r.uid}', '{r.measurement}', '{r.test}', CAST({r.limit} AS DOUBLE), '{r.severity}')''' for r in alerts.THRESHOLDS)}) AS v(uid, m, test, lim, severity)), l AS (SELECT m, arg_max(v, time) AS v FROM r GROUP BY m) SELECT uid, severity, round(v, 4) AS value FROM rules JOIN l USING (m) WHERE CASE test WHEN '<' THEN v < lim WHEN '<=' THEN v <= lim WHEN '>' THEN v > lim ELSE v >= lim END",
+    "panels_latest": f"{_PTS}, s AS (SELECT * FROM (VALUES {', '.join(f"('{p.name}', '{p.measurement}', CAST({p.factor!r} AS DOUBLE), {str(p.shape == 'alive').lower()})" for p in panels.PANELS if p.shape in ('last', 'alive') and p.field in ('', 'value'))}) AS x(panel, m, factor, alive)), l AS (SELECT m, arg_max(v, time) AS v FROM r GROUP BY m) SELECT panel, round(CASE WHEN alive THEN 1.0 ELSE v * factor END, 4) AS value FROM s JOIN l USING (m)",
+    "panels_windowed": f"{_PTS}, s AS (SELECT * FROM (VALUES {', '.join(f"('{p.name}', '{p.measurement}', CAST({p.factor!r} AS DOUBLE))" for p in panels.PANELS if p.every and p.shape == 'mean' and p.field == 'value')}) AS x(panel, m, factor)) SELECT panel, strftime(time_bucket(INTERVAL 30 MINUTE, time) + INTERVAL 30 MINUTE, '%Y-%m-%d %H:%M') AS closed, round(avg(v * factor), 6) AS value FROM s JOIN r USING (m) GROUP BY ALL",
+    "display_units": f"WITH p AS (SELECT event_id, list_extract({_LIST([b[0] for b in P.BOAT])}, CAST(event_id % {_N} AS BIGINT) + 1) AS m, value * CAST(list_extract({_LIST([b[1] for b in P.BOAT])}, CAST(event_id % {_N} AS BIGINT) + 1) AS DOUBLE) + CAST(list_extract({_LIST([b[2] for b in P.BOAT])}, CAST(event_id % {_N} AS BIGINT) + 1) AS DOUBLE) AS v FROM events), u AS (SELECT * FROM (VALUES {', '.join(f"('{m}', CAST({f} AS DOUBLE), CAST({o} AS DOUBLE), '{n}')" for m, f, o, n, _ in units.DISPLAY_UNITS)}) AS x(m, f, o, unit)) SELECT event_id, unit, round(v * coalesce(f, 1) + coalesce(o, 0), 6) AS value FROM p LEFT JOIN u USING (m)",
 }
