@@ -236,3 +236,52 @@ def boat_mode(wind_direction: Column, cog: Column) -> Column:
 def sail_configuration(main: Column, jib: Column, spinnaker: Column) -> Column:
     worn = F.concat_ws(" + ", main, F.when(jib != "none", jib), F.when(spinnaker != "none", spinnaker))
     return F.when(worn == "", "None set").otherwise(worn)
+
+
+def sea_state(pitch: Column, roll: Column, wave_height: Column) -> Column:
+    """By three limits that each add to a score."""
+    score = F.when(pitch > 20, 3).otherwise(0) + F.when(roll > 25, 3).otherwise(0) + F.when(wave_height > 1.5, 2).otherwise(0)
+    return below(score, [(3, "calm"), (6, "moderate")], "rough")
+
+
+def sea_state_graded(pitch: Column, roll: Column, wave_height: Column) -> Column:
+    """By grades of each motion; the other published form."""
+
+    def grade(x: Column, bounds: list[tuple[float, int]], most: int) -> Column:
+        out = F.lit(most)
+        for bound, points in reversed(bounds):
+            out = F.when(x < bound, points).otherwise(out)
+        return out
+
+    score = grade(pitch, [(10, 0), (15, 1), (20, 2)], 3) + grade(roll, [(8, 0), (15, 1), (25, 2)], 3) + grade(wave_height, [(0.5, 0), (1.5, 1)], 2)
+    return F.when(score <= 2, "calm").when(score <= 4, "moderate").otherwise("rough")
+
+
+def adjusted_sails(plan: Column, heel: Column, sea: Column, efficiency: Column) -> Column:
+    """A plan's text with what heel, sea and a poor ratio to the polar ask for."""
+    return F.concat_ws("; ", plan, F.when(heel > 22, "reduce sail"), F.when(sea == "rough", "reef the main"), F.when(efficiency < 0.85, "check the configuration against the polar"))
+
+
+# Normal limits in display units, (measurement, lowest or highest allowed, critical, whether low is bad).
+LIMITS = [("roll", 30.0, 40.0, False), ("pitch", 15.0, 20.0, False), ("tws", 30.0, 40.0, False), ("aws", 35.0, 45.0, False), ("cpu_temperature", 80.0, 85.0, False), ("house_voltage", 12.0, 11.5, True), ("battery_soc", 20.0, 10.0, True)]
+
+
+def limit_state(name: Column, value: Column) -> Column:
+    """ok, warn or critical by the table of limits; null for names that it lacks. Angles count by size."""
+    out = F.lit(None).cast("string")
+    for key, warn, critical, low in LIMITS:
+        x = F.abs(value) if key in ("roll", "pitch") else value
+        state = F.when(x < critical, "critical").when(x < warn, "warn") if low else F.when(x > critical, "critical").when(x > warn, "warn")
+        out = F.when(name == key, state.otherwise("ok")).otherwise(out)
+    return out
+
+
+RINGS = [(0.2, "0.2 nm"), (0.5, "0.5 nm"), (1.0, "1 nm")]
+
+
+def ring(miles: Column) -> Column:
+    """The innermost distance ring that a mark lies in; null outside all."""
+    out = F.lit(None).cast("string")
+    for bound, label in reversed(RINGS):
+        out = F.when(miles < bound, label).otherwise(out)
+    return out

@@ -72,8 +72,8 @@ def panel(points: DataFrame, spec: Panel, asof: Column, dashboard: str = "6 hour
     known = set(points.columns)
     s = s._with(s.df.withColumns({k: F.try_element_at("tags", F.lit(k)) for k in spec.by if k not in known}))
     if spec.shape == "pivot":
-        last = s.group(*spec.by, "field").last()
-        return Series(last, value="value_double").pivot(list(spec.by), "field", fields)
+        rows = s.df if "time" in spec.by else s.group(*spec.by, "field").last()
+        return Series(rows, value="value_double").pivot(list(spec.by), "field", fields)
     if spec.factor != 1.0:
         s = s.map(F.col("value_double") * spec.factor)
     if spec.shape == "rows":

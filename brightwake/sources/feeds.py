@@ -6,7 +6,7 @@ that can't be read are null, never an error.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -220,3 +220,36 @@ def newest(rows: DataFrame, n: int, time: str, by: list[str] | None = None) -> D
     """A bounded queue: the n newest rows of each group."""
     w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(F.desc(time))
     return rows.withColumn("__rank", F.row_number().over(w)).filter(F.col("__rank") <= n).drop("__rank")
+
+
+# ---- race events and metrics as points
+
+RACE_PATHS = {"/api/sail": "regatta.sails", "/api/helmsman": "regatta.helmsman", "/api/start_line": "regatta.start_line", "/api/event": "regatta.events", "/api/timer": "regatta.timer"}
+
+
+def race_events(rows: DataFrame, path: str = "path", body: str = "body", time: str = "time") -> DataFrame:
+    """Posted bodies as points: each member of the JSON object is a field of the path's measurement; ``type`` and ``point`` are tags."""
+    names = F.create_map(*(F.lit(x) for kv in RACE_PATHS.items() for x in kv))
+    members = F.from_json(body, "map<string,string>")
+    tags = F.map_filter(members, lambda k, v: k.isin("type", "point") & v.isNotNull())
+    one = rows.filter(names[F.col(path)].isNotNull() & members.isNotNull()).select(F.col(time).alias("time"), names[F.col(path)].alias("measurement"), tags.alias("tags"), F.explode(F.map_filter(members, lambda k, v: ~k.isin("type", "point") & v.isNotNull())).alias("field", "v"))
+    truth = F.when(F.col("v").isin("true", "false"), F.col("v") == "true")
+    return one.select("time", "measurement", "field", F.col("v").try_cast("double").alias("value_double"), F.when(F.col("v").try_cast("double").isNull() & truth.isNull(), F.col("v")).alias("value_string"), truth.alias("value_boolean"), F.lit(None).cast("string").alias("source"), "tags")
+
+
+def long_form(rows: DataFrame, measurement: str, fields: list[str], time: str = "time") -> DataFrame:
+    """Wide numeric rows, such as a host's metrics, as points: a row for each field with a value."""
+    wide = rows.select(F.col(time).alias("time"), *(F.col(f).cast("double").alias(f) for f in fields))
+    return wide.unpivot(["time"], fields, "field", "value_double").filter("value_double is not null").withColumn("measurement", F.lit(measurement))
+
+
+def merged_tables(cells: DataFrame, by: list[str]) -> DataFrame:
+    """The cells of :func:`annotated_csv` folded to one map for each table, a later row over an earlier one."""
+    last = cells.groupBy(*by, "column").agg(F.max_by("value", "row").alias("value"))
+    return last.groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("column", "value")))).alias("object"))
+
+
+def host_files(spark: SparkSession, path: str, station: str = r"([^/]+)\.txt$") -> DataFrame:
+    """Whole text files, the station by the file's name."""
+    files = spark.read.text(path, wholetext=True)
+    return files.select(F.regexp_extract(F.input_file_name(), station, 1).alias("station"), F.col("value").alias("text"))
