@@ -9,8 +9,8 @@
    on if the size bound and the odd sketches allow 75 %: the population count of the two bitmaps' XOR
    estimates the similarity, with a margin of five standard errors. The full sets decide.
 3. Connected components of the confirmed links. Buckets that still hold more than one component then set
-   each class outside the hub's component against all classes of other components in the bucket: two
-   semi-joins keep the classes whose bitmaps allow a link at all, and a join whose condition compares the
+   each class outside the hub's component against all classes of other components in the bucket: a
+   semi-join keeps the classes whose bitmaps allow a link at all, and a join whose condition compares the
    bitmaps and then the full sets gives out confirmed links only. They join components again. So no pair of
    a bucket goes unseen, except inside one component, where a link changes nothing.
 
@@ -40,6 +40,9 @@ SKETCH_BITS = SKETCH_WORDS * 64
 #: Lowest estimate that goes on to the full sets.
 LEAST_ESTIMATE = 0.6
 
+#: The component steps spread over so many tasks that each has about this many edges.
+EDGES_A_TASK = 100_000
+
 _rng = np.random.default_rng(20240501)
 _BYTE = _rng.integers(1, 1 << 64, 256, dtype=np.uint64, endpoint=False)
 _BYTE[65:91] = _BYTE[97:123]  # A-Z count as a-z
@@ -201,15 +204,17 @@ def components(edges: DataFrame) -> DataFrame:
     def fingerprint(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
-    now = durable(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
+    first = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v")
+    parts = max(2, -(-edges.count() // EDGES_A_TASK))  # few edges don't fill many files
+    now = durable(first.distinct().coalesce(parts))
     last = fingerprint(now)
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").coalesce(parts)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        now = durable(small.filter("u <> v").distinct())
+        now = durable(small.filter("u <> v").coalesce(parts).distinct().coalesce(parts))
         if (state := fingerprint(now)) == last:
             break
         last = state
@@ -232,7 +237,7 @@ def near_duplicates(df: DataFrame, id_col: str, text: Column) -> DataFrame:
     members = classes.select("node", F.explode("keys").alias("key"))
     hubs = members.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).filter("hub <> top")
     shared = durable(members.join(hubs, "key"))
-    light = classes.select("node", "n", *odd)
+    light = classes.select("node", "n", *odd)  # what candidates are judged by
 
     def judged(pairs: DataFrame) -> DataFrame:
         x, y = light.alias("x"), light.alias("y")
@@ -249,9 +254,10 @@ def near_duplicates(df: DataFrame, id_col: str, text: Column) -> DataFrame:
     named = shared.join(roots, "node", "left").select("key", "hub", "node", F.coalesce("root", "node").alias("root"))
     mixed = named.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.max(F.when(F.col("node") == F.col("hub"), F.col("root"))).alias("hub_root")).filter("r0 <> r1")
     left_over = durable(named.join(mixed.select("key", "hub_root"), "key").select("key", "node", "root", "hub_root").join(light, "node"))
-    x, y = left_over.filter("root <> hub_root").alias("x"), left_over.alias("y")
-    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & allowed("x", "y")
-    near = durable(x.join(y, apart, "left_semi").union(y.join(x, apart, "left_semi")).distinct())
+    x, y = left_over.alias("x"), left_over.alias("y")
+    outside = (F.col("x.root") != F.col("x.hub_root")) | (F.col("y.root") != F.col("y.hub_root"))
+    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & outside & allowed("x", "y")
+    near = durable(x.join(y, apart, "left_semi"))
     near = near.join(full_sets(near.select("node"), classes, docs), "node")
     x, y = near.filter("root <> hub_root").alias("x"), near.alias("y")
     once = (F.col("y.root") == F.col("y.hub_root")) | (F.col("x.node") < F.col("y.node"))
