@@ -9,10 +9,11 @@
    on if the size bound and the odd sketches allow 75 %: the population count of the two bitmaps' XOR
    estimates the similarity, with a margin of five standard errors. The full sets decide.
 3. Connected components of the confirmed links. Buckets that still hold more than one component then set
-   each class outside the hub's component against all classes of other components in the bucket: a
-   semi-join keeps the classes whose bitmaps allow a link at all, and a join whose condition compares the
-   bitmaps and then the full sets gives out confirmed links only. They join components again. So no pair of
-   a bucket goes unseen, except inside one component, where a link changes nothing.
+   each class outside the hub's component against all classes of other components in the bucket, but for
+   the hubs, whose pairs have been decided: a semi-join keeps the classes whose bitmaps allow a link at
+   all, and a join whose condition compares the bitmaps and then the full sets gives out confirmed links
+   only. They join components again. So no pair of a bucket goes unseen, except inside one component,
+   where a link changes nothing.
 
 A pair at 75 % shares no band with a probability of (1 - 0.75 ** 4) ** 32, about 5e-6.
 
@@ -251,9 +252,10 @@ def near_duplicates(df: DataFrame, id_col: str, text: Column) -> DataFrame:
     roots = durable(components(links))
 
     # Buckets of more than one component: what isn't in the hub's component against the other components.
-    named = shared.join(roots, "node", "left").select("key", "hub", "node", F.coalesce("root", "node").alias("root"))
+    named = shared.join(roots, "node", "left").select("key", "hub", "top", "node", F.coalesce("root", "node").alias("root"))
     mixed = named.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.max(F.when(F.col("node") == F.col("hub"), F.col("root"))).alias("hub_root")).filter("r0 <> r1")
-    left_over = durable(named.join(mixed.select("key", "hub_root"), "key").select("key", "node", "root", "hub_root").join(light, "node"))
+    unseen = named.filter("node <> hub and node <> top")  # the hubs have met all members of their buckets
+    left_over = durable(unseen.join(mixed.select("key", "hub_root"), "key").select("key", "node", "root", "hub_root").join(light, "node"))
     x, y = left_over.alias("x"), left_over.alias("y")
     outside = (F.col("x.root") != F.col("x.hub_root")) | (F.col("y.root") != F.col("y.hub_root"))
     apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & outside & allowed("x", "y")
