@@ -224,6 +224,11 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(df: DataFrame, id_col: str, text: Column) -> DataFrame:
     """Per row: id, n_shingles, component_id (the smallest id reachable) and kept (id = component_id)."""
+    return verdicts(df, id_col, text).drop("text_hash", "root")
+
+
+def verdicts(df: DataFrame, id_col: str, text: Column) -> DataFrame:
+    """``near_duplicates`` with each row's text_hash and its component's root, a number that is null for empty sets."""
     docs = df.select(F.col(id_col).alias("id"), text_hash(text).alias("text_hash"), F.coalesce(text, F.lit("")).cast("binary").alias("data"))
     kind = docs.schema["id"].dataType.simpleString()
     rows = durable(docs.mapInArrow(_sketch, f"id {kind}, text_hash long, {SKETCHED}"))
@@ -269,7 +274,7 @@ def near_duplicates(df: DataFrame, id_col: str, text: Column) -> DataFrame:
 
     placed = classes.select("print", "node", "least").join(roots, "node", "left").select("print", "least", F.coalesce("root", "node").alias("root"))
     component = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = placed.join(component, "root").select("print", "component_id")
-    full = rows.filter("n > 0").select("id", "n", "print").join(by_print, "print").select("id", F.col("n").alias("n_shingles"), "component_id")
-    empty = rows.filter("n = 0").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
+    by_print = placed.join(component, "root").select("print", "component_id", "root")
+    full = rows.filter("n > 0").select("id", "text_hash", "n", "print").join(by_print, "print").select("id", "text_hash", F.col("n").alias("n_shingles"), "component_id", "root")
+    empty = rows.filter("n = 0").select("id", "text_hash", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"), F.lit(None).cast("long").alias("root"))
     return full.union(empty).withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))

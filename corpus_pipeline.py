@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brightwake.llm import near_dedup, packing, quality_rules, secret_scan, source_mix
-from brightwake.llm.common import shared_folder
+from brightwake.llm.common import durable, shared_folder
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -26,11 +26,20 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id, once if it is repeated."""
-    first = near_dedup.near_duplicates(docs, "doc_id", F.col("text")).filter("kept").groupBy(F.col("id").alias("__id")).agg(F.count(F.lit(1)).alias("__n"))
-    once = docs.join(first.filter("__n = 1"), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    repeated = docs.join(first.filter("__n > 1"), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").dropDuplicates(["doc_id"])
-    return once.union(repeated)
+    """One document of each group of near duplicates: one with the smallest id, once if it is repeated.
+
+    Rows are told apart by id and text, so documents without an id, or with an id that others have too, stand
+    for themselves; empty ones are near nothing, and each stays, once.
+    """
+    kept = near_dedup.verdicts(docs, "doc_id", F.col("text")).filter("kept")
+    kept = durable(kept.groupBy("root", F.col("id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.count(F.lit(1)).alias("__n")))
+    one = kept.filter("root is not null").groupBy("root").agg(F.min(F.struct("__hash", "__n", "__id")).alias("one")).select("one.*")
+    first = one.union(kept.filter("root is null").select("__hash", "__n", "__id"))
+    here = docs.withColumn("__row_hash", near_dedup.text_hash(F.col("text")))
+    same = (F.col("__row_hash") == F.col("__hash")) & F.col("doc_id").eqNullSafe(F.col("__id"))
+    once = here.join(first.filter("__n = 1"), same, "left_semi")
+    repeated = here.join(first.filter("__n > 1"), same, "left_semi").dropDuplicates(["doc_id", "__row_hash"])
+    return once.union(repeated).drop("__row_hash")
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

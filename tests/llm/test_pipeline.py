@@ -57,3 +57,13 @@ def test_mix_is_the_order_of_the_files(spark, tmp_path):
     mixed = dict(pipeline.STAGES)["mixing"](spark, docs, DIR)
     first = [r["source"] for r in mixed.withColumn("i", F.monotonically_increasing_id()).orderBy("i").limit(64).collect()]
     assert len(set(first)) >= 4
+
+
+def test_documents_without_an_id_stand_for_themselves(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    rows = [(None, a), (None, a), (None, a + " end"), (None, b), (None, c + " end"), (1, c), (2, d), (2, "other text of some words here"), (3, d + " end"), (None, ""), (None, None), (None, " "), (4, "")]
+    found = dict(pipeline.STAGES)["near_dedup"](spark, spark.createDataFrame(rows, "doc_id long, text string"), DIR).collect()
+    texts = sorted((r["doc_id"] or 0, r["text"] or "") for r in found)
+    assert (0, a) in texts or (0, a + " end") in texts
+    assert [t for t in texts if t not in ((0, a), (0, a + " end"))] == sorted([(0, ""), (0, " "), (0, b), (1, c), (2, d), (2, "other text of some words here"), (4, "")])
+    assert len(texts) == 8
