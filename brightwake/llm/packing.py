@@ -55,14 +55,18 @@ def best_bounds(bins: list[tuple[int, int, int]], buckets: int) -> list[int]:
     return bounds[::-1]
 
 
-def pack(df: DataFrame, id_col: str, length: Column, buckets: int = 16, token_budget: int = 65536) -> DataFrame:
-    """Per row: id, n_tokens, bucket, bucket_len, batch and slot within the bucket, padding."""
-    rows = durable(df.select(F.col(id_col).alias("id"), length.alias("n_tokens")))
+def pack(df: DataFrame, id_col: str, length: Column, buckets: int = 16, token_budget: int = 65536, order_col: str | None = None) -> DataFrame:
+    """Per row: id, n_tokens, bucket, bucket_len, batch and slot within the bucket, padding.
+
+    A bucket's rows fill its batches by ``order_col``; without one, by id.
+    """
+    order = F.col(id_col if order_col is None else order_col)
+    rows = durable(df.select(F.col(id_col).alias("id"), length.alias("n_tokens"), order.alias("order")))
     histogram = rows.groupBy(size_bin(F.col("n_tokens"), EXACT_BELOW, PER_OCTAVE).alias("bin")).agg(F.max("n_tokens"), F.count(F.lit(1)), F.sum("n_tokens"))
     bounds = best_bounds([tuple(r)[1:] for r in histogram.collect()], buckets)
     limits = F.array(*map(F.lit, bounds)).cast("array<long>")
     bucket = F.size(F.filter(limits, lambda b: b < F.col("n_tokens"))).alias("bucket")
-    ranked = with_rank(rows.select("id", "n_tokens", bucket), "bucket", ["id"], "rank").withColumn("bucket_len", F.get(limits, F.col("bucket")))
+    ranked = with_rank(rows.select("id", "n_tokens", "order", bucket), "bucket", ["order"], "rank").withColumn("bucket_len", F.get(limits, F.col("bucket")))
     fit = F.greatest(F.lit(1), F.expr(f"{int(token_budget)} div bucket_len"))
     return ranked.withColumn("fit", fit).select(
         "id", "n_tokens", "bucket", "bucket_len", F.expr("rank div fit").alias("batch"), F.expr("rank % fit").alias("slot"), (F.col("bucket_len") - F.col("n_tokens")).alias("padding")

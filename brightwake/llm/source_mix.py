@@ -19,7 +19,7 @@ from __future__ import annotations
 import heapq
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable, with_rank
@@ -78,12 +78,14 @@ def schedule(blocks: dict[str, int], weights: dict[str, float], frame: int = FRA
     return plan
 
 
-def mix(df: DataFrame, id_col: str, source_col: str, weights: dict[str, float] | None = None, block_rows: int = 16, frame: int = FRAME) -> DataFrame:
-    """Per row: id, source, phase_slot (its block's slot) and position, by which the mix is ordered.
+def mix(df: DataFrame, id_col: str, source_col: str, weights: dict[str, float] | None = None, block_rows: int = 16, frame: int = FRAME, carry: dict[str, Column] | None = None) -> DataFrame:
+    """Per row: id, source, block, slot (its block's) and position, by which the mix is ordered.
 
-    Without ``weights`` a source's target is the square root of its number of rows.
+    Without ``weights`` a source's target is the square root of its number of rows. ``carry`` names further
+    columns that go along with each row.
     """
-    rows = durable(df.select(F.col(id_col).alias("id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source")))
+    along = carry or {}
+    rows = durable(df.select(F.col(id_col).alias("id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), *(c.alias(name) for name, c in along.items())))
     sizes = {r[0]: r[1] for r in rows.groupBy("source").agg(F.count(F.lit(1))).collect()}
     if weights is None:
         weights = {s: math.sqrt(n) for s, n in sizes.items()}
@@ -94,7 +96,7 @@ def mix(df: DataFrame, id_col: str, source_col: str, weights: dict[str, float] |
     ranked = with_rank(rows, "source", ["id"], "rank").withColumn("block", F.expr(f"rank div {int(block_rows)}"))
     joined = ranked.join(F.broadcast(plans), (ranked["source"] == plans["source"]) & (F.col("block") >= F.col("from_block")) & (F.col("block") < F.col("to_block"))).drop(plans["source"])
     slot = F.expr("start + (block - from_block) div size(slots) * frame + get(slots, cast((block - from_block) % size(slots) as int))")
-    return joined.select("id", "source", "block", slot.alias("slot"), (slot * block_rows + F.col("rank") % block_rows).alias("position"))
+    return joined.select("id", "source", "block", slot.alias("slot"), (slot * block_rows + F.col("rank") % block_rows).alias("position"), *along)
 
 
 def mixed(df: DataFrame, id_col: str, source_col: str, weights: dict[str, float] | None = None, block_rows: int = 16, frame: int = FRAME) -> DataFrame:

@@ -55,8 +55,9 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document's bucket, batch and slot."""
-    return packing.pack(docs, "doc_id", packing.byte_tokens(F.col("text"))).withColumnRenamed("id", "doc_id")
+    """Every document's bucket, batch and slot; each bucket's batches are filled in the order of the mix."""
+    placed = source_mix.mix(docs, "doc_id", "source", carry={"n_tokens": packing.byte_tokens(F.col("text"))})
+    return packing.pack(placed, "id", F.col("n_tokens"), order_col="position").withColumnRenamed("id", "doc_id")
 
 
 STAGES: list[tuple[str, Stage]] = [("quality", quality), ("near_dedup", deduplicated), ("secrets", without_secrets), ("mixing", mixing), ("packing", packed)]

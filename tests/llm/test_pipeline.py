@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
+from brightwake.llm import packing, source_mix
 
 from .helpers import CLASHING, DOCS, awkward, near_groups
 
@@ -67,3 +68,21 @@ def test_documents_without_an_id_stand_for_themselves(spark):
     assert (0, a) in texts or (0, a + " end") in texts
     assert [t for t in texts if t not in ((0, a), (0, a + " end"))] == sorted([(0, ""), (0, " "), (0, b), (1, c), (2, d), (2, "other text of some words here"), (4, "")])
     assert len(texts) == 8
+
+
+def test_batches_are_mixed(spark):
+    """A hot source with the lowest ids: each batch has the others' share of the mix all the same."""
+    text = "x" * 4095
+    docs = spark.createDataFrame([(i, text, "en", "hot" if i < 900 else "cold", 4095) for i in range(1000)], DOCS)
+    found = [(r["batch"], r["slot"], r["doc_id"]) for r in dict(pipeline.STAGES)["packing"](spark, docs, DIR).collect()]
+    assert len(set(found)) == 1000
+    first = [i for batch, _, i in found if batch < 16]
+    assert len(first) == 256 and abs(sum(i >= 900 for i in first) - 64) <= 16
+
+
+def test_batches_follow_the_weights(spark):
+    docs = spark.createDataFrame([(i, "ab"[i // 500]) for i in range(1000)], "doc_id long, source string")
+    for weight in (1, 3):
+        placed = source_mix.mix(docs, "doc_id", "source", {"a": 1, "b": weight}, carry={"n": F.lit(64)})
+        found = packing.pack(placed, "id", F.col("n"), token_budget=8192, order_col="position").filter("batch = 0").collect()
+        assert len(found) == 128 and sum(r["id"] >= 500 for r in found) == 128 * weight // (1 + weight)
