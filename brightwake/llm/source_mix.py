@@ -4,11 +4,12 @@ A source's rows are cut into blocks. With weight w, block k of a source is relea
 due at ceil((k + 1) / w); taking, in each slot, the released block with the earliest deadline meets all
 deadlines, so that after any number of slots each source is less than one block from its share.
 
-Weights are whole slots in a frame, so the schedule repeats with each frame and only one frame is
-worked out, on the driver, from the sources' sizes. When a source has given its last block, a new phase
-begins with the weights of the others scaled up; the bound holds within each phase. All rows are placed,
-none twice. The number of sources has to be moderate (their plan is broadcast: at most one row for each
-source and phase, and ``frame`` slots for each phase).
+The weights are taken exactly, as the decimal numbers that they print as, over the whole of a phase. When a
+source has given its last block, a new phase begins with the weights of the others scaled up; the bound
+holds within each phase. All rows are placed, none twice. Weights whose schedule repeats within a frame are
+worked out once; with others each block follows from all before it, so the driver deals them one after
+another, from the sources' sizes alone, with a step for each block of rows (its time grows with them). It
+holds ``PIECE`` rows of the plan at a time; the plan goes through the shared folder and is joined by block.
 
 Defined results: null sources are one source, the empty name; an empty table gives an empty mix; rows
 that repeat stay, each with a place of its own.
@@ -18,64 +19,94 @@ from __future__ import annotations
 
 import heapq
 import math
+from bisect import bisect_left
+from collections.abc import Iterable, Iterator
+from fractions import Fraction
+from itertools import batched, count, islice
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, with_rank
+from .common import durable, shared_folder, with_rank
 
 FRAME = 1024
+#: Rows of the plan, each some blocks of a source, that the driver holds at a time.
+PIECE = 16_384
+PLAN = "source string, from_block long, to_block long, start long, frame long, slots array<int>"
 
 
-def whole_slots(weights: dict[str, float], frame: int) -> dict[str, int]:
-    """Slots of the frame for each source, one at least, by largest remainder."""
+def whole_weights(weights: dict[str, float]) -> dict[str, int]:
+    """Whole numbers in exactly the proportions of the weights."""
+    exact = {s: Fraction(str(w)) for s, w in weights.items()}
+    scale = math.lcm(*(w.denominator for w in exact.values()))
+    return {s: int(w * scale) for s, w in exact.items()}
+
+
+def earliest_deadline(weights: dict[str, int]) -> Iterator[str]:
+    """The source of each slot, without end."""
     total = sum(weights.values())
-    ideal = {s: w / total * frame for s, w in weights.items()}
-    slots = {s: max(1, math.floor(x)) for s, x in ideal.items()}
-    while (left := frame - sum(slots.values())) != 0:
-        step = 1 if left > 0 else -1
-        slots[max((s for s in slots if step > 0 or slots[s] > 1), key=lambda s: (step * (ideal[s] - slots[s]), s))] += step
-    return slots
-
-
-def earliest_deadline(slots: dict[str, int]) -> dict[str, list[int]]:
-    """The slots in which each source's blocks stand in one frame."""
-    frame = sum(slots.values())
-    waiting = [(0, -(-frame // a), s, 0) for s, a in sorted(slots.items())]  # release, deadline, source, block
+    waiting = [(0, -(-total // w), s, 0) for s, w in sorted(weights.items())]  # release, deadline, source, block
     heapq.heapify(waiting)
     ready: list[tuple[int, str, int]] = []
-    placed: dict[str, list[int]] = {s: [] for s in slots}
-    for now in range(frame):
+    for now in count():
         while waiting and waiting[0][0] <= now:
             _, due, s, k = heapq.heappop(waiting)
             heapq.heappush(ready, (due, s, k))
         due, s, k = heapq.heappop(ready)
         if now >= due:
             raise AssertionError("a deadline was missed")
-        placed[s].append(now)
-        if k + 1 < slots[s]:
-            heapq.heappush(waiting, ((k + 1) * frame // slots[s], -(-(k + 2) * frame // slots[s]), s, k + 1))
-    return placed
+        yield s
+        heapq.heappush(waiting, ((k + 1) * total // weights[s], -(-(k + 2) * total // weights[s]), s, k + 1))
 
 
-def schedule(blocks: dict[str, int], weights: dict[str, float], frame: int = FRAME) -> list[tuple[str, int, int, int, int, list[int]]]:
-    """(source, first block, block after the last, first slot, frame, slots in a frame), a row for each source and phase."""
+def until_one_ends(turns: Iterator[str], left: dict[str, int]) -> Iterator[str]:
+    """The turns up to the last block of any source."""
+    left = dict(left)
+    for s in turns:
+        yield s
+        left[s] -= 1
+        if not left[s]:
+            return
+
+
+def places(turns: Iterable[str]) -> dict[str, list[int]]:
+    placed: dict[str, list[int]] = {}
+    for at, s in enumerate(turns):
+        placed.setdefault(s, []).append(at)
+    return dict(sorted(placed.items()))
+
+
+def deal(blocks: dict[str, int], weights: dict[str, float], frame: int = FRAME) -> Iterator[tuple[str, int, int, int, int, list[int]]]:
+    """(source, first block, block after the last, first slot, period, slots in the period), of at most ``frame`` blocks each."""
     done = dict.fromkeys(blocks, 0)
-    start, plan = 0, []
-    while active := {s: weights[s] for s in blocks if done[s] < blocks[s]}:
-        size = max(frame, 1 << (4 * len(active) - 1).bit_length())
-        placed = earliest_deadline(whole_slots(active, size))
+    exact = whole_weights(weights)
+    start = 0
+    while active := {s: exact[s] for s in blocks if done[s] < blocks[s]}:
+        shrink = math.gcd(*active.values())
+        active = {s: w // shrink for s, w in active.items()}
+        left = {s: blocks[s] - done[s] for s in active}
+        period = sum(active.values())
+        if period <= frame:
+            cycle = places(islice(earliest_deadline(active), period))
+            end = min((left[s] - 1) // len(at) * period + at[(left[s] - 1) % len(at)] for s, at in cycle.items()) + 1
+            step = frame // period * period
+            pieces: Iterable = [(min(step, end - a), cycle) for a in range(0, end, step)]
+        else:
+            pieces = ((len(part), places(part)) for part in batched(until_one_ends(earliest_deadline(active), left), frame))
+        for length, placed in pieces:
+            period = sum(map(len, placed.values()))
+            for s, at in placed.items():
+                given = length // period * len(at) + bisect_left(at, length % period)
+                if given:
+                    yield s, done[s], done[s] + given, start, period, at
+                done[s] += given
+            start += length
 
-        def slot(s: str, k: int, placed=placed, size=size) -> int:
-            return k // len(placed[s]) * size + placed[s][k % len(placed[s])]
 
-        length = min(slot(s, blocks[s] - done[s] - 1) for s in active) + 1
-        for s in sorted(active):
-            given = length // size * len(placed[s]) + sum(x < length % size for x in placed[s])
-            plan.append((s, done[s], done[s] + given, start, size, placed[s]))
-            done[s] += given
-        start += length
-    return plan
+def schedule(blocks: dict[str, int], weights: dict[str, float], frame: int = FRAME) -> list[tuple[str, int, int, int, int, list[int]]]:
+    """All that ``deal`` gives."""
+    return list(deal(blocks, weights, frame))
 
 
 def mix(df: DataFrame, id_col: str, source_col: str, weights: dict[str, float] | None = None, block_rows: int = 16, frame: int = FRAME, carry: dict[str, Column] | None = None) -> DataFrame:
@@ -91,12 +122,16 @@ def mix(df: DataFrame, id_col: str, source_col: str, weights: dict[str, float] |
         weights = {s: math.sqrt(n) for s, n in sizes.items()}
     if missing := [s for s in sizes if weights.get(s, 0) <= 0]:
         raise ValueError(f"no positive weight for {missing[:5]}")
-    plan = schedule({s: -(-n // block_rows) for s, n in sizes.items()}, weights, frame)
-    plans = df.sparkSession.createDataFrame(plan, "source string, from_block long, to_block long, start long, frame long, slots array<int>")
+    spark = df.sparkSession
+    folder = f"{shared_folder(spark)}/mix-{uuid4().hex}"
+    spark.createDataFrame([], PLAN).write.parquet(folder)
+    for piece in batched(deal({s: -(-n // block_rows) for s, n in sizes.items()}, weights, frame), PIECE):
+        spark.createDataFrame(list(piece), PLAN).coalesce(1).write.mode("append").parquet(folder)
+    plans = spark.read.schema(PLAN).parquet(folder).withColumn("at", F.explode(F.expr("sequence(0L, to_block - from_block - 1)")))
+    slot = F.expr("start + at div size(slots) * frame + get(slots, cast(at % size(slots) as int))")
+    plans = plans.select("source", (F.col("from_block") + F.col("at")).alias("block"), slot.alias("slot"))
     ranked = with_rank(rows, "source", ["id"], "rank").withColumn("block", F.expr(f"rank div {int(block_rows)}"))
-    joined = ranked.join(F.broadcast(plans), (ranked["source"] == plans["source"]) & (F.col("block") >= F.col("from_block")) & (F.col("block") < F.col("to_block"))).drop(plans["source"])
-    slot = F.expr("start + (block - from_block) div size(slots) * frame + get(slots, cast((block - from_block) % size(slots) as int))")
-    return joined.select("id", "source", "block", slot.alias("slot"), (slot * block_rows + F.col("rank") % block_rows).alias("position"), *along)
+    return ranked.join(plans, ["source", "block"]).select("id", "source", "block", "slot", (F.col("slot") * block_rows + F.col("rank") % block_rows).alias("position"), *along)
 
 
 def mixed(df: DataFrame, id_col: str, source_col: str, weights: dict[str, float] | None = None, block_rows: int = 16, frame: int = FRAME) -> DataFrame:

@@ -141,6 +141,21 @@ def test_shares_stay_within_a_block(weights):
             assert all(abs(count[s] - share[s] * (t + 1 - start)) < 1 for s in share)
 
 
+@pytest.mark.parametrize("weights", [{f"s{i}": 1.0 for i in range(20)}, {f"s{i}": (i + 2) ** 0.5 for i in range(12)}, {"big": 1.0, "other": 0.7, "tiny": 1e-4}])
+def test_real_weights_hold_over_many_frames(weights):
+    taken = {}
+    for s, a, b, start, frame, slots in source_mix.schedule({s: 40_000 for s in weights}, weights, 256):
+        for k in range(b - a):
+            taken[start + k // len(slots) * frame + slots[k % len(slots)]] = s
+    assert sorted(taken) == list(range(40_000 * len(weights)))
+    total, count = sum(weights.values()), Counter()
+    for t in range(len(taken)):  # the first phase
+        count[taken[t]] += 1
+        assert all(abs(count[s] - w / total * (t + 1)) < 1 + 1e-6 for s, w in weights.items())
+        if count[taken[t]] == 40_000:
+            break
+
+
 def test_mix_places_every_row_once(spark, docs):
     found = queries.op7_source_mix(spark, DIR).collect()
     assert sorted(r["doc_id"] for r in found) == sorted(docs) and len({r["position"] for r in found}) == len(docs)
