@@ -183,3 +183,11 @@ def test_mined_rules_have_their_confidence(spark):
     df = spark.createDataFrame(rows, "tokens array<string>, label string")
     rules = {tuple(r["items"]): r for r in url_rules.mine(df, 0.05, 0.9)}
     assert set(rules) == {("h:x",), ("h:b",)} and rules["h:x",]["confidence"] == 1.0 and rules["h:x",]["support"] == 0.375
+
+
+def test_no_rule_is_cut(spark):
+    """A path of 11 constant parts makes 2,047 raw rules, beside 2,100 short ones; a longer one of less confidence stays all the same."""
+    path, more = [f"p:{i}" for i in range(11)], [f"q:{i}" for i in range(2100)]
+    rows = [(path, "block")] * 40 + [([q], "block") for q in more] + [(["h:a", "h:b"], "allow")] * 29 + [(["h:a", "h:b"], None)] + [(["h:a"], None)] * 30 + [(["h:b"], None)] * 30
+    rules = {tuple(r["items"]): r["label"] for r in url_rules.mine(spark.createDataFrame(rows, "tokens array<string>, label string"), 0.0004, 0.9)}
+    assert rules == {(p,): "block" for p in path + more} | {("h:a", "h:b"): "allow"}
