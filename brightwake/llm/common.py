@@ -35,6 +35,22 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names that ``df`` has no column of yet, made from these; Spark takes no account of case."""
+    taken, found = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
+def quoted(name: str) -> str:
+    """A column's name as it stands, dots and all."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def durable(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared folder, so that lost executors cost no recomputation."""
     shared_folder(df.sparkSession)

@@ -1,25 +1,26 @@
 """Quality rules: weak supervision.
 
-Each rule looks at one measure of a text and votes junk, votes good, or abstains. Expectation-maximisation
-over the table of vote patterns estimates, without labels, how often each rule votes which way on good and on junk
-texts of each kind (its accuracies); the posterior probability of good replaces the demand that a text pass
-every rule. The pattern table has at most 3 ** (number of rules) rows, whatever the corpus.
+Each rule looks at one measure of a text and votes junk, votes good, or abstains. The bounds are rules of thumb, each
+of them wrong about some texts. Expectation-maximisation over the table of vote patterns estimates, without labels, how
+often each rule votes good on good texts and on junk (its accuracies); the posterior probability of good replaces the
+demand that a text pass every rule. A junk vote of one rule alone is mostly outvoted, two that agree mostly aren't, and
+how much each vote weighs is learned. The pattern table has at most 3 ** (number of rules) rows, whatever the
+corpus; some hundreds occur.
 
 All measures are SQL functions over whole texts. Defined results: a null text has no words; the measures of
-an empty text are 0; an empty table keeps the starting estimates.
+an empty text are 0; an empty table keeps the starting estimates. Very long texts are read whole; equal texts have equal
+votes, so rows that repeat share a verdict; a posterior of exactly one half keeps the text.
 """
 
 from __future__ import annotations
 
-import functools
 import math
-import operator
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, quoted
 
 SPACE = r"\x20\x09-\x0D"
 WINDOW = 8
@@ -60,34 +61,37 @@ def repeat_words(words: Column) -> Column:
     return F.when(F.size(words) < WINDOW, F.lit(0).cast("long")).otherwise(let(let(hashes, windows), repeated))
 
 
-MEASURES = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_distinct", "n_upper", "n_letters", "n_bangs", "n_ends"]
+def measured(text: Column) -> dict[str, Column]:
+    """The measures of a text; the cut words and lines are columns of their own, so that each is cut once."""
+    n = lambda c: F.size(c).cast("long")
+    words, lines = F.col("words"), F.col("lines")
+    return {
+        "text_hash": F.xxhash64(text),
+        "n_words": n(words),
+        "word_chars": F.length(F.array_join(words, "")).cast("long"),
+        "n_symbols": left_of(text, r"[^#*$%&|<>]+"),
+        "n_lines": n(lines),
+        "n_dup_lines": n(lines) - n(F.array_distinct(lines)),
+        "n_repeat_words": repeat_words(words),
+        "n_distinct": n(F.array_distinct(words)),
+        "n_upper": left_of(text, r"\P{Lu}+"),
+        "n_letters": left_of(text, r"\P{L}+"),
+        "n_bangs": left_of(text, r"[^!]+"),
+        "n_ends": left_of(text, r"[^.?…。]+"),
+        "n_bare": F.regexp_count(text, F.lit(rf"(?<![^{SPACE}])[^\p{{L}}{SPACE}]+(?![^{SPACE}])")).cast("long"),
+    }
 
 
-def measures(df: DataFrame, id_col: str, text: Column) -> DataFrame:
-    """Per row: id, text_hash and the measures."""
-    plain = df.select(F.col(id_col).alias("id"), F.coalesce(text, F.lit("")).alias("text"))
+def measures(df: DataFrame, text: Column, along: dict[str, Column]) -> DataFrame:
+    """Per row: the columns ``along``, text_hash and the measures."""
+    plain = df.select(*(c.alias(name) for name, c in along.items()), F.coalesce(text, F.lit("")).alias("text"))
     cut = plain.select(
-        "id",
+        *along,
         "text",
         F.filter(F.split("text", f"[{SPACE}]+"), lambda w: w != "").alias("words"),
         F.filter(F.split("text", "\n"), lambda x: x.rlike(f"[^{SPACE}]")).alias("lines"),
     )
-    n = lambda c: F.size(c).cast("long")
-    return cut.select(
-        "id",
-        F.xxhash64("text").alias("text_hash"),
-        n("words").alias("n_words"),
-        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
-        left_of(F.col("text"), r"[^#*$%&|<>]+").alias("n_symbols"),
-        n("lines").alias("n_lines"),
-        (n("lines") - n(F.array_distinct("lines"))).alias("n_dup_lines"),
-        repeat_words(F.col("words")).alias("n_repeat_words"),
-        n(F.array_distinct("words")).alias("n_distinct"),
-        left_of(F.col("text"), r"\P{Lu}+").alias("n_upper"),
-        left_of(F.col("text"), r"\P{L}+").alias("n_letters"),
-        left_of(F.col("text"), r"[^!]+").alias("n_bangs"),
-        left_of(F.col("text"), r"[^.?…。]+").alias("n_ends"),
-    )
+    return cut.select(*along, *(c.alias(name) for name, c in measured(F.col("text")).items()))
 
 
 def share(part: str, whole: str) -> Column:
@@ -100,85 +104,98 @@ def vote(junk: Column, good: Column) -> Column:
 
 def rules() -> dict[str, Column]:
     """Each rule's vote, by its measure; what lies between the two bounds abstains."""
+    words, some = F.col("n_words"), F.col("n_words") >= 20
     return {
-        "length": vote(F.col("n_words") < 10, F.col("n_words") >= 40),
-        "word_length": vote((share("word_chars", "n_words") < 2.5) | (share("word_chars", "n_words") > 13), share("word_chars", "n_words").between(3, 10)),
-        "symbols": vote(share("n_symbols", "n_words") > 0.25, share("n_symbols", "n_words") < 0.05),
-        "dup_lines": vote((F.col("n_dup_lines") >= 2) & (share("n_dup_lines", "n_lines") > 0.4), (F.col("n_lines") >= 3) & (share("n_dup_lines", "n_lines") < 0.1)),
-        "repeats": vote(share("n_repeat_words", "n_words") > 0.3, (F.col("n_words") >= 40) & (share("n_repeat_words", "n_words") < 0.1)),
-        "variety": vote((F.col("n_words") >= 40) & (share("n_distinct", "n_words") < 0.12), (F.col("n_words") >= 40) & (share("n_distinct", "n_words") > 0.25)),
-        "capitals": vote(share("n_upper", "n_letters") > 0.5, (F.col("n_letters") >= 40) & (share("n_upper", "n_letters") < 0.2)),
-        "bangs": vote(share("n_bangs", "n_words") > 0.25, (F.col("n_words") >= 10) & (share("n_bangs", "n_words") < 0.05)),
-        "letters": vote(share("n_letters", "word_chars") < 0.55, (F.col("n_words") >= 10) & (share("n_letters", "word_chars") > 0.85)),
+        "length": vote(words < 20, words >= 50),
+        "word_length": vote((share("word_chars", "n_words") < 3) | (share("word_chars", "n_words") > 7), share("word_chars", "n_words").between(4, 6)),
+        "symbols": vote(share("n_symbols", "n_words") > 0.1, share("n_symbols", "n_words") < 0.02),
+        "letters": vote(share("n_letters", "word_chars") < 0.9, share("n_letters", "word_chars") > 0.94),
+        "bare_words": vote(share("n_bare", "n_words") > 0.15, share("n_bare", "n_words") < 0.02),
+        "sentences": vote(some & (words > 30 * F.col("n_ends")), some & (words < 25 * F.col("n_ends")) & (words >= 5 * F.col("n_ends"))),
+        "lines": vote(some & (words > 150 * F.col("n_lines")), some & (words < 80 * F.col("n_lines")) & (words >= 8 * F.col("n_lines"))),
+        "dup_lines": vote(share("n_dup_lines", "n_lines") > 0.3, (F.col("n_lines") >= 4) & (F.col("n_dup_lines") == 0)),
+        "repeats": vote(share("n_repeat_words", "n_words") > 0.15, (words >= 40) & (share("n_repeat_words", "n_words") < 0.05)),
+        "variety": vote((words >= 40) & (share("n_distinct", "n_words") < 0.4), (words >= 40) & (share("n_distinct", "n_words") > 0.6)),
+        "capitals": vote(share("n_upper", "n_letters") > 0.3, (F.col("n_letters") >= 40) & (share("n_upper", "n_letters") < 0.06)),
+        "bangs": vote(share("n_bangs", "n_words") > 0.1, some & (share("n_bangs", "n_words") < 0.02)),
     }
 
 
 class Estimates:
-    """The share of good texts and of each kind of junk, and for each of them how often each rule's votes say good.
+    """The shares of good texts and of junk, and how often each rule's votes on either say good.
 
-    There is a kind of junk for each rule, begun from the texts on which that rule votes junk: junk comes in
-    kinds that other rules find nothing wrong with, which a single junk class would call good. An abstention
-    says nothing about the class; only the votes that were cast count.
+    Two classes with votes that are independent within each. An abstention says nothing about the class; only the
+    votes that were cast count. The first guess counts junk votes: with n of them a text is junk by n / (n + 1).
     """
 
-    #: Weight of the starting estimates, as a share of the votes of a class; it keeps the classes what their names say.
-    ANCHOR = 0.2
-    GOOD, OWN, OTHER = 0.999, 0.1, 0.9
+    #: Each class's says_good begins at these, with the weight of ``PRIOR`` votes.
+    START = {"good": 0.9, "junk": 0.5}
+    PRIOR = 2.0
 
     def __init__(self, rules: int):
-        self.start = [[self.GOOD] * rules] + [[self.OWN if j == k else self.OTHER for j in range(rules)] for k in range(rules)]
-        self.says_good = [list(x) for x in self.start]
-        self.shares = [0.85] + [0.15 / rules] * rules
+        self.shares = {"good": 0.85, "junk": 0.15}
+        self.says_good = {k: [x] * rules for k, x in self.START.items()}
 
-    def weights(self, kind: int) -> list[list[float]]:
+    def weights(self, kind: str) -> list[list[float]]:
         """For each rule, the logarithm of the chance of its vote: abstain, junk, good."""
         return [[0.0, math.log(1 - x), math.log(x)] for x in self.says_good[kind]]
 
-    def responsibilities(self, votes: tuple[int, ...]) -> list[float]:
-        """The posterior probability of good, then of each kind."""
-        logs = [math.log(self.shares[k]) + sum(w[v] for w, v in zip(self.weights(k), votes, strict=True)) for k in range(len(self.shares))]
-        top = max(logs)
-        each = [math.exp(x - top) for x in logs]
-        return [x / sum(each) for x in each]
-
-    def fit(self, patterns: dict[tuple[int, ...], int], rounds: int = 40) -> Estimates:
-        rules, rows = len(self.says_good[0]), sum(patterns.values())
+    def evidence(self) -> tuple[float, list[list[float]]]:
+        """The log-odds of good before any vote, and what each rule's vote adds to them."""
+        start = math.log(self.shares["good"]) - math.log(self.shares["junk"])
+        return start, [[g - j for g, j in zip(a, b, strict=True)] for a, b in zip(self.weights("good"), self.weights("junk"), strict=True)]
 
-        def begun(votes: tuple[int, ...]) -> list[float]:
-            against = votes.count(JUNK)
-            return [0.05 if against else 0.95] + [(0.95 * (v == JUNK) / against) if against else 0.05 / rules for v in votes]
+    def posterior(self, votes: tuple[int, ...]) -> float:
+        """The probability that a text with these votes is good."""
+        start, added = self.evidence()
+        return logistic(start + sum(w[v] for w, v in zip(added, votes, strict=True)))
 
-        held = {p: begun(p) for p in patterns}
+    def fit(self, patterns: dict[tuple[int, ...], int], rounds: int = 500) -> Estimates:
+        rows = sum(patterns.values())
+        good = {p: 1 / (p.count(JUNK) + 1) if JUNK in p else 0.98 for p in patterns}
         for _ in range(rounds if rows else 0):
-            for k in range(rules + 1):
-                self.shares[k] = (sum(n * held[p][k] for p, n in patterns.items()) + 1) / (rows + rules + 1)
-                for j in range(rules):
-                    good, junk = (sum(n * held[p][k] for p, n in patterns.items() if p[j] == v) for v in (GOOD, JUNK))
-                    anchor = self.ANCHOR * (good + junk) + 1
-                    self.says_good[k][j] = (good + anchor * self.start[k][j]) / (good + junk + anchor)
-            now = {p: self.responsibilities(p) for p in patterns}
-            moved = max(abs(now[p][0] - held[p][0]) for p in patterns)
-            held = now
-            if moved < 1e-6:
+            for kind, start in self.START.items():
+                held = {p: n * (good[p] if kind == "good" else 1 - good[p]) for p, n in patterns.items()}
+                self.shares[kind] = (sum(held.values()) + 1) / (rows + 2)
+                for j in range(len(self.says_good[kind])):
+                    yes, no = (sum(h for p, h in held.items() if p[j] == v) for v in (GOOD, JUNK))
+                    self.says_good[kind][j] = (yes + self.PRIOR * start) / (yes + no + self.PRIOR)
+            start, added = self.evidence()
+            now = {p: logistic(start + sum(w[v] for w, v in zip(added, p, strict=True))) for p in patterns}
+            moved = max(abs(now[p] - good[p]) for p in patterns)
+            good = now
+            if moved < 1e-7:
                 break
         return self
 
 
+def logistic(x: float) -> float:
+    return 1 / (1 + math.exp(-max(-700.0, min(700.0, x))))
+
+
+def learn(voted: DataFrame, votes: list[Column]) -> Column:
+    """The posterior probability of good, learned from the vote columns of all rows of ``voted``."""
+    patterns = {tuple(r[:-1]): r[-1] for r in voted.select(*(v.alias(f"v{i}") for i, v in enumerate(votes))).groupBy(*(f"v{i}" for i in range(len(votes)))).agg(F.count(F.lit(1))).collect()}
+    start, added = Estimates(len(votes)).fit(patterns).evidence()
+    logs = F.lit(start)
+    for w, v in zip(added, votes, strict=True):
+        logs = logs + F.get(F.array(*map(F.lit, w)), v)
+    return 1 / (1 + F.exp(-logs))
+
+
 def judge(df: DataFrame, id_col: str, text: Column) -> DataFrame:
     """Per row: id, text_hash, the measures, votes by rule, and good, the posterior probability."""
-    measured = durable(measures(df, id_col, text)).withColumns({f"vote_{k}": v for k, v in rules().items()})
-    votes = [f"vote_{k}" for k in rules()]
-    patterns = {tuple(r[:-1]): r[-1] for r in measured.groupBy(votes).agg(F.count(F.lit(1))).collect()}
-    found = Estimates(len(votes)).fit(patterns)
-
-    def chance(kind: int) -> Column:
-        logs = F.lit(math.log(found.shares[kind]))
-        for w, name in zip(found.weights(kind), votes, strict=True):
-            logs = logs + F.get(F.array(*map(F.lit, w)), F.col(name))
-        return F.exp(logs)
-
-    each = [chance(k) for k in range(len(found.shares))]
-    return measured.withColumn("good", each[0] / functools.reduce(operator.add, each))
+    found = durable(measures(df, text, {"id": F.col(id_col)})).withColumns({f"vote_{k}": v for k, v in rules().items()})
+    return found.withColumn("good", learn(found, [F.col(f"vote_{k}") for k in rules()]))
+
+
+def only_good(df: DataFrame, text: Column) -> DataFrame:
+    """The rows of ``df`` that the rules keep. The rows carry their measures through the shared folder, so no join brings the two together again."""
+    whole = "whole"
+    found = measures(df, text, {whole: F.struct(*(F.col(quoted(c)) for c in df.columns))})
+    found = durable(found.withColumns({f"vote_{k}": v for k, v in rules().items()}))
+    keep = found.withColumn("good", learn(found, [F.col(f"vote_{k}") for k in rules()])).filter(kept())
+    return keep.select(f"{whole}.*")
 
 
 def base_failed() -> Column:

@@ -33,18 +33,18 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The contract's rules.
 URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
-#: Host words that someone has labelled as unwanted; the mined rules find what goes with them.
-URL_SEEDS = ["casino", "pills", "bets", "spam", "ads"]
 
 
 def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_rules.judge(table(spark, sf_dir, "pages"), "page_id", "url", URL_RULES, URL_SEEDS).withColumnRenamed("id", "page_id")
+    pages = table(spark, sf_dir, "pages")
+    labels = url_rules.labelled(pages, "page_id", "url", "html", URL_RULES)
+    return url_rules.judge(pages, "page_id", "url", URL_RULES, labels).withColumnRenamed("id", "page_id")
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    ratios = secret_scan.learn(docs, "doc_id", F.col("text"))
-    found = secret_scan.scan(docs, "doc_id", F.col("text"), ratios)
+    model = secret_scan.learn(docs, "doc_id", F.col("text"))
+    found = secret_scan.scan(docs, "doc_id", F.col("text"), model)
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
     return found.select(
         F.col("id").alias("doc_id"), count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(secret_scan.listed(F.col("base")), 256).alias("base_sha256"), secret_scan.listed(F.col("spans")).alias("spans")
