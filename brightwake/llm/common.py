@@ -51,12 +51,38 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that this run has written in the shared folder and is done with."""
+    if not path.startswith(f"{shared_folder(spark)}/"):
+        raise ValueError(f"{path} is not in the shared folder")
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared folder, so that lost executors cost no recomputation."""
+    """``df`` computed once and kept in the shared folder, so that lost executors cost no recomputation.
+
+    The files go when the driver has no more use for ``df``, if the session sets
+    ``spark.cleaner.referenceTracking.cleanCheckpoints``, which long sessions over much data should.
+    """
     shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def joined_by(rows: DataFrame, table: DataFrame, key: str, count: str, heavy: float = 1e-4) -> DataFrame:
+    """``rows`` joined with ``table``, which has each ``key`` once and, as ``count``, how many rows have it.
+
+    A key that many rows share would send all of them to one task. Keys that have more than the share ``heavy`` of all
+    rows, 1 / ``heavy`` at most, are broadcast, so that their rows stay where they are; the others are shuffled.
+    """
+    total = table.agg(F.sum(count)).first()[0] or 0
+    large = F.col(count) > max(1, heavy * total)
+    most, rest = table.filter(large).drop(count), table.filter(~large).drop(count)
+    if most.isEmpty():
+        return rows.join(rest, key)
+    return rows.join(F.broadcast(most), key).unionByName(rows.join(F.broadcast(most.select(key)), key, "left_anti").join(rest, key))
+
+
 def with_rank(df: DataFrame, group: str, order: list[str], out: str) -> DataFrame:
     """Adds ``out``: each row's gapless rank from 0 within its ``group``, in ``order``.
 
@@ -69,7 +95,7 @@ def with_rank(df: DataFrame, group: str, order: list[str], out: str) -> DataFram
     """
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    row, part, first, n = "__row", "__part", "__first", "__n"
+    row, part, first, n, base = fresh(df, "row", "part", "first", "n", "base")
     placed = durable(
         df.repartitionByRange(parts, group, *order)
         .sortWithinPartitions(group, *order)
@@ -77,11 +103,11 @@ def with_rank(df: DataFrame, group: str, order: list[str], out: str) -> DataFram
     ).withColumn(part, F.shiftright(row, _PARTITION_SHIFT))
     spans = placed.groupBy(group, part).agg(F.min(row).alias(first), F.count(F.lit(1)).alias(n))
     before = Window.partitionBy(group).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    spans = spans.withColumn("__base", F.coalesce(F.sum(n).over(before), F.lit(0)) - F.col(first))
+    spans = spans.withColumn(base, F.coalesce(F.sum(n).over(before), F.lit(0)) - F.col(first))
     return (
-        placed.join(F.broadcast(spans.select(group, part, "__base")), [group, part])
-        .withColumn(out, F.col(row) + F.col("__base"))
-        .drop(row, part, "__base")
+        placed.join(F.broadcast(spans.select(group, part, base)), [group, part])
+        .withColumn(out, F.col(row) + F.col(base))
+        .drop(row, part, base)
     )
 
 

@@ -6,12 +6,14 @@ that the language knows codes the byte with n / (total + distinct), or pays the
 distinct / (total + distinct) and leaves the byte to the next shorter context, down to the uniform 1/256.
 The language with the shortest code wins; the score is its posterior among all, at equal priors.
 
-The trees hold bytes in tables that are looked up for all positions of a batch at once. They are bounded
-whatever the corpus: at most ``MOST_GRAMS`` counts reach the driver, and ``MOST_TRIGRAMS`` contexts are kept.
-Learning reads about ``docs_per_lang`` whole documents of each language, chosen by a hash of their ids.
+The trees hold bytes in tables that are looked up for all positions of a batch at once. Learning reads about
+``docs_per_lang`` whole documents of each language, chosen by a hash of their ids; all that these hold is counted and
+kept, each language for itself. The number of languages has a bound, beyond which learning refuses (``MOST_LANGS``), so
+what reaches the driver and the tasks is bounded too.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; so is every text when
-nothing could be learned. Equal code lengths go to the first name in order. Texts are read whole.
+nothing could be learned, as from an empty table. Equal code lengths go to the first name in order. Texts are read whole,
+however long; equal texts get equal results, so rows that repeat do.
 """
 
 from __future__ import annotations
@@ -26,7 +28,9 @@ from pyspark.sql import functions as F
 from .common import byte_slices, shared
 
 ORDER = 3
-MOST_GRAMS, MOST_TRIGRAMS = 400_000, 32_768
+MOST_LANGS = 500
+#: Largest table of steps that is laid out in full; a larger one is searched.
+FULL_TABLE = 1 << 25
 #: Code lengths are kept in whole units of 1/1024 bit, so that their sums don't depend on how texts are batched.
 UNITS = 1024
 #: Stands before each text, so that its first bytes have whole contexts; never coded itself.
@@ -58,6 +62,25 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 )
 
 
+class Steps:
+    """The number, from 1, of each place in a list; 0 for all others below ``size``."""
+
+    def __init__(self, places: np.ndarray, size: int):
+        self.full = size <= FULL_TABLE
+        if self.full:
+            self.table = np.zeros(size, np.int32)
+            self.table[places] = np.arange(1, len(places) + 1)
+        else:
+            self.order = np.argsort(places)
+            self.places = places[self.order]
+
+    def find(self, at: np.ndarray) -> np.ndarray:
+        if self.full:
+            return self.table[at]
+        near = np.minimum(np.searchsorted(self.places, at), len(self.places) - 1)
+        return np.where(self.places[near] == at, self.order[near] + 1, 0).astype(np.int32)
+
+
 class Trees:
     """The frozen context trees of all languages, as tables."""
 
@@ -71,23 +94,17 @@ class Trees:
         for o in range(ORDER, 0, -1):
             up, mask = grams[o + 1], (1 << 8 * o) - 1
             grams[o] = np.unique(np.concatenate([own[o][0], up >> 8, up & mask]))
-            if o == ORDER and len(grams[o]) > MOST_TRIGRAMS:
-                weight = np.zeros(len(grams[o]))
-                np.add.at(weight, np.searchsorted(grams[o], own[o][0]), own[o][2])
-                grams[o] = np.sort(grams[o][np.argsort(-weight, kind="stable")[:MOST_TRIGRAMS]])
-                grams[o + 1] = up[np.isin(up >> 8, grams[o]) & np.isin(up & mask, grams[o])]
         self.symbol = np.zeros(256, np.int32)
         self.symbol[grams[1]] = np.arange(1, len(grams[1]) + 1)
         self.width = len(grams[1]) + 1
-        self.step: dict[int, np.ndarray] = {}
+        self.step: dict[int, Steps] = {}
         self.cost: dict[int, np.ndarray] = {}
         self.escape: dict[int, np.ndarray] = {}
         many = len(self.langs)
         for o in range(1, ORDER + 2):
             g = grams[o]
             count = np.zeros((many, len(g) + 1))
-            keep = np.isin(own[o][0], g)
-            np.add.at(count, (own[o][1][keep], np.searchsorted(g, own[o][0][keep]) + 1), own[o][2][keep])
+            np.add.at(count, (own[o][1], np.searchsorted(g, own[o][0]) + 1), own[o][2])
             context = np.searchsorted(grams[o - 1], g >> 8) + 1 if o > 1 else np.zeros(len(g), np.int64)
             contexts = len(grams[o - 1]) + 1 if o > 1 else 1
             total, distinct = np.zeros((many, contexts)), np.zeros((many, contexts))
@@ -109,9 +126,7 @@ class Trees:
             self.cost[o] = np.rint(cost * UNITS).astype(np.int32)
             self.escape[o - 1] = np.rint(escape * UNITS).astype(np.int32)
             if o > 1:
-                step = np.zeros(contexts * self.width, np.int32)
-                step[context * self.width + self.symbol[g & 255]] = np.arange(1, len(g) + 1)
-                self.step[o] = step
+                self.step[o] = Steps(context * self.width + self.symbol[g & 255], contexts * self.width)
 
     def lengths(self, data: np.ndarray, offsets: np.ndarray, window: int = 1 << 19) -> np.ndarray:
         """Code length of each padded text in each language."""
@@ -122,7 +137,7 @@ class Trees:
             ids = {1: s}
             for o in range(2, ORDER + 2):
                 ids[o] = np.zeros(len(s), np.int32)
-                ids[o][1:] = self.step[o][ids[o - 1][:-1] * self.width + s[1:]]
+                ids[o][1:] = self.step[o].find(ids[o - 1][:-1].astype(np.int64) * self.width + s[1:])
             first, last = np.searchsorted(offsets, [lo, lo + len(s) - back - 1], side="right") - 1
             starts = np.maximum(offsets[first : last + 1] - lo, 0) + back
             coded = np.ones(len(s), bool)
@@ -154,13 +169,15 @@ class Trees:
 def learn(df: DataFrame, id_col: str, lang_col: str, text: Column, docs_per_lang: int = 1000) -> Trees | None:
     """The trees of all languages named in ``df``, from about ``docs_per_lang`` documents of each."""
     rows = df.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), text.alias("text")).filter("lang is not null and text is not null")
-    sizes = {r[0]: r[1] for r in rows.groupBy("lang").agg(F.count(F.lit(1))).collect()}
+    sizes = {r[0]: r[1] for r in rows.groupBy("lang").agg(F.count(F.lit(1))).limit(MOST_LANGS + 1).collect()}
     if not sizes:
         return None
+    if len(sizes) > MOST_LANGS:
+        raise ValueError(f"{len(sizes)} languages, {MOST_LANGS} at most")
     share = F.create_map(*(F.lit(x) for s, n in sizes.items() for x in (s, min(1.0, docs_per_lang / n))))
     place = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1 << 30)) / float(1 << 30)
     counts = rows.filter(place < share[F.col("lang")]).select("lang", padded(F.col("text")).alias("data")).mapInArrow(_count, "lang string, k int, gram long, n long")
-    top = counts.groupBy("lang", "k", "gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "k", "gram", "lang").limit(MOST_GRAMS).toArrow()
+    top = counts.groupBy("lang", "k", "gram").agg(F.sum("n").alias("n")).toArrow()
     if not top.num_rows:
         return None
     return Trees(np.asarray(top["lang"].to_pylist(), dtype=object), *(top[c].to_numpy() for c in ("k", "gram", "n")))

@@ -4,13 +4,14 @@
    samples, of which 128 make 32 bands of 4; an odd sketch, the parity bitmap of all samples folded into
    1024 bits; and a 128-bit fingerprint of the set. Documents with equal sets form one class at once, whatever their
    number; all that follows sees one row for each class.
-2. Classes that share a band are candidates. In each bucket the hubs (the lowest and the highest class)
-   stand against all members, which gives rows in proportion to the bucket, not to its square. A pair goes
+2. Classes that share a band are candidates. In each bucket the hubs (the lowest and the highest class, and in
+   a bucket of many up to six more, the same ones in all buckets that have them) stand against all members, which gives
+   rows in proportion to the bucket, not to its square. A pair goes
    on if the size bound and the odd sketches allow 75 %: the population count of the two bitmaps' XOR
    estimates the similarity, with a margin of five standard errors. The full sets decide.
 3. Connected components of the confirmed links. Buckets that still hold more than one component then set
-   each class outside the hub's component against all classes of other components in the bucket, but for
-   the hubs, whose pairs have been decided: a semi-join keeps the classes whose bitmaps allow a link at
+   each class outside the bucket's largest component against all classes of other components in the bucket, but for
+   the hubs, whose pairs have been decided: semi-joins keep the classes whose bitmaps allow a link at
    all, and a join whose condition compares the bitmaps and then the full sets gives out confirmed links
    only. They join components again. So no pair of a bucket goes unseen, except inside one component,
    where a link changes nothing.
@@ -19,7 +20,8 @@ A pair at 75 % shares no band with a probability of (1 - 0.75 ** 4) ** 32, about
 
 Defined results: documents without words (null and empty texts too) have empty sets and are linked with
 nothing; fewer than five words are one shingle. Rows that share an id share a document; null ids are
-kept apart by their sets, and their component is the smallest id in it, null if it has none.
+kept apart by their sets, and their component is the smallest id in it, null if it has none. Texts of any length are
+read whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices, durable
+from .common import byte_slices, durable, joined_by
 
 WORDS, PERCENT = 5, 75
 BANDS, ROWS, SAMPLES, SKETCH_WORDS = 32, 4, 256, 16
@@ -48,6 +50,9 @@ _rng = np.random.default_rng(20240501)
 _BYTE = _rng.integers(1, 1 << 64, 256, dtype=np.uint64, endpoint=False)
 _BYTE[65:91] = _BYTE[97:123]  # A-Z count as a-z
 _SEEDS = _rng.integers(1, 1 << 64, SAMPLES, dtype=np.uint64, endpoint=False) | np.uint64(1)
+#: A bucket of more than ``MANY`` classes has further hubs: those that come first when the numbers are XORed with each of these.
+MANY = 16
+TURNS = [int(x) for x in _rng.integers(1, 1 << 62, 6)]
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _BASE = np.uint64(0x9FB21C651E98DF25)
@@ -236,45 +241,49 @@ def verdicts(df: DataFrame, id_col: str, text: Column) -> DataFrame:
     classes = durable(
         rows.filter("n > 0")
         .groupBy("print")
-        .agg(F.min(F.struct("id", "text_hash")).alias("first"), F.min("id").alias("least"), F.first("n").alias("n"), F.first("keys").alias("keys"), *(F.first(c).alias(c) for c in odd))
-        .select("print", "first.*", "least", "n", "keys", *odd)
+        .agg(F.min(F.struct("id", "text_hash")).alias("first"), F.min("id").alias("least"), F.count(F.lit(1)).alias("rows"), F.first("n").alias("n"), F.first("keys").alias("keys"), *(F.first(c).alias(c) for c in odd))
+        .select("print", "first.*", "least", "rows", "n", "keys", *odd)
         .withColumn("node", F.monotonically_increasing_id())
     )
     members = classes.select("node", F.explode("keys").alias("key"))
-    hubs = members.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).filter("hub <> top")
-    shared = durable(members.join(hubs, "key"))
+    turned = [F.min(F.col("node").bitwiseXOR(F.lit(t))).bitwiseXOR(F.lit(t)) for t in TURNS]
+    ends = members.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("top"), F.count(F.lit(1)).alias("many"), *(t.alias(f"t{i}") for i, t in enumerate(turned))).filter("low <> top")
+    more = F.when(F.col("many") > MANY, F.array(*(f"t{i}" for i in range(len(TURNS))))).otherwise(F.array().cast("array<long>"))
+    shared = durable(members.join(ends.select("key", F.array_distinct(F.concat(F.array("low", "top"), more)).alias("hubs")), "key"))
     light = classes.select("node", "n", *odd)  # what candidates are judged by
 
     def judged(pairs: DataFrame) -> DataFrame:
         x, y = light.alias("x"), light.alias("y")
         return pairs.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node")).filter(allowed("x", "y")).select("a", "b")
 
-    stars = shared.select(F.col("hub").alias("a"), F.col("node").alias("b")).union(shared.select(F.col("node").alias("a"), F.col("top").alias("b"))).filter("a <> b").distinct()
+    rays = shared.select("node", F.explode("hubs").alias("hub")).filter("node <> hub")
+    stars = rays.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
     pairs = durable(judged(stars))
     sets = full_sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), classes, docs)
     x, y = sets.alias("x"), sets.alias("y")
     links = durable(pairs.join(x, F.col("a") == F.col("x.node")).join(y, (F.col("b") == F.col("y.node")) & alike("x", "y")).select("a", "b"))
     roots = durable(components(links))
 
-    # Buckets of more than one component: what isn't in the hub's component against the other components.
-    named = shared.join(roots, "node", "left").select("key", "hub", "top", "node", F.coalesce("root", "node").alias("root"))
-    mixed = named.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.max(F.when(F.col("node") == F.col("hub"), F.col("root"))).alias("hub_root")).filter("r0 <> r1")
-    unseen = named.filter("node <> hub and node <> top")  # the hubs have met all members of their buckets
-    left_over = durable(unseen.join(mixed.select("key", "hub_root"), "key").select("key", "node", "root", "hub_root").join(light, "node"))
-    x, y = left_over.alias("x"), left_over.alias("y")
-    outside = (F.col("x.root") != F.col("x.hub_root")) | (F.col("y.root") != F.col("y.hub_root"))
-    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & outside & allowed("x", "y")
-    near = durable(x.join(y, apart, "left_semi"))
+    # Buckets of more than one component: what isn't in the largest against the other components.
+    named = shared.join(roots, "node", "left").select("key", "hubs", "node", F.coalesce("root", "node").alias("root"))
+    sizes = named.groupBy("key", "root").agg(F.count(F.lit(1)).alias("many"))
+    mixed = sizes.groupBy("key").agg(F.max_by("root", "many").alias("main"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
+    unseen = named.filter(~F.array_contains("hubs", F.col("node")))  # the hubs have met all members of their buckets
+    left_over = durable(unseen.join(mixed.select("key", "main"), "key").select("key", "node", "root", "main").join(light, "node"))
+    outside = left_over.filter("root <> main")
+    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root"))
+    found = [x.join(y, apart & allowed("x", "y"), "left_semi") for x, y in ((outside.alias("x"), left_over.alias("y")), (left_over.filter("root = main").alias("x"), outside.alias("y")))]
+    near = durable(found[0].union(found[1]))
     near = near.join(full_sets(near.select("node"), classes, docs), "node")
-    x, y = near.filter("root <> hub_root").alias("x"), near.alias("y")
-    once = (F.col("y.root") == F.col("y.hub_root")) | (F.col("x.node") < F.col("y.node"))
-    late = durable(x.join(y, apart & once & alike("x", "y")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
+    x, y = near.filter("root <> main").alias("x"), near.alias("y")
+    once = (F.col("y.root") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))
+    late = durable(x.join(y, apart & once & allowed("x", "y") & alike("x", "y")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
     if not late.isEmpty():
         roots = durable(components(links.union(late)))
 
-    placed = classes.select("print", "node", "least").join(roots, "node", "left").select("print", "least", F.coalesce("root", "node").alias("root"))
+    placed = classes.select("print", "node", "least", "rows").join(roots, "node", "left").select("print", "least", "rows", F.coalesce("root", "node").alias("root"))
     component = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = placed.join(component, "root").select("print", "component_id", "root")
-    full = rows.filter("n > 0").select("id", "text_hash", "n", "print").join(by_print, "print").select("id", "text_hash", F.col("n").alias("n_shingles"), "component_id", "root")
+    by_print = durable(placed.join(component, "root").select("print", "component_id", "root", "rows"))
+    full = joined_by(rows.filter("n > 0").select("id", "text_hash", "n", "print"), by_print, "print", "rows").select("id", "text_hash", F.col("n").alias("n_shingles"), "component_id", "root")
     empty = rows.filter("n = 0").select("id", "text_hash", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"), F.lit(None).cast("long").alias("root"))
     return full.union(empty).withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))

@@ -8,11 +8,12 @@ The weights are taken exactly, as the decimal numbers that they print as, over t
 source has given its last block, a new phase begins with the weights of the others scaled up; the bound
 holds within each phase. All rows are placed, none twice. Weights whose schedule repeats within a frame are
 worked out once; with others each block follows from all before it, so the driver deals them one after
-another, from the sources' sizes alone, with a step for each block of rows (its time grows with them). It
-holds ``PIECE`` rows of the plan at a time; the plan goes through the shared folder and is joined by block.
+another, from the sources' sizes alone, with a step for each block of rows (its time grows with them). There may be
+``MOST_SOURCES`` sources; mixing refuses more. The driver holds ``PIECE`` rows of the plan at a time; the plan goes
+through the shared folder and is joined by block.
 
 Defined results: null sources are one source, the empty name; an empty table gives an empty mix; rows
-that repeat stay, each with a place of its own.
+that repeat stay, each with a place of its own; rows of a source that tie in their ids come in any order, null ids first.
 """
 
 from __future__ import annotations
@@ -28,11 +29,12 @@ from uuid import uuid4
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, shared_folder, with_rank
+from .common import durable, fresh, joined_by, quoted, shared_folder, with_rank
 
 FRAME = 1024
 #: Rows of the plan, each some blocks of a source, that the driver holds at a time.
 PIECE = 16_384
+MOST_SOURCES = 10_000
 PLAN = "source string, from_block long, to_block long, start long, frame long, slots array<int>"
 
 
@@ -117,7 +119,9 @@ def mix(df: DataFrame, id_col: str, source_col: str, weights: dict[str, float] |
     """
     along = carry or {}
     rows = durable(df.select(F.col(id_col).alias("id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), *(c.alias(name) for name, c in along.items())))
-    sizes = {r[0]: r[1] for r in rows.groupBy("source").agg(F.count(F.lit(1))).collect()}
+    sizes = {r[0]: r[1] for r in rows.groupBy("source").agg(F.count(F.lit(1))).limit(MOST_SOURCES + 1).collect()}
+    if len(sizes) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources")
     if weights is None:
         weights = {s: math.sqrt(n) for s, n in sizes.items()}
     if missing := [s for s in sizes if weights.get(s, 0) <= 0]:
@@ -137,9 +141,12 @@ def mix(df: DataFrame, id_col: str, source_col: str, weights: dict[str, float] |
 def mixed(df: DataFrame, id_col: str, source_col: str, weights: dict[str, float] | None = None, block_rows: int = 16, frame: int = FRAME) -> DataFrame:
     """The rows of ``df`` themselves, whole, dealt and sorted by their positions in the mix.
 
-    Rows that share an id, however many, follow each other from the place of the first of them.
+    Rows that share an id, however many, follow each other from the place of the first of them; so do rows without one.
     """
-    places = mix(df, id_col, source_col, weights, block_rows, frame).groupBy("id").agg(F.min("position").alias("__position"))
+    key, position, count = fresh(df, "key", "position", "count")
+    named = lambda c: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit(""))
+    placed = mix(df, id_col, source_col, weights, block_rows, frame)
+    placed = durable(placed.groupBy(named(F.col("id")).alias(key)).agg(F.min("position").alias(position), F.count(F.lit(1)).alias(count)))
+    joined = joined_by(df.withColumn(key, named(F.col(quoted(id_col)))), placed, key, count)
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    joined = df.join(places, df[id_col].eqNullSafe(places["id"])).select(*(df[c] for c in df.columns), "__position")
-    return joined.repartitionByRange(parts, "__position").sortWithinPartitions("__position").drop("__position")
+    return joined.repartitionByRange(parts, position).sortWithinPartitions(position).select(*(F.col(quoted(c)) for c in df.columns))

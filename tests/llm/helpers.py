@@ -11,7 +11,7 @@ LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Columns whose names an operator may use itself.
-CLASHING = "doc_id long, text string, lang string, source string, n_chars long, id long, kept boolean, rank long, `group` string, data string, score double, node long, position long"
+CLASHING = "doc_id long, text string, lang string, source string, n_chars long, id long, kept boolean, rank long, `group` string, data string, score double, node long, position long, key string, `count` long, row long, part long, first long, base string, spans string, plain string, whole string, tokens string, __hash long, __id long, __position long"
 
 
 def awkward(spark, schema: str = CLASHING):

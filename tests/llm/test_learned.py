@@ -2,6 +2,8 @@
 
 import math
 import re
+from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -101,11 +103,14 @@ def test_toxicity_of_awkward_rows(spark):
 
 
 def test_features_are_found_across_windows():
-    code = np.unique(np.concatenate([toxicity.grams(np.frombuffer(b"idiot", np.uint8), s) for s in toxicity.SIZES]))
+    def points(t):
+        return toxicity.characters(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0]
+
+    code = np.unique(np.concatenate([toxicity.grams(points("idiót".encode()), s) for s in toxicity.SIZES]))
     lexicon = toxicity.Lexicon(code)
-    texts = [b" an IDIOT idiot ", b" none ", b"idio", b"t idi"]
+    texts = [" an IDIóT idiót ".encode(), b" none ", b"idi", "ót idi".encode(), "漢字idi".encode()]
     data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0] + [len(t) for t in texts])
-    want = sorted((r, f) for r, t in enumerate(texts) for f, g in enumerate(code) if any(toxicity.grams(np.frombuffer(t.lower(), np.uint8), s).tolist().count(int(g)) for s in toxicity.SIZES))
+    want = sorted((r, f) for r, t in enumerate(texts) for f, g in enumerate(code) if any(toxicity.grams(points(t.lower()), s).tolist().count(int(g)) for s in toxicity.SIZES))
     for window in (5, 1 << 19):
         assert sorted(zip(*(x.tolist() for x in lexicon.find(data, offsets, window)), strict=True)) == want
 
@@ -140,15 +145,79 @@ def test_quality_of_awkward_rows(spark):
     assert quality_rules.judge(spark.createDataFrame([], CLASHING), "doc_id", F.col("text")).count() == 0
     texts = ["a b c d e f g h a b c d e f g h", "a b c d e f g h i a b c d e f g h", "x " * 40, "one\none\n \n \none", ""]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    for r in quality_rules.measures(df, "doc_id", F.col("text")).collect():
+    for r in quality_rules.measures(df, F.col("text"), {"id": F.col("doc_id")}).collect():
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == brute_measures(texts[r["id"]])
 
 
-def test_estimates_tell_kinds_of_junk_apart():
-    clean, symbols, repeats = (2, 2, 2), (2, 1, 2), (2, 2, 1)
-    found = quality_rules.Estimates(3).fit({clean: 900, symbols: 60, repeats: 40, (0, 0, 0): 5})
-    assert found.responsibilities(clean)[0] > 0.9 and found.responsibilities(symbols)[0] < 0.2 and found.responsibilities(repeats)[0] < 0.2
-    assert quality_rules.Estimates(3).fit({}).shares[0] == 0.85
+def plain_em(patterns, rules):
+    """The same model, text by text."""
+    rows = [p for p, n in patterns.items() for _ in range(n)]
+    good = [1 / (p.count(1) + 1) if 1 in p else 0.98 for p in rows]
+    for _ in range(500):
+        says, shares = {}, {}
+        for kind, start in (("good", 0.9), ("junk", 0.5)):
+            w = good if kind == "good" else [1 - g for g in good]
+            shares[kind] = (sum(w) + 1) / (len(rows) + 2)
+            says[kind] = [(sum(x for x, p in zip(w, rows) if p[j] == 2) + 2 * start) / (sum(x for x, p in zip(w, rows) if p[j]) + 2) for j in range(rules)]
+
+        def odds(p):
+            out = math.log(shares["good"] / shares["junk"])
+            for j, v in enumerate(p):
+                if v:
+                    a, b = says["good"][j], says["junk"][j]
+                    out += math.log(a / b) if v == 2 else math.log((1 - a) / (1 - b))
+            return out
+
+        now = [1 / (1 + math.exp(-odds(p))) for p in rows]
+        moved, good = max(abs(x - y) for x, y in zip(now, good)), now
+        if moved < 1e-7:
+            break
+    return dict(zip(rows, good))
+
+
+def test_posteriors_are_those_of_a_plain_em():
+    rng = np.random.default_rng(2)
+    patterns = {}
+    for _ in range(800):
+        junk = rng.random() < 0.2
+        p = tuple(0 if rng.random() < 0.2 else 1 + int(rng.random() < (0.4 if junk else 0.93)) for _ in range(5))
+        patterns[p] = patterns.get(p, 0) + 1
+    found, want = quality_rules.Estimates(5).fit(patterns), plain_em(patterns, 5)
+    assert all(found.posterior(p) == pytest.approx(want[p], abs=1e-4) for p in patterns)
+
+
+def test_an_unreliable_rule_is_outvoted_and_two_that_agree_reject():
+    """The last rule finds fault with a tenth of everything; the others agree on junk."""
+    patterns = {(2, 2, 2, 2): 800, (2, 2, 2, 1): 90, (1, 1, 2, 2): 60, (1, 1, 1, 2): 40, (1, 1, 2, 1): 12, (2, 1, 1, 2): 30}
+    found = quality_rules.Estimates(4).fit(patterns)
+    assert found.posterior((2, 2, 2, 1)) > 0.5 and found.posterior((1, 1, 2, 2)) < 0.5 and found.posterior((2, 1, 1, 2)) < 0.5
+    assert found.posterior((2, 2, 2, 2)) > 0.95
+    assert quality_rules.Estimates(3).fit({}).shares["good"] == 0.85
+
+
+def test_the_posterior_decides_not_the_rules_one_by_one(spark):
+    """No set of rules that must all pass keeps the same texts; the labels are met better than by demanding all."""
+    rows = quality_rules.judge(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), "doc_id", F.col("text")).filter(~quality_rules.base_failed())
+    votes = [f"vote_{k}" for k in quality_rules.rules()]
+    found = rows.select("id", "good", *votes).collect()
+    outvoted = [r for r in found if r["good"] >= 0.5 and any(r[v] == quality_rules.JUNK for v in votes)]
+    assert len(outvoted) > 50
+    vetoed = {v for r in outvoted for v in votes if r[v] == quality_rules.JUNK}
+    left = [v for v in votes if v not in vetoed]  # the rules that a conjunction could hold
+    assert any(r["good"] < 0.5 and all(r[v] != quality_rules.JUNK for v in left) for r in found) or len(vetoed) >= 2
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet("/root/testdata/sf0.1/labels.parquet").collect()}
+    right = sum((r["good"] >= 0.5) == bool(labels[r["id"]]) for r in found if r["id"] in labels)
+    all_pass = sum(all(r[v] != quality_rules.JUNK for v in votes) == bool(labels[r["id"]]) for r in found if r["id"] in labels)
+    assert right > all_pass
+
+
+def test_only_good_rows_stay_whole(spark):
+    rows = awkward(spark)
+    assert quality_rules.only_good(rows, F.col("text")).columns == rows.columns
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    want = {r["id"] for r in quality_rules.judge(docs, "doc_id", F.col("text")).filter(quality_rules.kept()).collect()}
+    got = quality_rules.only_good(docs, F.col("text")).collect()
+    assert {r["doc_id"] for r in got} == want and len(got) == len(want) and got[0]["text"]
 
 
 def brute_url(url):
@@ -163,19 +232,73 @@ def brute_url(url):
 
 
 def test_url_rules(spark):
-    odd = [(-1, None, ""), (-2, "", ""), (-3, "nothing here", ""), (-4, "HTTP://A.Example.NET/en/x?q#z", ""), (-5, "http://net", ""), (-6, "http://net/", ""), (-7, "x://y://z.net/a", ""), (-8, "http://planet/", ""), (-9, "http://ÄB.Org/fr/1#?", ""), (-9, "http://ÄB.Org/fr/1#?", ""), (None, "http://www.casino-win.example.org/en", "")]
-    pages = spark.createDataFrame(odd, "page_id long, url string, host string").unionByName(spark.read.parquet(f"{DIR}/pages.parquet").select("page_id", "url", F.lit("").alias("host")))
-    found = url_rules.judge(pages, "page_id", "url", queries.URL_RULES, queries.URL_SEEDS)
+    odd = [(-1, None, ""), (-2, "", ""), (-3, "nothing here", ""), (-4, "HTTP://A.Example.NET/en/x?q#z", ""), (-5, "http://net", ""), (-6, "http://net/", ""), (-7, "x://y://z.net/a", ""), (-8, "http://planet/", ""), (-9, "http://ÄB.Org/fr/1#?", ""), (-9, "http://ÄB.Org/fr/1#?", ""), (None, "http://www.casino-win.example.org/en", ""), (-10, "http://long.example.org/" + "part/" * 20_000, "")]
+    plain = spark.read.parquet(f"{DIR}/pages.parquet")
+    pages = spark.createDataFrame(odd, "page_id long, url string, host string").unionByName(plain.select("page_id", "url", F.lit("").alias("host")))
+    labels = url_rules.labelled(plain, "page_id", "url", "html", queries.URL_RULES)
+    found = url_rules.judge(pages, "page_id", "url", queries.URL_RULES, labels)
     rows = found.join(pages.select(F.col("page_id").alias("id"), "url").distinct(), "id").collect()
     assert rows
     for r in rows:
         host, path, rule = brute_url(r["url"])
         assert (r["host"], r["path"], r["rule"]) == (host, path, rule)
         assert r["verdict"] == queries.URL_RULES[rule] if rule else r["verdict"] in ("allow", "block")
-    spam = [r for r in found.filter("rule is null and host like '%spam-farm%'").collect()]
-    assert spam and all(r["verdict"] == "block" for r in spam)
-    assert found.filter("id is null").first()["verdict"] == "block" and found.count() == pages.count()
-    assert url_rules.judge(pages.limit(0), "page_id", "url", queries.URL_RULES, queries.URL_SEEDS).count() == 0
+    assert found.count() == pages.count() and {r["label"] for r in labels.collect()} <= {"allow", "block", None}
+    empty = url_rules.judge(pages.limit(0), "page_id", "url", queries.URL_RULES, labels.limit(0))
+    assert empty.count() == 0 and url_rules.labelled(plain.limit(0), "page_id", "url", "html", {}).count() == 0
+
+
+def brute_tokens(url):
+    host, path, _ = brute_url(url)
+    words = [f"h:{w}" for w in re.split("[.-]", host)] + [f"p:{re.sub('[0-9]+', '#', w.lower())}" for w in path.split("/")]
+    return frozenset(t for t in words if len(t) > 2)
+
+
+def brute_mine(baskets, support, confidence):
+    """All subsets of all baskets, counted; then those that no shorter one implies."""
+    total = len(baskets)
+    often = {t for t, n in Counter(t for ts, _ in baskets for t in ts).items() if n <= 0.9 * total}
+    have, said = Counter(), Counter()
+    for ts, label in baskets:
+        for k in range(1, len(ts & often) + 1):
+            for part in combinations(sorted(ts & often), k):
+                have[part] += 1
+                said[part, label] += 1
+    rules = {(p, label): (n / have[p], n / total) for (p, label), n in said.items() if label and n / have[p] >= confidence and n >= math.ceil(support * total)}
+    return {(p, label): c for (p, label), c in rules.items() if not any((q, label) in rules and rules[q, label][0] >= c[0] for k in range(1, len(p)) for q in combinations(p, k))}
+
+
+def test_mined_rules_and_verdicts_by_brute_force(spark):
+    pages = spark.read.parquet(f"{DIR}/pages.parquet")
+    labels = url_rules.labelled(pages, "page_id", "url", "html", queries.URL_RULES)
+    baskets = [(brute_tokens(r["url"]), r["label"]) for r in labels.collect()]
+    rules = brute_mine(baskets, 0.03, 0.9)
+    found = {r["id"]: r["verdict"] for r in url_rules.judge(pages, "page_id", "url", queries.URL_RULES, labels, 0.03).collect()}
+    assert rules
+    for r in pages.collect():
+        rule, mine = brute_url(r["url"])[2], brute_tokens(r["url"])
+        fits = [(round(c, 9), round(n, 9), label, p) for (p, label), (c, n) in rules.items() if set(p) <= mine]
+        assert found[r["page_id"]] == (queries.URL_RULES[rule] if rule else max(fits)[2] if fits else "allow")
+
+
+def page(words):
+    return "<html><head><title>t</title></head><body>" + "".join(f"<p>{w}</p>" for w in words) + "</body></html>"
+
+
+def test_rules_from_what_pages_say_block_and_spare(spark):
+    """One shop's pages are junk, except for its help; no listed rule covers any of them."""
+    rng = np.random.default_rng(4)
+    vocabulary = ["".join(rng.choice(list("abcdefghilmnoprstu"), rng.integers(3, 8))) for _ in range(400)]
+    prose = lambda: page([" ".join(rng.choice(vocabulary, 14)).capitalize() + "." for _ in range(9)])
+    junk = lambda: page([" ".join(f"{w.upper()}$$$!!" for w in rng.choice(vocabulary, 6)) for _ in range(20)])
+    rows = [(i, f"https://w{i % 7}.trade.example/buy/{i}", junk()) for i in range(90)]
+    rows += [(100 + i, f"https://w{i % 7}.trade.example/help/{i}", prose()) for i in range(60)]
+    rows += [(200 + i, f"https://paper{i % 9}.example/news/{i}", prose()) for i in range(250)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    labels = url_rules.labelled(pages, "page_id", "url", "html", queries.URL_RULES)
+    new = spark.createDataFrame([(1, "https://w3.trade.example/buy/99999"), (2, "https://w3.trade.example/help/77"), (3, "https://paper2.example/news/x")], "page_id long, url string")
+    found = {r["id"]: r for r in url_rules.judge(new, "page_id", "url", queries.URL_RULES, labels, 0.02).collect()}
+    assert [found[i]["verdict"] for i in (1, 2, 3)] == ["block", "allow", "allow"] and all(r["rule"] is None and r["mined_items"] for r in found.values())
 
 
 def test_mined_rules_have_their_confidence(spark):

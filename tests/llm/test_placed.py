@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import string
 import zlib
 from collections import Counter
 
@@ -98,24 +99,79 @@ def test_base_spans(spark, docs):
         assert set(filter(None, listed(spans).split(","))) <= set(r["spans"].split(","))
 
 
-def test_odd_secrets(spark):
+@pytest.fixture(scope="module")
+def model(spark):
+    return secret_scan.learn(spark.read.parquet(f"{DIR}/documents.parquet"), "doc_id", F.col("text"))
+
+
+def test_odd_secrets(spark, model):
     texts = ["secret=token: abcdefgh", "🙂 PassWord = 'hunter2!' x", "AKIA" + "A" * 16 + "AKIA" + "B" * 30, "a" * 24 + "g" + "b" * 23, "token token=abc.def-g", "api_key:'x' apikey=123456", "\uffff\uffff" + "0" * 40 + "\uffff", "", None]
     texts.append("key zQ8vK2mXw7Rt5LpJ9sYb4NfH3cGd end, internationalisation_of_everything_now and " + "-" * 40)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    ratios = secret_scan.learn(spark.read.parquet(f"{DIR}/documents.parquet"), "doc_id", F.col("text"))
-    found = {r["id"]: r for r in secret_scan.scan(df, "doc_id", F.col("text"), ratios).collect()}
+    found = {r["id"]: r for r in secret_scan.scan(df, "doc_id", F.col("text"), model).collect()}
     for i, t in enumerate(texts):
         assert [(s["start"], s["kind"], s["end"]) for s in found[i]["base"]] == brute_spans(t), t
     added = [s["text"] for s in found[len(texts) - 1]["spans"] if s["kind"] == 3]
     assert added == ["zQ8vK2mXw7Rt5LpJ9sYb4NfH3cGd"]
-    clean = {r["doc_id"]: r["text"] for r in secret_scan.clean(df, "text", ratios).collect()}
+    clean = {r["doc_id"]: r["text"] for r in secret_scan.clean(df, "text", model).collect()}
     assert clean[1] == "🙂 [SECRET]!' x" and clean[8] is None and clean[7] == "" and "zQ8" not in clean[9] and "internationalisation" in clean[9]
 
 
+ALPHABETS = {"hex": "0123456789abcdef", "HEX": "0123456789ABCDEF", "lower": string.ascii_lowercase + string.digits, "upper": string.ascii_uppercase + string.digits, "base64": string.ascii_letters + string.digits + "+/", "url": string.ascii_letters + string.digits + "-_"}
+USUAL = ["internationalisation_of_everything", "getUserAccountSettingsFromRequest", "MAX_CONNECTION_POOL_SIZE", "org/apache/spark/sql/functions", "articles/some-long-title-of-a-post", "4532015112830366", "20240115-093000", "test_shares_stay_within_a_block", "counterrevolutionaries", "-" * 40, "=" * 30, "_" * 20, "Donaudampfschifffahrtsgesellschaft", "kkkkkkkkkkkkkkkkkkkkkkkk", "0000000000000000000"]
+
+
+def test_planted_random_tokens_are_found(spark, model):
+    rng = random.Random(11)
+    rows = [(f"{k} {n}", f"x {''.join(rng.choice(a) for _ in range(n))} y") for k, a in ALPHABETS.items() for n in (16, 20, 32, 48, 64) for _ in range(60)]
+    found = secret_scan.scan(spark.createDataFrame(rows, "k string, text string"), "k", F.col("text"), model).groupBy("id").agg(F.avg((F.size("spans") > 0).cast("double")).alias("share")).collect()
+    assert len(found) == 30 and all(r["share"] >= 0.9 for r in found), found
+    usual = secret_scan.scan(spark.createDataFrame([(x, f"see {x}, {x}.") for x in USUAL], "k string, text string"), "k", F.col("text"), model)
+    assert [r["id"] for r in usual.filter("size(spans) > 0").collect()] == []
+
+
+def brute_ratio(model, token):
+    kinds = [re.compile(p) for p in ("[0-9a-f]*", "[0-9A-F]*", "[0-9a-z]*", "[0-9A-Z]*", ".*")]
+    table = model.ratios[next(i for i, p in enumerate(kinds) if p.fullmatch(token))]
+    return sum(table[(ord(a) - ord("+")) * 80 + ord(b) - ord("+")] for a, b in zip(token, token[1:]))
+
+
+def test_added_spans_by_brute_force(spark, model):
+    rng = random.Random(5)
+    every = "".join(ALPHABETS["base64"]) + "=_-"
+    texts = []
+    for _ in range(60):
+        words = [rng.choice(USUAL + ["token = abcdef", "plain", "é🙂", "AKIA" + "Q7" * 9]) if rng.random() < 0.6 else "".join(rng.choice(rng.choice([every, "abc", "0123456789abcdef"])) for _ in range(rng.randrange(10, 40))) for _ in range(12)]
+        texts.append(rng.choice([" ", ", ", "\n"]).join(words))
+    for r in secret_scan.scan(spark.createDataFrame(list(enumerate(texts)), "k long, text string"), "k", F.col("text"), model).collect():
+        t = texts[r["id"]]
+        want = brute_spans(t)
+        blank = list(t)
+        for a, _, b in want:
+            blank[a:b] = " " * (b - a)
+        want += [(m.start(), 3, m.end()) for m in re.finditer("[A-Za-z0-9+/_=-]{16,}", "".join(blank)) if brute_ratio(model, m[0]) >= model.least]
+        assert [(s["start"], s["kind"], s["end"]) for s in r["spans"]] == sorted(want)
+
+
+def test_redaction_by_brute_force(spark, model):
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice(["ffffffffffffffffffffffffapi_key=xyz123", "token='abcdefgh'", "word 🙂", "AKIA" + "B" * 18, "a" * 30 + " secret=" + "c" * 40, "prose " * 900]) for _ in range(40)) for _ in range(12)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = {r["id"]: r["spans"] for r in secret_scan.scan(df, "doc_id", F.col("text"), model).collect()}
+    for r in secret_scan.clean(df, "text", model).collect():
+        t, out, at = texts[r["doc_id"]], "", 0
+        for s in spans[r["doc_id"]]:
+            if s["start"] >= at:
+                out += t[at : s["start"]] + "[SECRET]"
+            at = max(at, s["end"])
+        assert r["text"] == out + t[at:]
+
+
 def test_secrets_of_awkward_rows(spark):
     rows, empty = awkward(spark), spark.createDataFrame([], CLASHING)
     ratios = secret_scan.learn(rows, "doc_id", F.col("text"))
     assert secret_scan.scan(rows, "doc_id", F.col("text"), ratios).count() == rows.count()
+    assert [r["spans"] for r in secret_scan.scan(rows, "doc_id", F.col("text"), ratios).filter("id = 2").collect()] == [[]]
     assert secret_scan.scan(empty, "doc_id", F.col("text"), secret_scan.learn(empty, "doc_id", F.col("text"))).count() == 0
     assert secret_scan.clean(rows, "text", ratios).columns == rows.columns
 
@@ -180,8 +236,8 @@ def test_bounds_are_the_best(spark):
 
     for _ in range(20):
         lengths = [rng.randrange(1, 60) for _ in range(30)]
-        bins = [(n, c, n * c) for n, c in Counter(lengths).items()]
-        bounds = packing.best_bounds(bins, 4)
+        found = Counter(lengths)
+        bounds = packing.best_bounds(np.array(list(found)), np.array(list(found.values())), 4)
         cost = lambda bs: sum(next(b for b in bs if b >= n) - n for n in lengths)
         distinct = sorted(set(lengths))
         assert cost(bounds) == min(cost(c + (distinct[-1],)) for k in range(4) for c in combinations(distinct[:-1], k))
@@ -227,6 +283,30 @@ def test_many_alike_groups_fill_evenly():
     assert sum(load.values()) == 34000 and max(load.values()) == 9000
 
 
+def heap_shards(sizes: list[int], shards: int) -> int:
+    load = [0] * shards
+    for n in sorted(sizes, reverse=True):
+        load[load.index(min(load))] += n
+    return max(load)
+
+
+def test_as_even_as_a_plain_heap(spark):
+    """Large groups of sizes that one bin would hold, beside many small ones."""
+    rng = random.Random(8)
+    texts = [f"{i} " + "x" * rng.choice([rng.randrange(40), 40_000 + rng.randrange(60), rng.randrange(9000)]) for i in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    load = Counter()
+    for r in sharding.shard_rows(df, "doc_id", F.col("text"), 7).collect():
+        load[r["shard"]] += r["size"]
+    assert max(load.values()) <= heap_shards([len(t) + 8 for t in texts], 7) * 1.0005
+
+
+def test_one_group_of_a_third(spark):
+    rows = [(i, "the same text") for i in range(400)] + [(1000 + i, f"text {i}") for i in range(800)]
+    found = sharding.shard_rows(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", F.col("text"), 4).collect()
+    assert len(found) == 1200 and len({r["shard"] for r in found if r["id"] < 1000}) == 1
+
+
 def test_shards_of_awkward_rows(spark):
     rows, empty = awkward(spark), spark.createDataFrame([], CLASHING)
     found = sharding.shard_rows(rows, "doc_id", F.col("text"), 3).collect()
