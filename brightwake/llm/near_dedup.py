@@ -4,9 +4,8 @@
    samples, of which 128 make 32 bands of 4; an odd sketch, the parity bitmap of all samples folded into
    1024 bits; and a 128-bit fingerprint of the set. Documents with equal sets form one class at once, whatever their
    number; all that follows sees one row for each class.
-2. Classes that share a band are candidates. In each bucket the hubs (the lowest and the highest class, and in
-   a bucket of many up to six more, the same ones in all buckets that have them) stand against all members, which gives
-   rows in proportion to the bucket, not to its square. A pair goes
+2. Classes that share a band are candidates. In each bucket the hubs (the lowest and the highest class)
+   stand against all members, which gives rows in proportion to the bucket, not to its square. A pair goes
    on if the size bound and the odd sketches allow 75 %: the population count of the two bitmaps' XOR
    estimates the similarity, with a margin of five standard errors. The full sets decide.
 3. Connected components of the confirmed links. Buckets that still hold more than one component then set
@@ -50,9 +49,6 @@ _rng = np.random.default_rng(20240501)
 _BYTE = _rng.integers(1, 1 << 64, 256, dtype=np.uint64, endpoint=False)
 _BYTE[65:91] = _BYTE[97:123]  # A-Z count as a-z
 _SEEDS = _rng.integers(1, 1 << 64, SAMPLES, dtype=np.uint64, endpoint=False) | np.uint64(1)
-#: A bucket of more than ``MANY`` classes has further hubs: those that come first when the numbers are XORed with each of these.
-MANY = 16
-TURNS = [int(x) for x in _rng.integers(1, 1 << 62, 6)]
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _BASE = np.uint64(0x9FB21C651E98DF25)
@@ -246,18 +242,15 @@ def verdicts(df: DataFrame, id_col: str, text: Column) -> DataFrame:
         .withColumn("node", F.monotonically_increasing_id())
     )
     members = classes.select("node", F.explode("keys").alias("key"))
-    turned = [F.min(F.col("node").bitwiseXOR(F.lit(t))).bitwiseXOR(F.lit(t)) for t in TURNS]
-    ends = members.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("top"), F.count(F.lit(1)).alias("many"), *(t.alias(f"t{i}") for i, t in enumerate(turned))).filter("low <> top")
-    more = F.when(F.col("many") > MANY, F.array(*(f"t{i}" for i in range(len(TURNS))))).otherwise(F.array().cast("array<long>"))
-    shared = durable(members.join(ends.select("key", F.array_distinct(F.concat(F.array("low", "top"), more)).alias("hubs")), "key"))
+    ends = members.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("top")).filter("low <> top")
+    shared = durable(members.join(ends, "key"))
     light = classes.select("node", "n", *odd)  # what candidates are judged by
 
     def judged(pairs: DataFrame) -> DataFrame:
         x, y = light.alias("x"), light.alias("y")
         return pairs.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node")).filter(allowed("x", "y")).select("a", "b")
 
-    rays = shared.select("node", F.explode("hubs").alias("hub")).filter("node <> hub")
-    stars = rays.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    stars = shared.select(F.col("low").alias("a"), F.col("node").alias("b")).union(shared.select(F.col("node").alias("a"), F.col("top").alias("b"))).filter("a <> b").distinct()
     pairs = durable(judged(stars))
     sets = full_sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), classes, docs)
     x, y = sets.alias("x"), sets.alias("y")
@@ -265,10 +258,10 @@ def verdicts(df: DataFrame, id_col: str, text: Column) -> DataFrame:
     roots = durable(components(links))
 
     # Buckets of more than one component: what isn't in the largest against the other components.
-    named = shared.join(roots, "node", "left").select("key", "hubs", "node", F.coalesce("root", "node").alias("root"))
+    named = shared.join(roots, "node", "left").select("key", "low", "top", "node", F.coalesce("root", "node").alias("root"))
     sizes = named.groupBy("key", "root").agg(F.count(F.lit(1)).alias("many"))
     mixed = sizes.groupBy("key").agg(F.max_by("root", "many").alias("main"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
-    unseen = named.filter(~F.array_contains("hubs", F.col("node")))  # the hubs have met all members of their buckets
+    unseen = named.filter("node <> low and node <> top")  # the hubs have met all members of their buckets
     left_over = durable(unseen.join(mixed.select("key", "main"), "key").select("key", "node", "root", "main").join(light, "node"))
     outside = left_over.filter("root <> main")
     apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root"))
