@@ -86,7 +86,7 @@ _PTS = (
     f"r AS (SELECT * FROM p WHERE time < (SELECT max(ts) FROM events) AND time >= (SELECT max(ts) FROM events) - INTERVAL 30 DAY)"
 )
 _TXT = (
-    f"WITH n AS (SELECT ts AS time, event_id, event_type, list_extract({_LIST(P.TEXTS)}, CAST(event_id % {_T} AS BIGINT) + 1) AS m FROM events), p AS (SELECT time, m, CASE WHEN lower(m) LIKE '%time' THEN strftime(time + to_minutes(CAST(event_id % 900 AS BIGINT)), '%Y-%m-%dT%H:%M:%SZ') ELSE event_type END AS v FROM n), "
+    f"WITH n AS (SELECT ts AS time, event_id, event_type, value AS x, list_extract({_LIST(P.TEXTS)}, CAST(event_id % {_T} AS BIGINT) + 1) AS m FROM events), p AS (SELECT time, m, x, CASE WHEN lower(m) LIKE '%time' THEN strftime(time + to_minutes(CAST(event_id % 900 AS BIGINT)), '%Y-%m-%dT%H:%M:%SZ') ELSE event_type END AS v FROM n), "
     "r AS (SELECT * FROM p WHERE time < (SELECT max(ts) FROM events) AND time >= (SELECT max(ts) FROM events) - INTERVAL 30 DAY), d AS (SELECT * FROM p WHERE time >= date_trunc('day', (SELECT max(ts) FROM events)) AND time < date_trunc('day', (SELECT max(ts) FROM events)) + INTERVAL 1 DAY)"
 )
 
@@ -123,7 +123,7 @@ ORACLES: dict[str, str] = {
     "get_wind_apparent": _wind_sql(_W + "speedApparent", _W + "angleApparent"),
     "get_wind_true": _wind_sql(_W + "speedTrue", _W + "angleTrueWater"),
     "get_wind_direction": _one(f"{_DEG.format('x')} AS direction_degrees, {_PT.format('x')} AS direction_compass, 'degrees' AS unit", x=_W + "directionTrue"),
-    "get_depth": _one("round(x, 4) AS depth_meters, round(x * 3.28084, 4) AS depth_feet, 'meters' AS unit", x="environment.depth.belowKeel"),
+    "get_depth": _one("round(coalesce(x, y), 4) AS depth_meters, round(coalesce(x, y) * 3.28084, 4) AS depth_feet, 'meters' AS unit", x="environment.water.depth", y="environment.depth.belowKeel"),
     "get_water_temp": _one("round(x - 273.15, 4) AS temperature_celsius, round((x - 273.15) * 9 / 5 + 32, 4) AS temperature_fahrenheit, 'celsius' AS unit", x="environment.water.temperature"),
     "get_current": _one(f"{_KN.format('s')} AS speed_knots, {_DEG.format('a')} AS direction_degrees, {_PT.format('a')} AS direction_compass", s="environment.current.drift", a="environment.current.setTrue"),
     "get_heel": _one(f"{_SGN.format('x')} AS heel_degrees, round(x, 4) AS heel_radians, CASE WHEN x > 0 THEN 'starboard' ELSE 'port' END AS side", x=_A + "roll"),
@@ -131,13 +131,14 @@ ORACLES: dict[str, str] = {
     "get_attitude": _one(f"{_SGN.format('a')} AS roll, {_SGN.format('b')} AS pitch, {_SGN.format('c')} AS yaw, 'degrees' AS unit", a=_A + "roll", b=_A + "pitch", c=_A + "yaw"),
     "get_all_polars": "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(f"CAST({x} AS DOUBLE)" for x in row) + ")" for row in P.POLAR) + ") AS v(tws, upwind, reach, downwind, upwind_angle, downwind_angle)",
     "get_current_sails": f"{_TXT}, l AS (SELECT {_v('sails.mainsail')} AS a, {_v('sails.jib')} AS b, {_v('sails.jib.state')} AS c, {_v('sails.spinnaker')} AS d, {_v('sails.spinnaker.state')} AS e FROM r) SELECT coalesce(a, 'unknown') AS mainsail, coalesce(b, 'none') AS jib, coalesce(c, 'unknown') AS jib_state, coalesce(d, 'none') AS spinnaker, coalesce(e, 'none') AS spinnaker_state, concat_ws(' + ', a, b, d) AS configuration FROM l",
-    "get_crew_status": f"{_TXT} SELECT {_v('crew.helmsman.name')} AS current_helmsman, {_v('crew.helmsman.watchStart')} AS helmsman_watch_start, {_v('crew.helmsman.timeAtHelm')} AS helmsman_time_at_helm, {_v('crew.tactician.name')} AS tactician, {_v('crew.mainTrimmer.name')} AS main_trimmer, {_v('crew.jibTrimmer.name')} AS jib_trimmer, {_v('crew.bowman.name')} AS bowman, {_v('crew.pit.name')} AS pit_crew, CAST(count(DISTINCT m) FILTER (m IN ('crew.helmsman.name', 'crew.tactician.name', 'crew.mainTrimmer.name', 'crew.jibTrimmer.name', 'crew.bowman.name', 'crew.pit.name')) AS INTEGER) AS crew_count FROM r",
-    "get_helmsman_history": f"{_TXT} SELECT v AS helmsman, strftime(time, '%Y-%m-%dT%H:%M:%SZ') AS time, CAST(row_number() OVER (ORDER BY r.time DESC) AS INTEGER) AS \"order\" FROM r WHERE m = 'crew.helmsman.change' QUALIFY \"order\" <= 10",
+    "get_crew_status": f"{_TXT} SELECT {_v('crew.helmsman.name')} AS current_helmsman, {_v('crew.helmsman.watchStart')} AS helmsman_watch_start, {_v('crew.helmsman.timeAtHelm')} AS helmsman_time_at_helm, {_v('crew.tactician.name')} AS tactician, {_v('crew.mainTrimmer.name')} AS main_trimmer, {_v('crew.jibTrimmer.name')} AS jib_trimmer, {_v('crew.bowman.name')} AS bowman, {_v('crew.pit.name')} AS pit_crew, CAST(count(DISTINCT m) FILTER (m LIKE 'crew.%' AND m LIKE '%.name%') AS INTEGER) AS crew_count FROM r",
+    "get_helmsman_history": f"{_TXT} SELECT v AS helmsman, strftime(time, '%Y-%m-%dT%H:%M:%SZ') AS time, CAST(row_number() OVER (ORDER BY r.time DESC) AS INTEGER) AS \"order\", CAST(least(10, count(*) OVER ()) AS INTEGER) AS total_changes, CAST(720 AS DOUBLE) AS race_duration_hours FROM r WHERE m = 'crew.helmsman.change' QUALIFY \"order\" <= 10",
     "get_sun_data": f"{_TXT} SELECT strftime((SELECT max(ts) FROM events), '%Y-%m-%d') AS date, {_v('environment.sun.sunriseTime')} AS sunrise, {_v('environment.sun.sunsetTime')} AS sunset, 'points' AS source FROM d",
-    "get_tide_data": f"{_TXT} SELECT strftime((SELECT max(ts) FROM events), '%Y-%m-%d') AS date, {_v('environment.tide.highTime')} AS high_time, {_v('environment.tide.lowTime')} AS low_time, 'points' AS source FROM d",
-    "get_next_event": f"{_TXT}, l AS (SELECT m, arg_max(v, time) AS v FROM d WHERE m IN ('environment.sun.sunriseTime', 'environment.sun.sunsetTime', 'environment.moon.riseTime', 'environment.moon.setTime') GROUP BY m) SELECT v AS time, CASE m WHEN 'environment.sun.sunriseTime' THEN 'sunrise' WHEN 'environment.sun.sunsetTime' THEN 'sunset' WHEN 'environment.moon.riseTime' THEN 'moonrise' ELSE 'moonset' END AS type FROM l WHERE strptime(v, '%Y-%m-%dT%H:%M:%SZ') > (SELECT max(ts) FROM events) ORDER BY v, type LIMIT 1",
+    "get_tide_data": f"{_TXT} SELECT strftime((SELECT max(ts) FROM events), '%Y-%m-%d') AS date, {_v('environment.tide.tideHighTime')} AS high_time, round(arg_max(x, time) FILTER (m = 'environment.tide.tideHighLevel'), 4) AS high_level, {_v('environment.tide.tideLowTime')} AS low_time, round(arg_max(x, time) FILTER (m = 'environment.tide.tideLowLevel'), 4) AS low_level, 'points' AS source FROM d",
+    "get_next_event": f"{_TXT}, l AS (SELECT m, arg_max(v, time) AS v FROM d WHERE m IN ('environment.sun.sunriseTime', 'environment.sun.sunsetTime', 'environment.moon.moonriseTime', 'environment.moon.moonsetTime') GROUP BY m) SELECT v AS time, CASE m WHEN 'environment.sun.sunriseTime' THEN 'sunrise' WHEN 'environment.sun.sunsetTime' THEN 'sunset' WHEN 'environment.moon.moonriseTime' THEN 'moonrise' ELSE 'moonset' END AS type FROM l WHERE strptime(v, '%Y-%m-%dT%H:%M:%SZ') > (SELECT max(ts) FROM events) ORDER BY v, type LIMIT 1",
+    "get_race_marks": f"{_TXT}, l AS (SELECT {_v('race.mark.windward')} AS w, {_v('race.mark.leeward')} AS l, {_v('race.mark.gate1')} AS a, {_v('race.mark.gate2')} AS b, {_v('race.mark.finish')} AS f FROM r) SELECT coalesce(w, 'unknown') AS windward_mark, coalesce(l, 'unknown') AS leeward_mark, [a, b] AS gate_marks, coalesce(f, 'unknown') AS finish_line, CASE WHEN w IS NOT NULL AND l IS NOT NULL AND a IS NOT NULL THEN 'Full Olympic (upwind/downwind/upwind)' WHEN w IS NOT NULL AND l IS NOT NULL THEN 'Simple windward/leeward' ELSE 'Unknown/Custom course' END AS course_type FROM l",
     "get_crew_workload": f"{_PTS}, a AS (SELECT avg(v) FILTER (m = '{_W}speedTrue') / 0.51444 AS w, avg(v) FILTER (m = '{tools.SOG}') / 0.51444 AS s FROM r) SELECT round(w, 1) AS wind_speed, round(s, 1) AS boat_speed, CASE WHEN w < 8 THEN 'light' WHEN w < 12 THEN 'moderate' WHEN w < 16 THEN 'high' ELSE 'intense' END AS level, CAST(CASE WHEN w < 8 THEN 20 WHEN w < 12 THEN 50 WHEN w < 16 THEN 75 ELSE 100 END AS INTEGER) AS percentage, CAST(CASE WHEN w < 8 THEN 90 WHEN w < 12 THEN 60 WHEN w < 16 THEN 45 ELSE 30 END AS INTEGER) AS rotation_minutes, CAST(CASE WHEN w < 8 THEN 2 WHEN w < 12 THEN 3 WHEN w < 16 THEN 4 ELSE 5 END AS INTEGER) AS watches, CASE WHEN w < 8 THEN [] WHEN w < 12 THEN ['Helmsman', 'Main Trimmer'] WHEN w < 16 THEN ['Helmsman', 'Main Trimmer', 'Jib Trimmer'] ELSE ['Helmsman', 'Main Trimmer', 'Jib Trimmer', 'Bowman'] END AS priority_positions, CASE WHEN w < 8 THEN 'Light conditions. Crew can focus on trim and tactics.' WHEN w < 12 THEN 'Moderate conditions. Regular rotation recommended.' WHEN w < 16 THEN 'High workload. Frequent helm rotations advised.' ELSE 'Intense conditions. Maximum alertness required.' END AS assessment FROM a",
-    "get_buoy_data": "WITH e AS (SELECT ts, list_extract(['44065', '44025', '44008', '44099'], CAST(user_id % 4 AS BIGINT) + 1) AS station, event_id % 4 AS k, value / 20 AS v FROM events WHERE ts < (SELECT max(ts) FROM events) AND ts >= (SELECT max(ts) FROM events) - INTERVAL 30 DAY) SELECT station, coalesce(name, 'Unknown') AS name, coalesce(lat, 0) AS lat, coalesce(lon, 0) AS lon, coalesce(distance, '?') AS distance, round(arg_max(v, ts) FILTER (k = 0), 4) AS wind_speed, round(arg_max(v, ts) FILTER (k = 1), 4) AS wind_gust, round(arg_max(v, ts) FILTER (k = 2), 4) AS wave_height, round(arg_max(v, ts) FILTER (k = 3), 4) AS water_temp FROM e LEFT JOIN (SELECT * FROM (VALUES "
+    "get_buoy_data": "WITH e AS (SELECT ts, list_extract(['44065', '44025', '44008', '44099'], CAST(user_id % 4 AS BIGINT) + 1) AS station, event_id % 5 AS k, value / 20 AS v FROM events WHERE ts < (SELECT max(ts) FROM events) AND ts >= (SELECT max(ts) FROM events) - INTERVAL 30 DAY) SELECT station, coalesce(name, 'Unknown') AS name, coalesce(lat, 0) AS lat, coalesce(lon, 0) AS lon, coalesce(distance, '?') AS distance, round(arg_max(v, ts) FILTER (k = 0), 4) AS wind_speed, round(arg_max(v, ts) FILTER (k = 1), 4) AS wind_gust, round(arg_max(v, ts) FILTER (k = 2), 4) AS wave_height, round(arg_max(v, ts) FILTER (k = 3), 4) AS water_temp, round(arg_max(v, ts) FILTER (k = 4), 4) AS wind_direction FROM e LEFT JOIN (SELECT * FROM (VALUES "
     + ", ".join(f"('{s}', '{n}', CAST({a} AS DOUBLE), CAST({b} AS DOUBLE), '{d}')" for s, n, a, b, d in P.BUOYS)
     + ") AS v(station, name, lat, lon, distance)) USING (station) GROUP BY ALL",
     "alerts_firing": f"{_PTS}, rules AS (SELECT * FROM (VALUES {', '.join(f'''('{r.uid}', '{r.measurement}', '{r.test}', CAST({r.limit} AS DOUBLE), '{r.severity}')''' for r in alerts.THRESHOLDS)}) AS v(uid, m, test, lim, severity)), l AS (SELECT m, arg_max(v, time) AS v FROM r GROUP BY m) SELECT uid, severity, round(v, 4) AS value FROM rules JOIN l USING (m) WHERE CASE test WHEN '<' THEN v < lim WHEN '<=' THEN v <= lim WHEN '>' THEN v > lim ELSE v >= lim END",

@@ -93,7 +93,9 @@ def get_wind_direction(p, asof, within="1 hour"):
 
 
 def get_depth(p, asof, within="1 hour"):
-    return of(p, asof, within, x="environment.depth.belowKeel").select(r("x").alias("depth_meters"), r(U.feet(F.col("x"))).alias("depth_feet"), F.lit("meters").alias("unit"))
+    """The depth of the water; where it isn't written, that below the keel."""
+    rows = of(p, asof, within, w="environment.water.depth", k="environment.depth.belowKeel").withColumn("x", F.coalesce("w", "k"))
+    return rows.select(r("x").alias("depth_meters"), r(U.feet(F.col("x"))).alias("depth_feet"), F.lit("meters").alias("unit"))
 
 
 def get_water_temp(p, asof, within="1 hour"):
@@ -188,10 +190,10 @@ def get_current_sails(p, asof, within="1 hour"):
 
 def get_race_start(p, asof, within="2 hours"):
     rows = texts(p, asof, within, name="race.start.name", start="race.start.time", cls="race.start.class", line="race.start.lineLength")
-    left = F.floor(F.to_timestamp("start").cast("double") - asof.cast("double"))
+    left = F.floor(F.try_to_timestamp("start").cast("double") - asof.cast("double"))
     return rows.select(
-        F.coalesce("name", F.lit("Race 1")).alias("race_name"), F.col("start").alias("start_time"), left.alias("time_to_start_seconds"), F.coalesce(C.start_status(left), F.lit("Unknown")).alias("start_status"),
-        C.signal_sequence(left).alias("signal_sequence"), F.coalesce("cls", F.lit("unknown")).alias("class"), F.coalesce("line", F.lit("unknown")).alias("start_line_length_meters"),
+        F.coalesce("name", F.lit("Race 1")).alias("race_name"), F.col("start").alias("start_time"), left.alias("time_to_start_seconds"), F.when(left.isNull(), "unknown").otherwise(C.start_status(left)).alias("start_status"),
+        C.signal_sequence(left).alias("signal_sequence"), F.coalesce("cls", F.lit("J/30")).alias("class"), F.coalesce("line", F.lit("unknown")).alias("start_line_length_meters"),
     )
 
 
@@ -205,7 +207,8 @@ def get_distance_to_line(p, asof, within="2 hours"):
 
 def get_race_marks(p, asof, within="2 hours"):
     rows = texts(p, asof, within, windward="race.mark.windward", leeward="race.mark.leeward", g1="race.mark.gate1", g2="race.mark.gate2", finish="race.mark.finish")
-    return rows.select("windward", "leeward", F.array("g1", "g2").alias("gate_marks"), "finish", C.course_type(F.col("windward"), F.col("leeward"), F.col("g1")).alias("course_type"))
+    said = lambda c: F.coalesce(c, F.lit("unknown"))
+    return rows.select(said("windward").alias("windward_mark"), said("leeward").alias("leeward_mark"), F.array("g1", "g2").alias("gate_marks"), said("finish").alias("finish_line"), C.course_type(F.col("windward"), F.col("leeward"), F.col("g1")).alias("course_type"))
 
 
 def on_day(p: DataFrame, date: Column) -> DataFrame:
@@ -222,7 +225,7 @@ def get_sun_data(p, asof, within="", date=None):
 def get_moon_data(p, asof, within="", date=None):
     day = F.to_date(asof) if date is None else date
     rows = on_day(p, day)
-    hits = latest(rows, {"moonrise": "environment.moon.riseTime", "moonset": "environment.moon.setTime"}, value="value_string")
+    hits = latest(rows, {"moonrise": "environment.moon.moonriseTime", "moonset": "environment.moon.moonsetTime"}, value="value_string")
     light = latest(rows, {"i": "environment.moon.illumination", "ph": "environment.moon.phase"}, value="value_double")
     both = hits.withColumn("k", F.lit(1)).join(F.broadcast(light.withColumn("k", F.lit(1))), "k")
     return both.select(day.cast("string").alias("date"), "moonrise", "moonset", r("i").alias("illumination"), C.moon_phase(F.col("ph")).alias("phase"), F.lit("points").alias("source"))
@@ -230,22 +233,30 @@ def get_moon_data(p, asof, within="", date=None):
 
 def get_tide_data(p, asof, within="", date=None):
     day = F.to_date(asof) if date is None else date
-    return latest(on_day(p, day), {"high_time": "environment.tide.highTime", "low_time": "environment.tide.lowTime"}, value="value_string").select(day.cast("string").alias("date"), "high_time", "low_time", F.lit("points").alias("source"))
+    rows, tide = on_day(p, day), "environment.tide.tide"
+    times = latest(rows, {"high_time": tide + "HighTime", "low_time": tide + "LowTime"}, value="value_string").withColumn("k", F.lit(1))
+    levels = latest(rows, {"high": tide + "HighLevel", "low": tide + "LowLevel"}, value="value_double").withColumn("k", F.lit(1))
+    return times.join(F.broadcast(levels), "k").select(day.cast("string").alias("date"), "high_time", r("high").alias("high_level"), "low_time", r("low").alias("low_level"), F.lit("points").alias("source"))
 
 
-EVENTS = {"environment.sun.sunriseTime": "sunrise", "environment.sun.sunsetTime": "sunset", "environment.moon.riseTime": "moonrise", "environment.moon.setTime": "moonset"}
+EVENTS = {"environment.sun.sunriseTime": "sunrise", "environment.sun.sunsetTime": "sunset", "environment.moon.moonriseTime": "moonrise", "environment.moon.moonsetTime": "moonset"}
 
 
 def get_next_event(p, asof, within=""):
     """The earliest of today's sun and moon times that is still to come; no row if none is."""
     names = F.create_map(*(F.lit(x) for kv in EVENTS.items() for x in kv))
     last = Series(on_day(p, F.to_date(asof)).filter(F.col("measurement").isin(*EVENTS)), value="value_string").last()
-    rows = last.select(F.to_timestamp("value_string").alias("at"), names[F.col("measurement")].alias("type"))
+    rows = last.select(F.try_to_timestamp("value_string").alias("at"), names[F.col("measurement")].alias("type"))
     return rows.filter(F.col("at") > asof).orderBy("at", "type").limit(1).select(F.date_format("at", P.CLOCK).alias("time"), "type")
 
 
-def get_current_weather(p, asof, within="30 minutes"):
-    w = "weather."
+def at_location(p: DataFrame, location: str) -> DataFrame:
+    """The points of a place; points that name none count as its own."""
+    return p.filter(F.coalesce(F.col("tags")["location"], F.lit(location)) == location)
+
+
+def get_current_weather(p, asof, within="30 minutes", location="stamford"):
+    w, p = "weather.", at_location(p, location)
     rows = of(p, asof, within, t=w + "temperature", h=w + "humidity", pr=w + "pressure", s=w + "wind_speed", d=w + "wind_direction", g=w + "wind_gust", rain=w + "precipitation")
     sky = texts(p, asof, within, sky=w + "condition").withColumn("k", F.lit(1))
     rows = rows.withColumn("k", F.lit(1)).join(F.broadcast(sky), "k")
@@ -256,15 +267,15 @@ def get_current_weather(p, asof, within="30 minutes"):
     )
 
 
-def get_weather_trend(p, asof, within="30 minutes", before="60 minutes"):
-    rows = two_ranges(p.filter(F.col("measurement") == "weather.temperature"), [], "value_double", asof, within, before)
+def get_weather_trend(p, asof, within="30 minutes", before="60 minutes", location="stamford"):
+    rows = two_ranges(at_location(p, location).filter(F.col("measurement") == "weather.temperature"), [], "value_double", asof, within, before)
     label = C.trend(F.col("change"), 0.5, "Warming", "Cooling")
     text = F.concat(F.lit("Temperature "), F.lower(label), F.format_string(" (%+.1f°C)", "change"))
     return rows.select(label.alias("trend"), r("change").alias("temperature_change"), text.alias("description"))
 
 
-def get_wind_assessment(p, asof, within="30 minutes"):
-    w = get_current_weather(p, asof, within)
+def get_wind_assessment(p, asof, within="30 minutes", location="stamford"):
+    w = get_current_weather(p, asof, within, location)
     wind, gust = F.col("wind_speed_knots"), F.coalesce("wind_gust_knots", "wind_speed_knots")
     span = F.concat(U.fixed(wind, 1), F.lit(" - "), U.fixed(gust, 1), F.lit(" knots"))
     return w.select(C.wind_condition(wind).alias("condition"), span.alias("range"), C.wind_advice(wind, gust).alias("recommendations"), C.sail_plan(wind).alias("sails"))
@@ -273,15 +284,19 @@ def get_wind_assessment(p, asof, within="30 minutes"):
 def get_crew_status(p, asof, within="1 hour"):
     c = "crew."
     roles = {"current_helmsman": "helmsman.name", "helmsman_watch_start": "helmsman.watchStart", "helmsman_time_at_helm": "helmsman.timeAtHelm", "tactician": "tactician.name", "main_trimmer": "mainTrimmer.name", "jib_trimmer": "jibTrimmer.name", "bowman": "bowman.name", "pit_crew": "pit.name"}
-    rows = texts(p, asof, within, **{k: c + v for k, v in roles.items()})
-    named = sum((F.col(k).isNotNull().cast("int") for k, v in roles.items() if v.endswith(".name")), F.lit(0))
-    return rows.select(*roles, named.alias("crew_count"))
+    rows = texts(p, asof, within, **{k: c + v for k, v in roles.items()}).withColumn("k", F.lit(1))
+    named = near(p, asof, within).filter(F.col("measurement").startswith(c) & F.col("measurement").contains(".name") & F.col("value_string").isNotNull())
+    count = named.agg(F.count_distinct("measurement").cast("int").alias("crew_count")).withColumn("k", F.lit(1))
+    return rows.join(F.broadcast(count), "k").select(*roles, "crew_count")
 
 
 def get_helmsman_history(p, asof, within="8 hours", n=10):
-    """Newest first, a row for each change."""
+    """Newest first, a row for each change, each with the number of changes and the hours looked back over."""
     rows = Series(p).range(asof, within).measurement("crew.helmsman.change").limit(n, F.desc("time"))
-    return rows.select(F.col("value_string").alias("helmsman"), F.date_format("time", P.CLOCK).alias("time"), F.col("order"))
+    many = rows.agg(F.count(F.lit(1)).cast("int").alias("total_changes")).withColumn("k", F.lit(1))
+    rows = rows.withColumn("k", F.lit(1)).join(F.broadcast(many), "k")
+    span = (asof.cast("timestamp").cast("double") - (asof.cast("timestamp") - F.expr(f"interval {within}")).cast("double")) / 3600
+    return rows.select(F.col("value_string").alias("helmsman"), F.date_format("time", P.CLOCK).alias("time"), F.col("order"), "total_changes", span.alias("race_duration_hours"))
 
 
 def get_crew_workload(p, asof, within="5 minutes"):
@@ -293,16 +308,17 @@ def get_crew_workload(p, asof, within="5 minutes"):
 
 def get_buoy_data(p, asof, within="1 hour"):
     """A row for each station, from readings with a ``station`` column; unknown stations get the default row."""
-    rows = latest(near(p, asof, within), {"wind_speed": "buoy.wind_speed", "wind_gust": "buoy.wind_gust", "wave_height": "buoy.wave_height", "water_temp": "buoy.water_temp"}, by=["station"], value="value_double")
+    rows = latest(near(p, asof, within), {"wind_speed": "buoy.wind_speed_knots", "wind_gust": "buoy.wind_gust_knots", "wind_direction": "buoy.wind_direction", "wave_height": "buoy.wave_height", "water_temp": "buoy.water_temperature"}, by=["station"], value="value_double")
     known = lookup(rows, P.buoys(p.sparkSession), "station", {"name": "Unknown", "lat": 0.0, "lon": 0.0, "distance": "?"})
-    return known.select("station", "name", "lat", "lon", "distance", *(r(c).alias(c) for c in ("wind_speed", "wind_gust", "wave_height", "water_temp")))
+    return known.select("station", "name", "lat", "lon", "distance", *(r(c).alias(c) for c in ("wind_speed", "wind_gust", "wind_direction", "wave_height", "water_temp")))
 
 
 def get_wind_comparison(p, asof, within="1 hour"):
     rows = get_buoy_data(p, asof, within).filter("wind_speed is not null")
-    place = F.struct("wind_speed", F.lit(1).alias("one"))
+    first = F.array_position(F.array(*(F.lit(b[0]) for b in P.BUOYS)), F.col("station"))
+    order = F.when(first > 0, first).otherwise(len(P.BUOYS) + 1)  # of equal winds the first station in the list counts
     line = F.format_string("%s: %.1f kts", "name", "wind_speed")
-    out = rows.agg(F.array_sort(F.collect_list(line)).alias("summary"), F.max_by("name", place).alias("strongest"), F.min_by("name", place).alias("weakest"), F.round(F.avg("wind_speed"), 1).alias("average_wind"))
+    out = rows.agg(F.array_sort(F.collect_list(line)).alias("summary"), F.max_by("name", F.struct("wind_speed", (-order).alias("o"), "station")).alias("strongest"), F.min_by("name", F.struct("wind_speed", order.alias("o"), "station")).alias("weakest"), F.round(F.avg("wind_speed"), 1).alias("average_wind"))
     return out.withColumn("assessment", C.fleet_wind(F.col("average_wind")))
 
 

@@ -56,8 +56,8 @@ BOAT = [
     ("environment.water.temperature", 0.02, 283.15), ("environment.current.drift", 0.003, 0.0), ("environment.current.setTrue", 0.0128, 0.0), ("navigation.attitude.roll", 0.002, -0.5),
     ("navigation.attitude.pitch", 0.001, -0.25), ("navigation.attitude.yaw", 0.0128, -3.14), ("weather.temperature", 0.1, -10.0), ("weather.humidity", 0.2, 0.0),
     ("weather.pressure", 0.1, 990.0), ("weather.wind_speed", 0.1, 0.0), ("weather.wind_direction", 0.7, 0.0), ("weather.wind_gust", 0.13, 0.0), ("weather.precipitation", 0.01, 0.0),
-    ("environment.moon.illumination", 0.002, 0.0), ("environment.moon.phase", 0.002, 0.0), ("environment.tide.highLevel", 0.005, 0.0), ("environment.tide.lowLevel", 0.001, 0.0),
-    ("race.startLine.latitude", 0.002, 40.7), ("race.startLine.longitude", 0.004, -73.5), ("regatta.timer", 1.5, -30.0),
+    ("environment.moon.illumination", 0.002, 0.0), ("environment.moon.phase", 0.002, 0.0), ("environment.tide.tideHighLevel", 0.005, 0.0), ("environment.tide.tideLowLevel", 0.001, 0.0),
+    ("race.startLine.latitude", 0.002, 40.7), ("race.startLine.longitude", 0.004, -73.5), ("regatta.timer", 1.5, -30.0), ("environment.water.depth", 0.1, 0.5),
 ]
 
 
@@ -74,8 +74,8 @@ def boat_points(df: DataFrame) -> DataFrame:
 TEXTS = [
     "sails.mainsail", "sails.jib", "sails.jib.state", "sails.spinnaker", "sails.spinnaker.state", "crew.helmsman.name", "crew.helmsman.watchStart", "crew.helmsman.timeAtHelm", "crew.tactician.name",
     "crew.mainTrimmer.name", "crew.jibTrimmer.name", "crew.bowman.name", "crew.pit.name", "race.start.name", "race.start.time", "race.start.class", "race.mark.windward", "race.mark.leeward",
-    "race.mark.gate1", "race.mark.gate2", "race.mark.finish", "environment.sun.sunriseTime", "environment.sun.sunsetTime", "environment.moon.riseTime", "environment.moon.setTime",
-    "environment.tide.highTime", "environment.tide.lowTime", "weather.condition", "crew.helmsman.change",
+    "race.mark.gate1", "race.mark.gate2", "race.mark.finish", "environment.sun.sunriseTime", "environment.sun.sunsetTime", "environment.moon.moonriseTime", "environment.moon.moonsetTime",
+    "environment.tide.tideHighTime", "environment.tide.tideLowTime", "weather.condition", "crew.helmsman.change", "environment.tide.tideHighLevel", "environment.tide.tideLowLevel", "crew.navigator.name",
 ]
 CLOCK = "yyyy-MM-dd'T'HH:mm:ss'Z'"
 
@@ -116,7 +116,7 @@ def polar_from_json(spark: SparkSession, path: str) -> DataFrame:
 
 def buoy_points(df: DataFrame) -> DataFrame:
     """Each event as a reading of one of four stations, the last of them unknown to the dimension."""
-    names = ["buoy.wind_speed", "buoy.wind_gust", "buoy.wave_height", "buoy.water_temp"]
+    names = ["buoy.wind_speed_knots", "buoy.wind_gust_knots", "buoy.wave_height", "buoy.water_temperature", "buoy.wind_direction"]
     stations = [b[0] for b in BUOYS] + ["44099"]
     pick = lambda xs, by: F.get(F.array(*map(F.lit, xs)), by.cast("int"))
-    return df.select(F.col("ts").alias("time"), pick(names, F.col("event_id") % 4).alias("measurement"), pick(stations, F.col("user_id") % 4).alias("station"), (F.col("value") / 20).alias("value_double"), "event_id")
+    return df.select(F.col("ts").alias("time"), pick(names, F.col("event_id") % 5).alias("measurement"), pick(stations, F.col("user_id") % 4).alias("station"), (F.col("value") / 20).alias("value_double"), "event_id")
