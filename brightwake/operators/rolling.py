@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from brightwake.functions.angles import difference
 
@@ -70,9 +75,27 @@ def crossings(df: DataFrame, by: list[str], value: str, time: str = "time") -> D
     return df.withColumn("__before", F.lag(F.signum(value)).over(w)).filter((F.col("__before") != F.signum(value)) & (F.signum(value) != 0)).drop("__before")
 
 
-def smoothed(df: DataFrame, by: list[str], value: str, alpha: float, out: str, back: int = 200, time: str = "time") -> DataFrame:
-    """Exponential smoothing with weight ``alpha``; rows further back than ``back`` weigh nothing to speak of."""
-    w = Window.partitionBy(*by).orderBy(time).rowsBetween(-back, 0)
-    values = F.collect_list(value).over(w)
-    folded = F.aggregate(F.slice(values, 2, back + 1), F.get(values, F.lit(0)), lambda a, x: a * (1 - alpha) + x * alpha)
-    return df.withColumn(out, folded)
+def smoothed(df: DataFrame, by: list[str], value: str, alpha: float, out: str, time: str = "time") -> DataFrame:
+    """Exponential smoothing with weight ``alpha`` over all rows of a group, by time; a null keeps the last figure.
+
+    A task takes its groups sorted, in Arrow batches, and carries the last figure from each batch into the next, so
+    a group of any length needs little memory.
+    """
+    plain = df.drop(out)
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, last = None, np.nan
+        for pdf in batches:
+            pdf = pdf.reset_index(drop=True)
+            figures = np.empty(len(pdf))
+            for own, part in pdf.groupby(by, sort=False, dropna=False) if by else [((), pdf)]:
+                own = tuple(None if pd.isna(x) else x for x in own)
+                carried = last if own == key else np.nan
+                values = pd.Series(np.concatenate([[carried], part[value].to_numpy(dtype=float, na_value=np.nan)]))
+                found = values.ewm(alpha=alpha, adjust=False, ignore_na=True).mean().to_numpy()
+                figures[part.index.to_numpy()] = found[1:]
+                key, last = own, found[-1]
+            yield pdf.assign(**{out: figures})
+
+    dealt = plain.repartition(*by) if by else plain.repartition(1)
+    return dealt.sortWithinPartitions(*by, time).mapInPandas(fold, StructType([*plain.schema.fields, StructField(out, DoubleType())]))

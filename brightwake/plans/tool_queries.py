@@ -8,7 +8,9 @@ from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from brightwake.functions import classify as C
 from brightwake.functions import units
 from brightwake.sources import points as P
 
@@ -18,11 +20,16 @@ Query = Callable[[SparkSession, str], DataFrame]
 WITHIN = "30 days"
 
 
+def flat(df: DataFrame) -> DataFrame:
+    """Each group of figures as columns of their own, ``group_figure``."""
+    own = lambda f: [F.col(f"{f.name}.{k}").alias(f"{f.name}_{k}") for k in f.dataType.names] if isinstance(f.dataType, StructType) else [F.col(f.name)]
+    return df.select(*(c for f in df.schema.fields for c in own(f)))
+
+
 def _registered(name: str, tool: tools.Tool, make: Callable[[DataFrame], DataFrame]) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = P.events(spark, sf_dir)
-        now = F.lit(rows.agg(F.max("ts")).first()[0])
-        return tool(make(rows), now, "20 days") if name == "get_weather_trend" else tool(make(rows), now, WITHIN)
+        return flat(tool(make(rows), F.lit(rows.agg(F.max("ts")).first()[0]), WITHIN))
 
     run.__name__ = name
     return run
@@ -146,3 +153,93 @@ ORACLES: dict[str, str] = {
     "panels_windowed": f"{_PTS}, s AS (SELECT * FROM (VALUES {', '.join(f"('{p.name}', '{p.measurement}', CAST({p.factor!r} AS DOUBLE))" for p in panels.PANELS if p.every and p.shape == 'mean' and p.field == 'value')}) AS x(panel, m, factor)) SELECT panel, strftime(time_bucket(INTERVAL 30 MINUTE, time) + INTERVAL 30 MINUTE, '%Y-%m-%d %H:%M') AS closed, round(avg(v * factor), 6) AS value FROM s JOIN r USING (m) GROUP BY ALL",
     "display_units": f"WITH p AS (SELECT event_id, list_extract({_LIST([b[0] for b in P.BOAT])}, CAST(event_id % {_N} AS BIGINT) + 1) AS m, value * CAST(list_extract({_LIST([b[1] for b in P.BOAT])}, CAST(event_id % {_N} AS BIGINT) + 1) AS DOUBLE) + CAST(list_extract({_LIST([b[2] for b in P.BOAT])}, CAST(event_id % {_N} AS BIGINT) + 1) AS DOUBLE) AS v FROM events), u AS (SELECT * FROM (VALUES {', '.join(f"('{m}', CAST({f} AS DOUBLE), CAST({o} AS DOUBLE), '{n}')" for m, f, o, n, _ in units.DISPLAY_UNITS)}) AS x(m, f, o, unit)) SELECT event_id, unit, round(v * coalesce(f, 1) + coalesce(o, 0), 6) AS value FROM p LEFT JOIN u USING (m)",
 }
+
+
+def _ladder(x: str, steps: list[tuple[float, str]], rest: str, test: str = "<") -> str:
+    """The label of the first bound that holds; null stays null."""
+    return f"CASE WHEN {x} IS NULL THEN NULL " + " ".join(f"WHEN {x} {test} {bound} THEN '{label}'" for bound, label in steps) + f" ELSE '{rest}' END"
+
+
+def _said(*items: str) -> str:
+    """A list of those that aren't null."""
+    return f"[x FOR x IN [{', '.join(items)}] IF x IS NOT NULL]"
+
+
+_POLAR = ", ".join("(" + ", ".join(f"CAST({x} AS DOUBLE)" for x in row[:5]) + ")" for row in P.POLAR)
+_CURVES = {"upwind": "up", "reach": "re", "downwind": "dn", "upwind_angle": "ua"}
+
+
+def _on_polar(columns: str, **names: str) -> str:
+    """A query over the row of latest values and the polar's figures, interpolated at the true wind ``ws``."""
+    picked = ", ".join(f"{_v(m)} AS {c}" for c, m in names.items())
+    ahead = ", ".join(f"lead({c}) OVER (ORDER BY tws) AS {c}_next" for c in _CURVES)
+    drawn = ", ".join(f"{c} + share * (coalesce({c}_next, {c}) - {c}) AS {short}" for c, short in _CURVES.items())
+    return (
+        f"{_PTS}, l AS (SELECT {picked} FROM r), k AS (SELECT *, {'1.944' if 'stw' not in names else 'stw * 1.944'} AS stw_kn, ws * 1.944 AS tws_kn FROM l WHERE ws > 0{' AND stw > 0' if 'stw' in names else ''}), "
+        f"steps AS (SELECT *, lead(tws) OVER (ORDER BY tws) AS hi, row_number() OVER (ORDER BY tws) AS nth, {ahead} FROM (VALUES {_POLAR}) AS v(tws, upwind, reach, downwind, upwind_angle)), "
+        f"o AS (SELECT *, CASE WHEN hi IS NULL THEN 0 ELSE greatest(0, (tws_kn - tws) / (hi - tws)) END AS share FROM k JOIN steps ON (tws_kn >= tws OR nth = 1) AND (tws_kn < hi OR hi IS NULL)), "
+        f"q AS (SELECT *, {drawn} FROM o) SELECT {columns} FROM q"
+    )
+
+
+def _speeds(polar: str) -> str:
+    return ", ".join(f"round({x}, {n}) AS boat_speed_analysis_{c}" for c, x, n in (("actual_knots", "stw_kn", 2), ("polar_knots", polar, 2), ("efficiency_percent", f"100 * stw_kn / {polar}", 1), ("gap_knots", f"stw_kn - {polar}", 2)))
+
+
+def _graded(eff: str, low: str, fair: str, good: str, best: str) -> str:
+    return f"CASE WHEN {eff} < 85 THEN {low} WHEN {eff} < 90 THEN '{fair}' WHEN {eff} < 95 THEN '{good}' ELSE '{best}' END"
+
+
+_MODE = "CASE WHEN ((coalesce(degrees(awa), 0) % 360) + 360) % 360 < 60 OR ((coalesce(degrees(awa), 0) % 360) + 360) % 360 > 300 THEN 'upwind' WHEN ((coalesce(degrees(awa), 0) % 360) + 360) % 360 > 150 AND ((coalesce(degrees(awa), 0) % 360) + 360) % 360 < 210 THEN 'downwind' ELSE 'reach' END"
+_UP, _DOWN, _HEEL = "(100 * stw_kn / up)", "(100 * stw_kn / dn)", "coalesce(degrees(roll), 0)"
+_NOW = "(SELECT max(ts) FROM events)"
+_METRES = "2 * 6371000 * atan2(sqrt(h), sqrt(1 - h))"
+_WEATHER = {"t": "temperature", "h": "humidity", "pr": "pressure", "s": "wind_speed", "d": "wind_direction", "g": "wind_gust", "rain": "precipitation"}
+_FIRST_ADVICE = [(5, "Light conditions - focus on smooth sailing"), (8, "Good for light air sailing"), (12, "Optimal conditions"), (16, "Good racing wind"), (20, "Strong conditions - reef mainsail")]
+
+ORACLES |= {
+    "get_race_data": _one(
+        f"round(lat, 6) AS position_latitude, round(lon, 6) AS position_longitude, {_SGN.format('hdg')} AS heading_true, {_SGN.format('cog')} AS heading_cog, {_KN.format('sog')} AS speed_sog, {_KN.format('stw')} AS speed_stw, {_KN.format('aws')} AS wind_apparent_speed, {_SGN.format('awa')} AS wind_apparent_angle, "
+        f"{_KN.format('tws')} AS wind_true_speed, {_SGN.format('twa')} AS wind_true_angle, {_SGN.format('roll')} AS sailing_heel, round(vmg, 4) AS performance_vmg, round(goal, 4) AS performance_target",
+        lat=tools.LAT, lon=tools.LON, hdg=tools.HDG, cog=tools.COG, sog=tools.SOG, stw=tools.STW, aws=_W + "speedApparent", awa=_W + "angleApparent", tws=_W + "speedTrue", twa=_W + "angleTrueWater", roll=_A + "roll", vmg=tools.VMG, goal=tools.TARGET,
+    ),
+    "get_boat_efficiency": "WITH f AS ("
+    + _on_polar(f"*, {_MODE} AS mode", stw=tools.STW, ws=_W + "speedTrue", awa=_W + "angleApparent", roll=_A + "roll")
+    + "), e AS (SELECT *, CASE mode WHEN 'upwind' THEN up WHEN 'reach' THEN re ELSE dn END AS polar FROM f) SELECT round(stw_kn, 2) AS actual_speed_knots, round(polar, 2) AS polar_speed_knots, round(100 * stw_kn / polar, 1) AS efficiency_percent, round(stw_kn - polar, 2) AS gap_knots, mode AS sailing_mode, round(tws_kn, 1) AS true_wind_speed, round(degrees(roll), 1) AS heel_degrees, "
+    + _ladder("(100 * stw_kn / polar)", [(95, "Excellent"), (90, "Good"), (80, "Fair")], "Poor", ">")
+    + " AS assessment FROM e",
+    "get_current_polar": _on_polar("round(tws_kn, 1) AS true_wind_speed_knots, round(up, 2) AS upwind_speed_knots, round(re, 2) AS reaching_speed_knots, round(dn, 2) AS downwind_speed_knots, round(ua, 1) AS upwind_angle_degrees, 'Polars for ' || printf('%.1f', tws_kn) || ' knots true wind' AS description", ws=_W + "speedTrue"),
+    "get_upwind_analysis": _on_polar(
+        f"{_speeds('up')}, round(vmg * 1.944, 2) AS vmg_analysis_actual_vmg, CASE WHEN vmg IS NOT NULL THEN round(up * 0.85, 2) END AS vmg_analysis_target_vmg, round(100 * (vmg * 1.944) / (up * 0.85), 1) AS vmg_analysis_efficiency_percent, round(vmg * 1.944 - up * 0.85, 2) AS vmg_analysis_gap_knots, "
+        "round(degrees(awa), 1) AS trim_analysis_apparent_wind_angle_deg, round(degrees(roll), 1) AS trim_analysis_heel_degrees, CASE WHEN degrees(roll) < 12 THEN 'Underheeled' WHEN degrees(roll) > 18 THEN 'Overheeled' WHEN roll IS NOT NULL THEN 'Optimal' END AS trim_analysis_heel_assessment, "
+        + _said(f"CASE WHEN {_UP} < 85 AND {_HEEL} > 18 THEN 'Heel excessive (>18°): Ease mainsheet' WHEN {_UP} < 85 AND {_HEEL} < 12 THEN 'Underheeled (<12°): Move crew out' END", _graded(_UP, "printf('Speed gap of %.1fkt: Check trim', up - stw_kn)", "Performance acceptable, minor trim adjustments", "Good performance, keep current trim", "Excellent performance! Maintain current setup"))
+        + " AS recommendations",
+        stw=tools.STW, ws=_W + "speedTrue", awa=_W + "angleApparent", roll=_A + "roll", vmg=tools.VMG,
+    ),
+    "get_downwind_analysis": _on_polar(
+        f"{_speeds('dn')}, round(degrees(roll), 1) AS trim_analysis_heel_degrees, CASE WHEN degrees(roll) < 5 THEN 'Good' WHEN degrees(roll) > 12 THEN 'Too much heel' WHEN roll IS NOT NULL THEN 'Acceptable' END AS trim_analysis_heel_assessment, "
+        + _said(_graded(_DOWN, "printf('Speed gap of %.1fkt: Check sail trim', dn - stw_kn)", "Reasonable downwind performance", "Good downwind speed", "Excellent downwind performance!"), f"CASE WHEN {_DOWN} < 85 AND {_HEEL} > 10 THEN 'Too much heel: Reduce crew weight to windward' END", f"CASE WHEN {_DOWN} < 85 THEN 'Consider different sail combination (jib size, spinnaker)' END")
+        + " AS recommendations",
+        stw=tools.STW, ws=_W + "speedTrue", roll=_A + "roll",
+    ),
+    "get_distance_to_line": f"{_PTS}, l AS (SELECT {_v(tools.LAT)} AS lat, {_v(tools.LON)} AS lon, {_v('race.startLine.latitude')} AS a, {_v('race.startLine.longitude')} AS b FROM r), g AS (SELECT *, a IS NOT NULL AND b IS NOT NULL AS known, coalesce(a, lat + 0.01) AS la, coalesce(b, lon) AS lb FROM l WHERE lat IS NOT NULL AND lon IS NOT NULL), "
+    f"c AS (SELECT *, sin(radians(la - lat) / 2) ** 2 + cos(radians(lat)) * cos(radians(la)) * sin(radians(lb - lon) / 2) ** 2 AS h FROM g) SELECT round(lat, 6) AS latitude, round(lon, 6) AS longitude, round(la, 6) AS line_latitude, round(lb, 6) AS line_longitude, known, round({_METRES}, 1) AS distance_meters, round({_METRES} / 1852, 3) AS distance_nm, "
+    f"{_ladder(_METRES, C.LINE_STATUS, 'Very far from line')} AS status, {_ladder(_METRES, C.LINE_ADVICE, 'Far from line. Start heading toward start line.')} AS recommendation FROM c",
+    "get_weather_trend": f"{_PTS}, e AS (SELECT arg_max(v, time) FILTER (time >= {_NOW} - INTERVAL 10 DAY) - arg_max(v, time) FILTER (time < {_NOW} - INTERVAL 10 DAY) AS x FROM p WHERE m = 'weather.temperature' AND time < {_NOW} AND time >= {_NOW} - INTERVAL 20 DAY), "
+    "t AS (SELECT *, CASE WHEN x > 0.5 THEN 'Warming' WHEN x < -0.5 THEN 'Cooling' WHEN x IS NOT NULL THEN 'Stable' END AS trend FROM e) SELECT trend, round(x, 4) AS temperature_change, 'Temperature ' || lower(trend) || printf(' (%+.1f°C)', x) AS description FROM t",
+    "get_race_start": f"{_TXT}, l AS (SELECT {_v('race.start.name')} AS name, {_v('race.start.time')} AS begins, {_v('race.start.class')} AS class, {_v('race.start.lineLength')} AS line FROM r), s AS (SELECT *, CAST(floor(epoch(strptime(begins, '%Y-%m-%dT%H:%M:%SZ')) - epoch({_NOW})) AS BIGINT) AS n FROM l) "
+    f"SELECT coalesce(name, 'Race 1') AS race_name, begins AS start_time, n AS time_to_start_seconds, coalesce({_ladder('n', [(300, 'Preparing'), (0, 'Countdown'), (-30, 'Starting')], 'Started', '>')}, 'unknown') AS start_status, "
+    "CASE WHEN n IS NULL THEN 'No start time set' WHEN n > 600 THEN '10+ minutes: Prepare' WHEN n > 300 THEN '5-10 min: 1st Warning Signal (3 horn blasts)' WHEN n > 240 THEN '4 min: Preparatory Signal (2 horn blasts)' WHEN n > 0 THEN n || 's to start (1 horn blast at 0)' WHEN n > -30 THEN 'START! (Continuing horn)' ELSE 'Race started' END AS signal_sequence, coalesce(class, 'J/30') AS class, coalesce(line, 'unknown') AS start_line_length_meters FROM s",
+    "get_moon_data": f"SELECT strftime({_NOW}, '%Y-%m-%d') AS date, moonrise, moonset, round(i, 4) AS illumination, {_ladder('(ph * 100)', C.MOON, 'new_moon')} AS phase, 'points' AS source FROM ({_TXT} SELECT {_v('environment.moon.moonriseTime')} AS moonrise, {_v('environment.moon.moonsetTime')} AS moonset FROM d) CROSS JOIN "
+    f"({_PTS} SELECT {_v('environment.moon.illumination')} AS i, {_v('environment.moon.phase')} AS ph FROM p WHERE time >= date_trunc('day', {_NOW}) AND time < date_trunc('day', {_NOW}) + INTERVAL 1 DAY)",
+    "get_current_weather": f"WITH w AS (SELECT * FROM ({_PTS} SELECT {', '.join(f'{_v(f'weather.{m}')} AS {c}' for c, m in _WEATHER.items())} FROM r) CROSS JOIN ({_TXT} SELECT {_v('weather.condition')} AS sky FROM r)), a AS (SELECT *, "
+    + " || ".join(f"CASE WHEN {test} THEN '{said}' ELSE '' END" for test, said in (("sky LIKE '%Rain%'", "⚠️ RAIN. "), ("sky LIKE '%Thunderstorm%'", "⚠️ THUNDERSTORM. "), ("sky LIKE '%Fog%'", "⚠️ FOG. "), ("t < 0", "🥶 Below freezing. "), ("h > 90", "💧 High humidity. "), ("pr < 1010", "⬇️ Falling pressure (deteriorating). "), ("pr > 1025", "⬆️ Rising pressure (improving). ")))
+    + " AS said FROM w) SELECT round(t, 1) AS temperature_celsius, round(t * 9 / 5 + 32, 1) AS temperature_fahrenheit, round(h, 0) AS humidity_percent, round(pr, 1) AS pressure_hpa, round(s, 1) AS wind_speed_kmh, round(s / 1.852, 1) AS wind_speed_knots, round(d, 0) AS wind_direction_degrees, round(g, 1) AS wind_gust_kmh, round(g / 1.852, 1) AS wind_gust_knots, round(rain, 1) AS precipitation_mm, coalesce(sky, 'Unknown') AS condition, coalesce(nullif(said, ''), '✅ Good conditions') AS assessment FROM a",
+}
+ORACLES |= {
+    "get_wind_assessment": f"WITH k AS (SELECT wind_speed_knots AS w, coalesce(wind_gust_knots, wind_speed_knots) AS g FROM ({ORACLES['get_current_weather']})) SELECT {_ladder('w', C.WIND_CONDITIONS, 'Severe gale - dangerous')} AS condition, printf('%.1f', w) || ' - ' || printf('%.1f', g) || ' knots' AS range, "
+    + _said(_ladder("w", _FIRST_ADVICE, "WARNING: Severe conditions"), "CASE WHEN w < 5 THEN 'Avoid sudden maneuvers' WHEN w < 8 THEN 'Watch for wind shear' WHEN w < 12 THEN 'Standard sail configuration' WHEN w < 16 THEN 'Consider reefing if gusts exceed ' || printf('%.1f', w + 5) WHEN w < 20 THEN 'Consider jib2 or storm jib' WHEN w IS NOT NULL THEN 'Consider returning to harbor' END", "CASE WHEN w >= 20 THEN 'Double-check all safety equipment' END", "CASE WHEN g > w + 8 THEN 'Significant gusts detected - adjust trim frequently' END")
+    + f" AS recommendations, {_ladder('w', C.SAILS, 'Storm jib only')} AS sails FROM k",
+    "get_wind_comparison": f"WITH x AS (SELECT *, coalesce(nullif(list_position({_LIST([b[0] for b in P.BUOYS])}, station), 0), {len(P.BUOYS) + 1}) AS o FROM ({ORACLES['get_buoy_data']}) WHERE wind_speed IS NOT NULL), c AS (SELECT list_sort(list(printf('%s: %.1f kts', name, wind_speed))) AS summary, first(name ORDER BY wind_speed DESC, o, station DESC) AS strongest, first(name ORDER BY wind_speed, o, station) AS weakest, round(avg(wind_speed), 1) AS average_wind FROM x) "
+    f"SELECT *, {_ladder('average_wind', C.FLEET_WIND, 'Strong wind conditions across LIS')} AS assessment FROM c",
+}

@@ -75,21 +75,20 @@ def history(points: DataFrame, key: str, minutes: int = 35) -> DataFrame:
 
 
 def held_alerts(points: DataFrame, key: str, limit: float, hold_seconds: int, late: str = "1 minute") -> DataFrame:
-    """A row when a series has been over the limit for the hold, once for each stretch: (state, since, fired)."""
+    """A row when a series has been over the limit for the hold, once for each stretch: (key, since, fired). A missing value is no breach and ends the stretch."""
 
     def step(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         since, fired = state.get if state.exists else (None, False)
         out = []
-        for pdf in batches:
-            for t, v in pdf.sort_values("time")[["time", "value"]].itertuples(index=False):
-                at = t.timestamp()
-                if v <= limit:
-                    since, fired = None, False
-                    continue
-                since = at if since is None else since
-                if not fired and at - since >= hold_seconds:
-                    fired = True
-                    out.append((group[0], pd.Timestamp(since, unit="s"), t))
+        for t, v in pd.concat(list(batches)).sort_values("time")[["time", "value"]].itertuples(index=False):
+            at = t.timestamp()
+            if pd.isna(v) or v <= limit:
+                since, fired = None, False
+                continue
+            since = at if since is None else since
+            if not fired and at - since >= hold_seconds:
+                fired = True
+                out.append((group[0], pd.Timestamp(since, unit="s"), t))
         state.update((since, fired))
         yield pd.DataFrame(out, columns=[key, "since", "fired"])
 
@@ -133,16 +132,23 @@ def heartbeat(points: DataFrame, key: str, every_seconds: int = 120) -> DataFram
     return points.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, value double, fresh boolean", "value double", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def appended(df: DataFrame, root: str, checkpoint: str, retries: int = 3) -> object:
-    """Appends each micro-batch to a partitioned table; a batch that was written before is left out, so a retry adds nothing twice."""
+def appended(df: DataFrame, root: str, checkpoint: str, every: str | None = None) -> object:
+    """Writes each micro-batch to a folder of its own in a partitioned table; a batch that is tried again replaces its folder.
+
+    Without ``every`` what is there now is taken and the query ends.
+    """
 
     def put(batch: DataFrame, number: int) -> None:
-        path = f"{root}/batch={number}"
-        batch.write.mode("overwrite").parquet(path)
+        batch.write.mode("overwrite").parquet(f"{root}/batch={number}")
 
-    return df.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    when = {"availableNow": True} if every is None else {"processingTime": every}
+    return df.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(**when).start()
 
 
 def ticks(rate: DataFrame, compute: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, every: str) -> object:
-    """The fixed-tick loop: on each trigger, ``compute`` reads the latest inputs and its result is appended."""
-    return rate.writeStream.foreachBatch(lambda batch, n: compute(batch).write.mode("append").parquet(out)).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+    """The fixed-tick loop: on each trigger, ``compute`` reads the latest inputs and its result goes into the tick's folder; a tick that is tried again replaces it."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        compute(batch).write.mode("overwrite").parquet(f"{out}/tick={number}")
+
+    return rate.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()

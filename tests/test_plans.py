@@ -113,3 +113,11 @@ def test_tools_with_nothing_to_read(spark):
 def test_zero_is_a_value(spark):
     df = spark.createDataFrame([(at(0), tools.HDG, "value", 0.0, None, None, None, {})], P.POINT)
     assert tools.get_heading(df, F.lit(at(60))).first()["heading_degrees"] == 0.0
+
+
+def test_smoothing_takes_all_rows_of_a_series(spark):
+    rows = [(k, i, None if k == "n" and i % 3 else 100.0 if i < 700 else 0.0) for k in "an" for i in range(1000)]
+    df = spark.createDataFrame(rows, "k string, time long, value double").repartition(7)
+    last = {r["k"]: r["s"] for r in rolling.smoothed(df, ["k"], "value", 0.001, "s").filter("time = 999").collect()}
+    assert abs(last["a"] - 100 * 0.999**300) < 1e-9 and abs(last["n"] - 100 * 0.999**100) < 1e-9
+    assert rolling.smoothed(df, [], "value", 0.5, "s").count() == 2000

@@ -56,3 +56,10 @@ def test_append_is_idempotent(spark, source, tmp_path):
     jobs.appended(source(), str(tmp_path / "out"), str(tmp_path / "cp2")).awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 300
     assert spark.read.parquet(str(tmp_path / "out")).agg(F.sum("value")).first()[0] == sum(i % 50 for i in range(300))
+
+
+def test_missing_values_are_no_breach(spark, tmp_path):
+    rows = [(T0 + dt.timedelta(seconds=i), "gone", None) for i in range(60)] + [(T0 + dt.timedelta(seconds=i), "high", None if i == 15 else 99.0) for i in range(30)]
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(str(tmp_path / "in"))
+    found = drain(jobs.held_alerts(spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in")), "k", 20.0, 10), tmp_path)
+    assert sorted((r["k"], (r["since"] - T0).total_seconds()) for r in found) == [("high", 0.0), ("high", 16.0)]
