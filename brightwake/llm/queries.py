@@ -102,4 +102,28 @@ QUERIES: dict[str, Query] = {
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLES: dict[str, str] = {}
+#: All pairs by their shared shingles, and reachability; quadratic in the size of a group of copies, so for small tables only.
+NEAR_SQL = r"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents
+), s AS (
+    SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')] ELSE list_distinct([array_to_string(words[i : i + 4], ' ') FOR i IN range(1, len(words) - 3)]) END AS shingles FROM w
+), n AS (
+    SELECT doc_id, CAST(len(shingles) AS BIGINT) AS n_shingles FROM s
+), u AS (
+    SELECT doc_id, unnest(shingles) AS shingle FROM s
+), pairs AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM u AS a JOIN u AS b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+    SELECT a, b FROM pairs JOIN n AS x ON x.doc_id = a JOIN n AS y ON y.doc_id = b WHERE 100 * shared >= 75 * (x.n_shingles + y.n_shingles - shared)
+), edges AS (
+    SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (
+    SELECT doc_id, doc_id AS other FROM n UNION SELECT reach.doc_id, edges.b FROM reach JOIN edges ON edges.a = reach.other
+), smallest AS (
+    SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id
+)
+SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM n JOIN smallest USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op5_near_dedup": NEAR_SQL}

@@ -365,3 +365,12 @@ def test_texts_are_stored_whole(spark, docs):
     found = media.store_text(rows, "doc_id", F.col("text")).collect()
     assert len(found) == rows.count() and sorted(tuple(r)[1:7] for r in found) == sorted(want(r["text"]) for r in rows.collect())
     assert media.store_text(spark.createDataFrame([], CLASHING), "doc_id", F.col("text")).count() == 0
+
+
+def test_near_duplicates_against_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{DIR}/documents.parquet'")
+    want = con.sql(f"SELECT doc_id, n_shingles, component_id, kept FROM ({queries.NEAR_SQL})").fetchall()
+    assert sorted(tuple(r[c] for c in ("doc_id", "n_shingles", "component_id", "kept")) for r in queries.op5_near_dedup(spark, DIR).collect()) == sorted(want)
