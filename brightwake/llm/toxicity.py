@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +32,14 @@ from .common import byte_slices, durable, shared
 SIZES = (3, 4, 5, 6)
 #: Which positions can hold a feature is asked of a bitmap first; it has 2 to this power places.
 SIEVE = 22
+#: Bytes of text that a task looks at together, longer texts apart; some twenty times as many are held.
+SLICE = 1 << 20
 #: Chi-squared with one degree of freedom exceeds this by chance once in a thousand times.
 SIGNIFICANT = 10.83
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0x9FB21C651E98DF25)
 
-_LOWER = np.arange(128, dtype=np.uint32)
+_LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _LOWER[[9, 10, 11, 12, 13]] = 32
 
@@ -44,12 +47,9 @@ _LOWER[[9, 10, 11, 12, 13]] = 32
 def characters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The code points of rows of UTF-8, lower-cased, and the rows' offsets in them."""
     starts = (data & 0xC0) != 0x80
-    ends = np.concatenate([[0], np.cumsum(starts)])[offsets]
-    points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
-    plain = points < 128
-    out = points.copy()
-    out[plain] = _LOWER[points[plain]]
-    return out, ends
+    lengths = [np.count_nonzero(starts[a:b]) for a, b in pairwise(offsets)]
+    text = _LOWER[data].tobytes().decode("utf-8", "replace")
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32), np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
 
 
 def grams(points: np.ndarray, size: int) -> np.ndarray:
@@ -77,7 +77,7 @@ def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     """(gram, n0, n1): documents of each class that have the n-gram."""
     for batch in batches:
         labels = batch.column(0).to_numpy(zero_copy_only=False)
-        for a, b, data, offsets in byte_slices(batch, "data"):
+        for a, b, data, offsets in byte_slices(batch, "data", SLICE):
             points, ends = characters(data, offsets)
             for size in SIZES:
                 parts = [np.unique(grams(points[ends[i] : ends[i + 1]], size)) for i in range(b - a)]
@@ -96,10 +96,10 @@ class Lexicon:
         self.sieve = np.zeros(1 << SIEVE, bool)
         self.sieve[(grams * _MIX) >> np.uint64(64 - SIEVE)] = True
 
-    def find(self, data: np.ndarray, offsets: np.ndarray, window: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
-        """(row, feature) of all features present, each once for a row."""
+    def find(self, data: np.ndarray, offsets: np.ndarray, window: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+        """(row, feature) of all features present, each once for a row; what is held at once is bounded by the window, but for the code points."""
         points, ends = characters(data, offsets)
-        rows, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        found = [np.zeros(0, np.int64)]
         for lo in range(0, len(points), window):
             part = points[lo : lo + window + max(SIZES) - 1]
             for size in SIZES:
@@ -108,9 +108,8 @@ class Lexicon:
                 place = np.minimum(np.searchsorted(self.grams, code[at]), len(self.grams) - 1)
                 real = self.grams[place] == code[at]
                 row, inside = owners(ends, at[real] + lo, size)
-                rows.append(row[inside])
-                ids.append(place[real][inside])
-        both = np.unique(np.concatenate(rows) * len(self.grams) + np.concatenate(ids))
+                found.append(np.unique(row[inside] * len(self.grams) + place[real][inside]))
+        both = np.unique(np.concatenate(found))
         return both // len(self.grams), both % len(self.grams)
 
 
@@ -158,7 +157,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str, label_col: str, text:
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = kept()
         for batch in batches:
-            for a, b, data, offsets in byte_slices(batch, "data"):
+            for a, b, data, offsets in byte_slices(batch, "data", SLICE):
                 row, feature = known.find(data, offsets)
                 ends = np.searchsorted(row, np.arange(b - a + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).cast(pa.float64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(feature.astype(np.int32)))], names=["label", "present"])
@@ -184,7 +183,7 @@ def score(df: DataFrame, id_col: str, text: Column, classifier: Classifier) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = fitted()
         for batch in batches:
-            for a, b, data, offsets in byte_slices(batch, "data"):
+            for a, b, data, offsets in byte_slices(batch, "data", SLICE):
                 row, feature = model.lexicon.find(data, offsets)
                 margin = np.bincount(row, model.weights[feature], b - a) + model.bias
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(1.0 / (1.0 + np.exp(-np.clip(margin, -700, 700))))], names=["id", "score"])
