@@ -85,11 +85,18 @@ class Series:
         w = F.window(self.time, every)
         return self.df.groupBy(*self.keys, w.alias("w")).agg(AGGREGATES[name](self.value).alias(self.value)).select(*self.keys, F.col("w.end").alias(self.time), self.value)
 
-    def filled_windows(self, every: str, name: str = "mean") -> DataFrame:
-        """All windows of each group from its first to its last; empty ones hold null, or 0 if counted."""
-        found = self.windows(every, name)
+    def filled_windows(self, every: str, name: str = "mean", start: Column | None = None, stop: Column | None = None) -> DataFrame:
+        """All windows of each group that reach into the range from ``start`` to ``stop``, for groups with a row in it; without a range
+        from the group's first window to its last. Empty ones hold null, or 0 if counted."""
+        found = (self if start is None else self.between(start, stop)).windows(every, name)
         step = F.expr(f"interval {every}")
-        grid = found.groupBy(*self.keys).agg(F.min(self.time).alias("__a"), F.max(self.time).alias("__b")).select(*self.keys, F.explode(F.sequence("__a", "__b", step)).alias(self.time))
+        closes = lambda t: F.window(t, every)["end"]
+        bounds = found.groupBy(*self.keys).agg(F.min(self.time).alias("__a"), F.max(self.time).alias("__b"))
+        if start is not None:
+            ends = found.sparkSession.range(1).select(start.alias("__x"), (stop - F.expr("interval 1 microsecond")).alias("__y"))
+            first, last = ends.select(closes("__x"), F.col("__y")).first()[0], ends.select(closes("__y")).first()[0]
+            bounds = bounds.select(*self.keys, F.lit(first).alias("__a"), F.lit(last).alias("__b"))
+        grid = bounds.select(*self.keys, F.explode(F.sequence("__a", "__b", step)).alias(self.time))
         out = grid.join(found, [*self.keys, self.time], "left")
         return out.withColumn(self.value, F.coalesce(self.value, F.lit(0))) if name == "count" else out
 

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brightwake.functions.angles import circular_spread, difference
+from brightwake.operators import split
 from brightwake.operators.series import stale
 
 
@@ -131,21 +132,104 @@ def held(points: DataFrame, rule: Rule, by: list[str] | None = None) -> DataFram
 
 
 def shifted(points: DataFrame, shifts: list[Shift] = SHIFTS, by: list[str] | None = None) -> DataFrame:
-    """(uid, time, change) of each point that ends a change beyond its rule's limit. Points hold display units."""
+    """(uid, time, change) of each point that ends a change beyond its rule's limit. Points hold display units.
+
+    All rules in one pass: the first values of all ranges stand on one sort of each series, and each point then
+    meets the few rules of its measurement.
+    """
     keys = ["measurement", *(by or [])]
-    out = []
-    for window in sorted({s.window for s in shifts}):
-        own = [s for s in shifts if s.window == window]
-        span = Window.partitionBy(*keys).orderBy(F.col("time").cast("double")).rangeBetween(-window, 0)
-        rows = points.filter(F.col("measurement").isin(*{s.measurement for s in own})).withColumn("first", F.first("value_double").over(span))
-        for s in own:
-            d = difference(F.col("value_double"), F.col("first")) if s.angle else F.col("value_double") - F.col("first")
-            hit = {"up": d > s.limit, "down": d < -s.limit, "either": F.abs(d) > s.limit}[s.way]
-            out.append(rows.filter((F.col("measurement") == s.measurement) & hit).select(F.lit(s.uid).alias("uid"), *(by or []), "time", F.round(d, 4).alias("change")))
-    union = out[0]
-    for one in out[1:]:
-        union = union.unionByName(one)
-    return union
+    order = Window.partitionBy(*keys).orderBy(F.col("time").cast("double"))
+    windows = sorted({s.window for s in shifts})
+    table = F.broadcast(points.sparkSession.createDataFrame([(s.uid, s.measurement, windows.index(s.window), s.limit, s.way, s.angle) for s in shifts], "uid string, measurement string, __w int, __limit double, __way string, __angle boolean"))
+    firsts = F.array(*(F.first("value_double").over(order.rangeBetween(-w, 0)) for w in windows))
+    rows = points.filter(F.col("measurement").isin(*{s.measurement for s in shifts})).withColumn("__firsts", firsts)
+    first = F.get(F.col("__firsts"), F.col("__w"))
+    d = F.when(F.col("__angle"), difference(F.col("value_double"), first)).otherwise(F.col("value_double") - first)
+    hit = F.when(F.col("__way") == "up", d > F.col("__limit")).when(F.col("__way") == "down", d < -F.col("__limit")).otherwise(F.abs(d) > F.col("__limit"))
+    return rows.join(table, "measurement").filter(hit).select("uid", *(by or []), "time", F.round(d, 4).alias("change"))
+
+
+def states(points: DataFrame, by: list[str], breach: Column, hold: str, nodata: str, until: Column, order: tuple[str, ...] = (), bucket: str = "1 day") -> DataFrame:
+    """(by, state, time): what ``streaming.stateful.alert_states`` puts out, up to ``until``, over a bounded table.
+
+    A row is an error if ``value`` is not a number, else a breach or normal. A state begins at its first row; a breach fires after the hold,
+    if it has lasted; silence for longer than ``nodata`` ends a state. Only the rows at which a state turns, those of a series together, meet in a task.
+    """
+    silence = F.expr(f"interval {nodata}")
+    kind = F.when(F.isnan("value"), "error").when(breach, "pending").otherwise("normal")
+    rows = points.filter(F.col("value").isNotNull() & (F.col("time") <= until)).select(*by, "time", *order, kind.alias("state"))
+    seen = split.neighbours(rows, by, ["state", "time"], False, "time", order, bucket)
+    turns = seen.filter(~F.col("state").eqNullSafe(F.col("state_before")) | (F.col("time") > F.col("time_before") + silence))
+    last = rows.groupBy(*by).agg(F.max("time").alias("__last"))
+    w = Window.partitionBy(*by).orderBy("time", *order)
+    # A closing row for each series gives its last stretch the series' last row.
+    closing = last.select(*by, F.lit(None).cast("string").alias("state"), F.lit(None).cast("timestamp").alias("time"), F.col("__last").alias("time_before"), F.lit(1).alias("__end"))
+    both = turns.withColumn("__end", F.lit(0)).unionByName(closing, allowMissingColumns=True)
+    w = Window.partitionBy(*by).orderBy("__end", "time", *order)
+    spans = both.withColumns({"__next": F.lead("time").over(w), "__seen": F.lead("time_before").over(w)}).filter("__end = 0")
+    quiet, fires = F.col("__seen") + silence, F.col("time") + F.expr(f"interval {hold}")
+    end = F.coalesce("__next", until)
+    events = F.array(
+        F.struct("state", "time"),
+        F.when((F.col("state") == "pending") & (fires <= F.least(end, quiet)), F.struct(F.lit("firing").alias("state"), fires.alias("time"))),
+        F.when((quiet < F.col("__next")) | (F.col("__next").isNull() & (quiet <= until)), F.struct(F.lit("nodata").alias("state"), quiet.alias("time"))),
+    )
+    return spans.select(*by, F.inline(F.filter(events, lambda e: e.isNotNull())))
+
+
+@dataclass(frozen=True)
+class Conjunction:
+    """Conditions that have to hold at once, each on its own measurement, for ``hold`` seconds."""
+
+    uid: str
+    conditions: tuple[tuple[str, str, float], ...]
+    hold: int
+
+
+# Measurement, test and limit of each condition.
+CONJUNCTIONS = [
+    Conjunction("pe_b2_insufficient_heel", (("navigation.attitude.roll", "<", 0.087), ("environment.wind.speedTrueKnots", ">", 12.0)), 180),
+    Conjunction("pe_c3_high_leeway", (("navigation.leewayAngle", ">", 8.0), ("environment.wind.angleTrueWaterDegrees", "<", 60.0)), 300),
+]
+
+
+def together(points: DataFrame, by: list[str], rule: Conjunction, asof: Column, order: tuple[str, ...] = (), bucket: str = "1 day") -> DataFrame:
+    """(by, uid, since, fires, ended): when all conditions of a rule have held at once for its hold. A condition holds from a row to the measurement's next one that denies it."""
+    parts = []
+    for measurement, test, limit in rule.conditions:
+        own = points.filter(F.col("measurement") == measurement)
+        parts.append(split.stretches(own, by, breached(F.col("value_double"), F.lit(test), F.lit(limit)), "time", order, bucket))
+    fires = F.col("since") + F.make_dt_interval(secs=F.lit(rule.hold))
+    return split.together(parts, by, asof).withColumn("fires", fires).filter(F.col("fires") <= F.col("ended")).select(*by, F.lit(rule.uid).alias("uid"), "since", "fires", "ended")
+
+
+# Uid, measurement, window and limit in degrees of rules over a rolling spread of directions or angles.
+SPREADS = [("pe_b3_heel_unstable", "navigation.attitude.rollDegrees", "2 minutes", 5.0), ("pe_c2_helm_oscillation", "environment.wind.angleTrueWaterDegrees", "10 minutes", 5.0)]
+
+
+def unsteady_rolling(points: DataFrame, measurement: str, window: str, limit: float, by: list[str] | None = None, bucket: str | None = None) -> DataFrame:
+    """Each row at whose time the circular spread of the window that ends there is over the limit, with ``spread``."""
+    rows = points.filter(F.col("measurement") == measurement)
+    angle = F.radians("value_double")
+    means = split.moving(rows, by or [], {"__sin": F.avg(F.sin(angle)), "__cos": F.avg(F.cos(angle))}, window, True, bucket=bucket)
+    length = F.least(F.sqrt(F.col("__sin") * F.col("__sin") + F.col("__cos") * F.col("__cos")), F.lit(1.0))
+    return means.withColumn("spread", F.degrees(F.sqrt(-2 * F.log(length)))).drop("__sin", "__cos").filter(F.col("spread") > limit)
+
+
+# Uid, test and limit of the speed as a share of the polar's, and the hold in seconds.
+RATIOS = [("pe_a1_vmg_suboptimal", "<", 0.85, 180), ("pe_a2_vmg_overestimated", ">", 1.05, 120), ("pe_a3_boat_slow", "<", 0.80, 300)]
+
+
+def ratios(speeds: DataFrame, by: list[str], speed: str, target: str, asof: Column, order: tuple[str, ...] = (), bucket: str = "1 day") -> DataFrame:
+    """(by, uid, since, fires, ended): when the speed's share of its target breached a rule for its hold. Without a positive target there is no share."""
+    share = F.when(F.col(target) > 0, F.col(speed) / F.col(target))
+    found = None
+    for uid, test, limit, hold in RATIOS:
+        fires = F.col("since") + F.make_dt_interval(secs=F.lit(hold))
+        own = split.stretches(speeds, by, breached(share, F.lit(test), F.lit(limit)), "time", order, bucket).withColumn("fires", fires)
+        own = own.filter(F.col("fires") <= F.coalesce("ended", asof)).select(*by, F.lit(uid).alias("uid"), "since", "fires", "ended")
+        found = own if found is None else found.unionByName(own)
+    return found
 
 
 def unsteady(points: DataFrame, measurement: str, window: str, limit: float, by: list[str] | None = None) -> DataFrame:

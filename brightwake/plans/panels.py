@@ -97,6 +97,38 @@ def latest_panels(points: DataFrame, asof: Column, specs: list[Panel] = PANELS,
     return joined.select("panel", "field", F.when(F.col("alive"), F.lit(1.0)).otherwise(F.col("v") * F.col("factor")).alias("value"), "time")
 
 
+def windowed_panels(points: DataFrame, asof: Column, specs: list[Panel], dashboard: str = "6 hours") -> DataFrame:
+    """(panel, time, value) of all panels of windowed figures, from one scan and one shuffle: each point meets the
+    panels of its measurement, and is grouped by panel and window. Without rows a window gives no row."""
+    own = [p for p in specs if p.every]
+    table = [(p.name, p.measurement, p.field.split() or None, p.factor, p.shape, _seconds(p.within or dashboard), _seconds(p.every) * 1_000_000) for p in own]
+    rules = F.broadcast(points.sparkSession.createDataFrame(table, "panel string, measurement string, __fields array<string>, __factor double, __shape string, __within int, __every long"))
+    t, widest = F.col("time"), max(row[5] for row in table)
+    rows = points.filter((t < asof) & (t >= asof - F.make_dt_interval(secs=F.lit(widest))) & F.col("measurement").isin(*{p.measurement for p in own})).join(rules, "measurement")
+    rows = rows.filter((t >= asof - F.make_dt_interval(secs=F.col("__within"))) & (F.col("__fields").isNull() | F.array_contains("__fields", F.col("field"))))
+    us = F.unix_micros(t)
+    closes = F.timestamp_micros(us - F.pmod(us, F.col("__every")) + F.col("__every"))
+    value = F.col("value_double") * F.col("__factor")
+    figures = {"mean": F.avg(value), "min": F.min(value), "max": F.max(value), "sum": F.sum(value), "count": F.count("value_double").cast("double"), "last": F.max_by(value, t)}
+    shapes = sorted({p.shape for p in own})
+    grouped = rows.groupBy("panel", "__shape", "field", closes.alias("time")).agg(*(figures[s].alias(f"__{s}") for s in shapes))
+    return grouped.select("panel", "field", "time", F.coalesce(*(F.when(F.col("__shape") == s, F.col(f"__{s}")) for s in shapes)).alias("value"))
+
+
+#: What a panel shows of its rows in one number (the dashboards' reducers).
+REDUCERS = {"lastNotNull": lambda v, t: F.max_by(v, F.when(v.isNotNull(), t)), "firstNotNull": lambda v, t: F.min_by(v, F.when(v.isNotNull(), t)), "mean": lambda v, t: F.avg(v), "min": lambda v, t: F.min(v), "max": lambda v, t: F.max(v), "sum": lambda v, t: F.sum(v), "count": lambda v, t: F.count(v).cast("double"), "range": lambda v, t: F.max(v) - F.min(v)}
+
+
+def reduced(points: DataFrame, asof: Column, wanted: dict[str, tuple[str, str]], within: str = "6 hours") -> DataFrame:
+    """(panel, value): ``wanted`` maps panels to a measurement and a reducer's name; one scan, one aggregate, a row for each panel with points."""
+    table = F.broadcast(points.sparkSession.createDataFrame([(k, m, r) for k, (m, r) in wanted.items()], "panel string, measurement string, __how string"))
+    t = F.col("time")
+    rows = points.filter((t < asof) & (t >= asof - F.expr(f"interval {within}")) & F.col("measurement").isin(*{m for m, _ in wanted.values()})).join(table, "measurement")
+    names = sorted({r for _, r in wanted.values()})
+    found = rows.groupBy("panel", "__how").agg(*(REDUCERS[r](F.col("value_double"), t).alias(f"__{r}") for r in names))
+    return found.select("panel", F.coalesce(*(F.when(F.col("__how") == r, F.col(f"__{r}")) for r in names)).alias("value"))
+
+
 def _seconds(interval: str) -> int:
     n, unit = interval.split()
     return int(n) * {"second": 1, "minute": 60, "hour": 3600, "day": 86400}[unit.rstrip("s")]

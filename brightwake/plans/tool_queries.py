@@ -75,8 +75,8 @@ def panels_windowed(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = P.events(spark, sf_dir)
     points, now = P.boat_points(rows), F.lit(rows.agg(F.max("ts")).first()[0])
     own = [replace(p, within="30 days", every="30 minutes", filled=False) for p in panels.PANELS if p.every and p.shape == "mean" and p.field == "value"]
-    each = [panels.panel(points, p, now).select(F.lit(p.name).alias("panel"), F.date_format("time", "yyyy-MM-dd HH:mm").alias("closed"), F.round("value_double", 6).alias("value")) for p in own]
-    return functools.reduce(DataFrame.unionByName, each)
+    found = panels.windowed_panels(points, now, own)
+    return found.select("panel", F.date_format("time", "yyyy-MM-dd HH:mm").alias("closed"), F.round("value", 6).alias("value"))
 
 
 def display_units(spark: SparkSession, sf_dir: str) -> DataFrame:
