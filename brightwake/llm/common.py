@@ -144,3 +144,28 @@ def byte_slices(batch: pa.RecordBatch, column: str, most: int = 1 << 22) -> Iter
         b = min(max(b, a + 1), len(values))
         yield a, b, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
         a = b
+
+
+def united(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Union-find over edges (u, v), many at a time: the root of each of n nodes, its component's smallest node.
+
+    Each round hangs the larger of two roots under the smaller (of several unions of one root one is made, the
+    others' edges stay open) and follows the parents of the edges that are still open.
+    """
+    parent = np.arange(n)
+    while len(u):
+        small, large = np.minimum(u, v), np.maximum(u, v)
+        parent[large] = small
+        for ends in (small, large):
+            while True:
+                up = parent[ends]
+                if np.array_equal(up, ends):
+                    break
+                ends[:] = up
+        still = small != large
+        u, v = small[still], large[still]
+    while True:
+        up = parent[parent]
+        if np.array_equal(up, parent):
+            return parent
+        parent = up

@@ -11,9 +11,10 @@
 3. Connected components of the confirmed links. Buckets that still hold more than one component then set
    each class outside the bucket's largest component against all classes of other components in the bucket, but for
    the hubs, whose pairs have been decided: semi-joins keep the classes whose bitmaps allow a link at
-   all, and a join whose condition compares the bitmaps and then the full sets gives out confirmed links
-   only. They join components again. So no pair of a bucket goes unseen, except inside one component,
-   where a link changes nothing.
+   all. Small buckets are joined with themselves, on bitmaps and then full sets. Larger ones are dealt into blocks of bounded
+   size, and each task takes two blocks: the sizes of all intersections of two full sets are a product of two matrices, whose columns
+   are the shingles that several of the sets have. A task gives out what its links connect, a row for each class at most, never its
+   pairs. So no pair of a bucket goes unseen, except inside one component, where a link changes nothing.
 
 A pair at 75 % shares no band with a probability of (1 - 0.75 ** 4) ** 32, about 5e-6.
 
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices, durable, joined_by
+from .common import byte_slices, durable, joined_by, united
 
 WORDS, PERCENT = 5, 75
 BANDS, ROWS, SAMPLES, SKETCH_WORDS = 32, 4, 256, 16
@@ -42,6 +43,11 @@ SKETCH_BITS = SKETCH_WORDS * 64
 #: Lowest estimate that goes on to the full sets.
 LEAST_ESTIMATE = 0.6
 
+#: Buckets of more classes than this are dealt into blocks, each of so many classes and shingles at most (a larger set is alone in its block).
+SMALL_BUCKET, BLOCK_ROWS, BLOCK_SHINGLES = 48, 512, 1 << 18
+#: So many columns of a product of matrices are made at once.
+_COLUMNS = 2048
+
 #: The component steps spread over so many tasks that each has about this many edges.
 EDGES_A_TASK = 100_000
 
@@ -223,6 +229,68 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select("v", "v").distinct())
 
 
+def shared_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The sizes of the intersections of each left set with each right one; ``left`` and ``right`` are places in ``sets``."""
+    lengths = np.array([len(s) for s in sets])
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), lengths)
+    several = (times > 1)[column]  # a shingle of one set only is in no intersection
+    row, column = row[several], (np.cumsum(times > 1) - 1)[column[several]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    found = np.zeros((len(left), len(right)), np.float32)  # counts below 2 ** 24 are exact
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, _COLUMNS):
+        a, b = np.searchsorted(column, [first, first + _COLUMNS])
+        cells = np.zeros((len(sets), _COLUMNS), np.float32)
+        cells[row[a:b], column[a:b] - first] = 1
+        found += cells[left] @ cells[right].T
+    return found.astype(np.int64)
+
+
+def _connected(block: pa.Table) -> pa.Table:
+    """What the links between two blocks of a bucket connect: (a, b), each class with the first of those that it is connected with."""
+    sets = [np.asarray(s) for s in (x.values.to_numpy() for x in block.column("set"))]
+    nodes, roots, lengths = block.column("node").to_numpy(), block.column("root").to_numpy(), np.array([len(s) for s in sets])
+    side = block.column("right").to_numpy(zero_copy_only=False).astype(bool)
+    left, right = np.flatnonzero(~side), np.flatnonzero(side)
+    if not len(right):
+        right = left
+    both = shared_counts(sets, left, right) if len(left) and len(right) else np.zeros((len(left), len(right)), np.int64)
+    hits = (100 * both >= PERCENT * (lengths[left][:, None] + lengths[right][None, :] - both)) & (roots[left][:, None] != roots[right][None, :])
+    u, v = np.nonzero(hits)
+    root = united(len(sets), left[u], right[v])
+    linked = np.flatnonzero(root != np.arange(len(sets)))
+    return pa.table([pa.array(nodes[root[linked]]), pa.array(nodes[linked])], names=["a", "b"])
+
+
+def late_links(near: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): classes of one bucket (key, node, root, main, n) that links connect, for all pairs that are not both in ``main`` or in one root."""
+    out = F.col("root") != F.col("main")
+    sizes = durable(near.groupBy("key").agg(
+        F.count(F.lit(1)).alias("members"), F.count(F.lit(1)).alias("rows"), F.count_if(out).alias("n_out"), F.sum(F.when(out, F.col("n")).otherwise(0)).alias("s_out"), F.sum(F.when(~out, F.col("n")).otherwise(0)).alias("s_main")
+    ))
+    placed = joined_by(near.select("key", "node", "root", "main"), sizes, "key", "members")
+    few = placed.filter(F.col("rows") <= SMALL_BUCKET).select("key", "node", "root", "main").join(sets, "node")
+    x, y = few.filter(out).alias("x"), few.alias("y")
+    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root"))
+    once = (F.col("y.root") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))
+    small, large = F.least(F.size("x.set"), F.size("y.set")), F.greatest(F.size("x.set"), F.size("y.set"))
+    found = x.join(y, apart & once & (100 * small >= PERCENT * large) & alike("x", "y")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+
+    blocks = lambda n, s: F.greatest(F.ceil(n / BLOCK_ROWS), F.ceil(s / BLOCK_SHINGLES), F.lit(1)).cast("int")
+    many = placed.filter((F.col("rows") > SMALL_BUCKET) & (F.col("n_out") > 0)).withColumns({"b_out": blocks(F.col("n_out"), F.col("s_out")), "b_main": blocks(F.col("rows") - F.col("n_out"), F.col("s_main"))})
+    many = many.withColumn("own", F.pmod(F.xxhash64("node"), F.when(out, F.col("b_out")).otherwise(F.col("b_main"))).cast("int"))
+    others = lambda n: F.sequence(F.lit(0), n - 1)
+    task = lambda kind, i, j, right: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), right.alias("right"))
+    own = F.col("own")
+    with_outside = F.transform(others(F.col("b_out")), lambda c: task("outside", F.least(own, c), F.greatest(own, c), own > c))
+    with_main = F.transform(others(F.col("b_main")), lambda c: task("main", own, c, F.lit(False)))
+    from_main = F.transform(others(F.col("b_out")), lambda c: task("main", c, own, F.lit(True)))
+    dealt = many.select("key", "node", "root", F.inline(F.when(out, F.concat(with_outside, with_main)).otherwise(from_main)))
+    joined = dealt.join(sets, "node").groupBy("key", "kind", "i", "j").applyInArrow(_connected, "a long, b long")
+    return found.union(joined).distinct()
+
+
 def near_duplicates(df: DataFrame, id_col: str, text: Column) -> DataFrame:
     """Per row: id, n_shingles, component_id (the smallest id reachable) and kept (id = component_id)."""
     return verdicts(df, id_col, text).drop("text_hash", "root")
@@ -267,10 +335,7 @@ def verdicts(df: DataFrame, id_col: str, text: Column) -> DataFrame:
     apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root"))
     found = [x.join(y, apart & allowed("x", "y"), "left_semi") for x, y in ((outside.alias("x"), left_over.alias("y")), (left_over.filter("root = main").alias("x"), outside.alias("y")))]
     near = durable(found[0].union(found[1]))
-    near = near.join(full_sets(near.select("node"), classes, docs), "node")
-    x, y = near.filter("root <> main").alias("x"), near.alias("y")
-    once = (F.col("y.root") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))
-    late = durable(x.join(y, apart & once & allowed("x", "y") & alike("x", "y")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
+    late = durable(late_links(near.select("key", "node", "root", "main", "n"), full_sets(near.select("node"), classes, docs)))
     if not late.isEmpty():
         roots = durable(components(links.union(late)))
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_slices, durable, joined_by, shared
+from .common import byte_slices, durable, joined_by, shared, united
 
 #: Most pairs that are broadcast.
 SMALL = 1 << 22
@@ -118,31 +118,6 @@ def _gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
 
 
-def united(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Union-find over edges (u, v), many at a time: the root of each of n nodes, its component's smallest node.
-
-    Each round hangs the larger of two roots under the smaller (of several unions of one root one is made, the
-    others' edges stay open) and follows the parents of the edges that are still open.
-    """
-    parent = np.arange(n)
-    while len(u):
-        small, large = np.minimum(u, v), np.maximum(u, v)
-        parent[large] = small
-        for ends in (small, large):
-            while True:
-                up = parent[ends]
-                if np.array_equal(up, ends):
-                    break
-                ends[:] = up
-        still = small != large
-        u, v = small[still], large[still]
-    while True:
-        up = parent[parent]
-        if np.array_equal(up, parent):
-            return parent
-        parent = up
-
-
 def _exact(tokens: Tokenizers, side: int, ids: np.ndarray, counts: np.ndarray, texts: list[bytes]) -> np.ndarray:
     """Whether each text's joined token bytes are a space and the text."""
     lengths, starts, blob = tokens.tables[side]

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from brightwake.llm import exact_dedup, queries, token_alignment, vector_codes
+from brightwake.llm import common, exact_dedup, queries, token_alignment, vector_codes
 
 from .helpers import awkward
 
@@ -154,9 +154,9 @@ def test_union_find():
         for _ in range(n):
             for a, b in zip(u, v, strict=True):
                 root[a] = root[b] = min(root[a], root[b])
-        assert token_alignment.united(n, u.copy(), v.copy()).tolist() == root
+        assert common.united(n, u.copy(), v.copy()).tolist() == root
     path = np.arange(999)
-    assert not token_alignment.united(1000, path.copy(), path + 1).any()
+    assert not common.united(1000, path.copy(), path + 1).any()
 
 
 def aligned_by_force(texts):

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from brightwake.llm import media, near_dedup, packing, queries, secret_scan, sharding, source_mix
+from brightwake.llm import common, media, near_dedup, packing, queries, secret_scan, sharding, source_mix
 
 from .helpers import CLASHING, awkward, near_groups, shingles
 
@@ -374,3 +374,48 @@ def test_near_duplicates_against_sql(spark):
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{DIR}/documents.parquet'")
     want = con.sql(f"SELECT doc_id, n_shingles, component_id, kept FROM ({queries.NEAR_SQL})").fetchall()
     assert sorted(tuple(r[c] for c in ("doc_id", "n_shingles", "component_id", "kept")) for r in queries.op5_near_dedup(spark, DIR).collect()) == sorted(want)
+
+
+def test_shared_counts():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 9000, rng.integers(1, 4000))) for _ in range(30)]
+    left, right = np.arange(0, 14), np.arange(14, 30)
+    want = [[len(np.intersect1d(sets[i], sets[j])) for j in right] for i in left]
+    assert near_dedup.shared_counts(sets, left, right).tolist() == want
+
+
+def hovering(n: int, changed: int = 4) -> list[tuple[int, str]]:
+    """Copies of 200 words, each with a few of them changed: most pairs are a little under the threshold, some over it."""
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for k in range(n):
+        words = list(base)
+        for at in rng.sample(range(200), changed):
+            words[at] = f"edit{k}x{at}"
+        rows.append((k, " ".join(words)))
+    return rows
+
+
+def test_a_group_that_hovers_about_the_threshold(spark, monkeypatch):
+    rows = hovering(250)
+    want = near_groups(rows)
+    assert len(set(want.values())) > 20
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for block in (512, 40):
+        monkeypatch.setattr(near_dedup, "BLOCK_ROWS", block)
+        found = near_dedup.near_duplicates(df, "doc_id", F.col("text")).collect()
+        assert {r["id"]: r["component_id"] for r in found} == want
+
+
+def test_three_thousand_hovering_classes(spark):
+    """What hovers is judged once for each two blocks: the test ends in time, and agrees with the product of all sets."""
+    rows = hovering(3000, 5)
+    sets = [np.array(sorted(hash(x) for x in shingles(t))) for _, t in rows]
+    every = np.arange(len(sets))
+    both = near_dedup.shared_counts(sets, every, every)
+    n = np.array([len(s) for s in sets])
+    u, v = np.nonzero(100 * both >= 75 * (n[:, None] + n[None, :] - both))
+    root = common.united(len(sets), u, v)
+    found = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), "doc_id", F.col("text")).collect()
+    assert {r["id"]: r["component_id"] for r in found} == dict(enumerate(root.tolist()))
