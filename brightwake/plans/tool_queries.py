@@ -36,7 +36,7 @@ def _registered(name: str, tool: tools.Tool, make: Callable[[DataFrame], DataFra
 
 
 def _both(df: DataFrame) -> DataFrame:
-    return P.boat_points(df).unionByName(P.text_points(df))
+    return P.at_places(P.boat_points(df).unionByName(P.text_points(df)))
 
 
 QUERIES: dict[str, Query] = {}
@@ -47,7 +47,7 @@ for _tools, _make in ((tools.NUMERIC, P.boat_points), (tools.TEXT, P.text_points
 
 def _trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = P.events(spark, sf_dir)
-    return tools.get_weather_trend(P.boat_points(rows), F.lit(rows.agg(F.max("ts")).first()[0]), "10 days", "20 days")
+    return tools.get_weather_trend(P.at_places(P.boat_points(rows)), F.lit(rows.agg(F.max("ts")).first()[0]), "10 days", "20 days")
 
 
 QUERIES["get_weather_trend"] = _trend
@@ -89,11 +89,11 @@ QUERIES |= {"panels_latest": panels_latest, "panels_windowed": panels_windowed,
 _LIST = lambda xs: "[" + ", ".join(f"'{x}'" if isinstance(x, str) else repr(x) for x in xs) + "]"
 _N, _T = len(P.BOAT), len(P.TEXTS)
 _PTS = (
-    f"WITH p AS (SELECT ts AS time, list_extract({_LIST([b[0] for b in P.BOAT])}, CAST(event_id % {_N} AS BIGINT) + 1) AS m, value * CAST(list_extract({_LIST([b[1] for b in P.BOAT])}, CAST(event_id % {_N} AS BIGINT) + 1) AS DOUBLE) + CAST(list_extract({_LIST([b[2] for b in P.BOAT])}, CAST(event_id % {_N} AS BIGINT) + 1) AS DOUBLE) AS v FROM events), "
+    f"WITH p AS (SELECT ts AS time, user_id, list_extract({_LIST([b[0] for b in P.BOAT])}, CAST(event_id % {_N} AS BIGINT) + 1) AS m, value * CAST(list_extract({_LIST([b[1] for b in P.BOAT])}, CAST(event_id % {_N} AS BIGINT) + 1) AS DOUBLE) + CAST(list_extract({_LIST([b[2] for b in P.BOAT])}, CAST(event_id % {_N} AS BIGINT) + 1) AS DOUBLE) AS v FROM events), "
     f"r AS (SELECT * FROM p WHERE time < (SELECT max(ts) FROM events) AND time >= (SELECT max(ts) FROM events) - INTERVAL 30 DAY)"
 )
 _TXT = (
-    f"WITH n AS (SELECT ts AS time, event_id, event_type, value AS x, list_extract({_LIST(P.TEXTS)}, CAST(event_id % {_T} AS BIGINT) + 1) AS m FROM events), p AS (SELECT time, m, x, CASE WHEN lower(m) LIKE '%time' THEN strftime(time + to_minutes(CAST(event_id % 900 AS BIGINT)), '%Y-%m-%dT%H:%M:%SZ') ELSE event_type END AS v FROM n), "
+    f"WITH n AS (SELECT ts AS time, user_id, event_id, event_type, value AS x, list_extract({_LIST(P.TEXTS)}, CAST(event_id % {_T} AS BIGINT) + 1) AS m FROM events), p AS (SELECT time, user_id, m, x, CASE WHEN lower(m) LIKE '%time' THEN strftime(time + to_minutes(CAST(event_id % 900 AS BIGINT)), '%Y-%m-%dT%H:%M:%SZ') ELSE event_type END AS v FROM n), "
     "r AS (SELECT * FROM p WHERE time < (SELECT max(ts) FROM events) AND time >= (SELECT max(ts) FROM events) - INTERVAL 30 DAY), d AS (SELECT * FROM p WHERE time >= date_trunc('day', (SELECT max(ts) FROM events)) AND time < date_trunc('day', (SELECT max(ts) FROM events)) + INTERVAL 1 DAY)"
 )
 
@@ -145,9 +145,9 @@ ORACLES: dict[str, str] = {
     "get_next_event": f"{_TXT}, l AS (SELECT m, arg_max(v, time) AS v FROM d WHERE m IN ('environment.sun.sunriseTime', 'environment.sun.sunsetTime', 'environment.moon.moonriseTime', 'environment.moon.moonsetTime') GROUP BY m) SELECT v AS time, CASE m WHEN 'environment.sun.sunriseTime' THEN 'sunrise' WHEN 'environment.sun.sunsetTime' THEN 'sunset' WHEN 'environment.moon.moonriseTime' THEN 'moonrise' ELSE 'moonset' END AS type FROM l WHERE strptime(v, '%Y-%m-%dT%H:%M:%SZ') > (SELECT max(ts) FROM events) ORDER BY v, type LIMIT 1",
     "get_race_marks": f"{_TXT}, l AS (SELECT {_v('race.mark.windward')} AS w, {_v('race.mark.leeward')} AS l, {_v('race.mark.gate1')} AS a, {_v('race.mark.gate2')} AS b, {_v('race.mark.finish')} AS f FROM r) SELECT coalesce(w, 'unknown') AS windward_mark, coalesce(l, 'unknown') AS leeward_mark, [a, b] AS gate_marks, coalesce(f, 'unknown') AS finish_line, CASE WHEN w IS NOT NULL AND l IS NOT NULL AND a IS NOT NULL THEN 'Full Olympic (upwind/downwind/upwind)' WHEN w IS NOT NULL AND l IS NOT NULL THEN 'Simple windward/leeward' ELSE 'Unknown/Custom course' END AS course_type FROM l",
     "get_crew_workload": f"{_PTS}, a AS (SELECT avg(v) FILTER (m = '{_W}speedTrue') / 0.51444 AS w, avg(v) FILTER (m = '{tools.SOG}') / 0.51444 AS s FROM r) SELECT round(w, 1) AS wind_speed, round(s, 1) AS boat_speed, CASE WHEN w < 8 THEN 'light' WHEN w < 12 THEN 'moderate' WHEN w < 16 THEN 'high' ELSE 'intense' END AS level, CAST(CASE WHEN w < 8 THEN 20 WHEN w < 12 THEN 50 WHEN w < 16 THEN 75 ELSE 100 END AS INTEGER) AS percentage, CAST(CASE WHEN w < 8 THEN 90 WHEN w < 12 THEN 60 WHEN w < 16 THEN 45 ELSE 30 END AS INTEGER) AS rotation_minutes, CAST(CASE WHEN w < 8 THEN 2 WHEN w < 12 THEN 3 WHEN w < 16 THEN 4 ELSE 5 END AS INTEGER) AS watches, CASE WHEN w < 8 THEN [] WHEN w < 12 THEN ['Helmsman', 'Main Trimmer'] WHEN w < 16 THEN ['Helmsman', 'Main Trimmer', 'Jib Trimmer'] ELSE ['Helmsman', 'Main Trimmer', 'Jib Trimmer', 'Bowman'] END AS priority_positions, CASE WHEN w < 8 THEN 'Light conditions. Crew can focus on trim and tactics.' WHEN w < 12 THEN 'Moderate conditions. Regular rotation recommended.' WHEN w < 16 THEN 'High workload. Frequent helm rotations advised.' ELSE 'Intense conditions. Maximum alertness required.' END AS assessment FROM a",
-    "get_buoy_data": "WITH e AS (SELECT ts, list_extract(['44065', '44025', '44008', '44099'], CAST(user_id % 4 AS BIGINT) + 1) AS station, event_id % 5 AS k, value / 20 AS v FROM events WHERE ts < (SELECT max(ts) FROM events) AND ts >= (SELECT max(ts) FROM events) - INTERVAL 30 DAY) SELECT station, coalesce(name, 'Unknown') AS name, coalesce(lat, 0) AS lat, coalesce(lon, 0) AS lon, coalesce(distance, '?') AS distance, round(arg_max(v, ts) FILTER (k = 0), 4) AS wind_speed, round(arg_max(v, ts) FILTER (k = 1), 4) AS wind_gust, round(arg_max(v, ts) FILTER (k = 2), 4) AS wave_height, round(arg_max(v, ts) FILTER (k = 3), 4) AS water_temp, round(arg_max(v, ts) FILTER (k = 4), 4) AS wind_direction FROM e LEFT JOIN (SELECT * FROM (VALUES "
-    + ", ".join(f"('{s}', '{n}', CAST({a} AS DOUBLE), CAST({b} AS DOUBLE), '{d}')" for s, n, a, b, d in P.BUOYS)
-    + ") AS v(station, name, lat, lon, distance)) USING (station) GROUP BY ALL",
+    "get_buoy_data": "WITH e AS (SELECT ts, list_extract(['44065', '44025', '44008', '44099'], CAST(user_id % 4 AS BIGINT) + 1) AS station, event_id % 5 AS k, value / 20 AS v FROM events WHERE ts < (SELECT max(ts) FROM events) AND ts >= (SELECT max(ts) FROM events) - INTERVAL 30 DAY) SELECT station, coalesce(name, 'Unknown') AS name, coalesce(lat, 0) AS lat, coalesce(lon, 0) AS lon, coalesce(location, '0°N, 0°W') AS location, coalesce(distance, '?') AS distance, round(arg_max(v, ts) FILTER (k = 0), 4) AS wind_speed, round(arg_max(v, ts) FILTER (k = 1), 4) AS wind_gust, round(arg_max(v, ts) FILTER (k = 2), 4) AS wave_height, round(arg_max(v, ts) FILTER (k = 3), 4) AS water_temp, round(arg_max(v, ts) FILTER (k = 4), 4) AS wind_direction FROM e LEFT JOIN (SELECT * FROM (VALUES "
+    + ", ".join(f"('{s}', '{n}', CAST({a} AS DOUBLE), CAST({b} AS DOUBLE), '{d}', '{P.place(a, b)}')" for s, n, a, b, d in P.BUOYS)
+    + ") AS v(station, name, lat, lon, distance, location)) USING (station) GROUP BY ALL",
     "alerts_firing": f"{_PTS}, rules AS (SELECT * FROM (VALUES {', '.join(f'''('{r.uid}', '{r.measurement}', '{r.test}', CAST({r.limit} AS DOUBLE), '{r.severity}')''' for r in alerts.THRESHOLDS)}) AS v(uid, m, test, lim, severity)), l AS (SELECT m, arg_max(v, time) AS v FROM r GROUP BY m) SELECT uid, severity, round(v, 4) AS value FROM rules JOIN l USING (m) WHERE CASE test WHEN '<' THEN v < lim WHEN '<=' THEN v <= lim WHEN '>' THEN v > lim ELSE v >= lim END",
     "panels_latest": f"{_PTS}, s AS (SELECT * FROM (VALUES {', '.join(f"('{p.name}', '{p.measurement}', CAST({p.factor!r} AS DOUBLE), {str(p.shape == 'alive').lower()})" for p in panels.PANELS if p.shape in ('last', 'alive') and p.field in ('', 'value'))}) AS x(panel, m, factor, alive)), l AS (SELECT m, arg_max(v, time) AS v FROM r GROUP BY m) SELECT panel, round(CASE WHEN alive THEN 1.0 ELSE v * factor END, 4) AS value FROM s JOIN l USING (m)",
     "panels_windowed": f"{_PTS}, s AS (SELECT * FROM (VALUES {', '.join(f"('{p.name}', '{p.measurement}', CAST({p.factor!r} AS DOUBLE))" for p in panels.PANELS if p.every and p.shape == 'mean' and p.field == 'value')}) AS x(panel, m, factor)) SELECT panel, strftime(time_bucket(INTERVAL 30 MINUTE, time) + INTERVAL 30 MINUTE, '%Y-%m-%d %H:%M') AS closed, round(avg(v * factor), 6) AS value FROM s JOIN r USING (m) GROUP BY ALL",
@@ -225,21 +225,21 @@ ORACLES |= {
     "get_distance_to_line": f"{_PTS}, l AS (SELECT {_v(tools.LAT)} AS lat, {_v(tools.LON)} AS lon, {_v('race.startLine.latitude')} AS a, {_v('race.startLine.longitude')} AS b FROM r), g AS (SELECT *, a IS NOT NULL AND b IS NOT NULL AS known, coalesce(a, lat + 0.01) AS la, coalesce(b, lon) AS lb FROM l WHERE lat IS NOT NULL AND lon IS NOT NULL), "
     f"c AS (SELECT *, sin(radians(la - lat) / 2) ** 2 + cos(radians(lat)) * cos(radians(la)) * sin(radians(lb - lon) / 2) ** 2 AS h FROM g) SELECT round(lat, 6) AS latitude, round(lon, 6) AS longitude, round(la, 6) AS line_latitude, round(lb, 6) AS line_longitude, known, round({_METRES}, 1) AS distance_meters, round({_METRES} / 1852, 3) AS distance_nm, "
     f"{_ladder(_METRES, C.LINE_STATUS, 'Very far from line')} AS status, {_ladder(_METRES, C.LINE_ADVICE, 'Far from line. Start heading toward start line.')} AS recommendation FROM c",
-    "get_weather_trend": f"{_PTS}, e AS (SELECT arg_max(v, time) FILTER (time >= {_NOW} - INTERVAL 10 DAY) - arg_max(v, time) FILTER (time < {_NOW} - INTERVAL 10 DAY) AS x FROM p WHERE m = 'weather.temperature' AND time < {_NOW} AND time >= {_NOW} - INTERVAL 20 DAY), "
-    "t AS (SELECT *, CASE WHEN x > 0.5 THEN 'Warming' WHEN x < -0.5 THEN 'Cooling' WHEN x IS NOT NULL THEN 'Stable' END AS trend FROM e) SELECT trend, round(x, 4) AS temperature_change, 'Temperature ' || lower(trend) || printf(' (%+.1f°C)', x) AS description FROM t",
+    "get_weather_trend": f"{_PTS}, e AS (SELECT coalesce(arg_max(v, time) FILTER (time >= {_NOW} - INTERVAL 10 DAY) - arg_max(v, time) FILTER (time < {_NOW} - INTERVAL 10 DAY), 0) AS x FROM p WHERE m = 'weather.temperature' AND user_id % 3 = 0 AND time < {_NOW} AND time >= {_NOW} - INTERVAL 20 DAY), "
+    "t AS (SELECT *, CASE WHEN x > 0.5 THEN 'Warming' WHEN x < -0.5 THEN 'Cooling' ELSE 'Stable' END AS trend FROM e) SELECT trend AS temperature_trend, round(x, 1) AS temperature_change_celsius, 'Temperature ' || lower(trend) || CASE WHEN x > 0 THEN ' (+' ELSE ' (' END || printf('%.1f', x) || '°C last 30 min)' AS assessment FROM t",
     "get_race_start": f"{_TXT}, l AS (SELECT {_v('race.start.name')} AS name, {_v('race.start.time')} AS begins, {_v('race.start.class')} AS class, {_v('race.start.lineLength')} AS line FROM r), s AS (SELECT *, CAST(floor(epoch(strptime(begins, '%Y-%m-%dT%H:%M:%SZ')) - epoch({_NOW})) AS BIGINT) AS n FROM l) "
     f"SELECT coalesce(name, 'Race 1') AS race_name, begins AS start_time, n AS time_to_start_seconds, coalesce({_ladder('n', [(300, 'Preparing'), (0, 'Countdown'), (-30, 'Starting')], 'Started', '>')}, 'unknown') AS start_status, "
     "CASE WHEN n IS NULL THEN 'No start time set' WHEN n > 600 THEN '10+ minutes: Prepare' WHEN n > 300 THEN '5-10 min: 1st Warning Signal (3 horn blasts)' WHEN n > 240 THEN '4 min: Preparatory Signal (2 horn blasts)' WHEN n > 0 THEN n || 's to start (1 horn blast at 0)' WHEN n > -30 THEN 'START! (Continuing horn)' ELSE 'Race started' END AS signal_sequence, coalesce(class, 'J/30') AS class, coalesce(line, 'unknown') AS start_line_length_meters FROM s",
     "get_moon_data": f"SELECT strftime({_NOW}, '%Y-%m-%d') AS date, moonrise, moonset, round(i, 4) AS illumination, {_ladder('(ph * 100)', C.MOON, 'new_moon')} AS phase, 'points' AS source FROM ({_TXT} SELECT {_v('environment.moon.moonriseTime')} AS moonrise, {_v('environment.moon.moonsetTime')} AS moonset FROM d) CROSS JOIN "
     f"({_PTS} SELECT {_v('environment.moon.illumination')} AS i, {_v('environment.moon.phase')} AS ph FROM p WHERE time >= date_trunc('day', {_NOW}) AND time < date_trunc('day', {_NOW}) + INTERVAL 1 DAY)",
-    "get_current_weather": f"WITH w AS (SELECT * FROM ({_PTS} SELECT {', '.join(f'{_v(f'weather.{m}')} AS {c}' for c, m in _WEATHER.items())} FROM r) CROSS JOIN ({_TXT} SELECT {_v('weather.condition')} AS sky FROM r)), a AS (SELECT *, "
+    "get_current_weather": f"WITH w AS (SELECT * FROM ({_PTS} SELECT {', '.join(f'{_v(f'weather.{m}')} AS {c}' for c, m in _WEATHER.items())} FROM r WHERE user_id % 3 = 0) CROSS JOIN ({_TXT} SELECT {_v('weather.condition')} AS sky FROM r WHERE user_id % 3 = 0)), a AS (SELECT *, "
     + " || ".join(f"CASE WHEN {test} THEN '{said}' ELSE '' END" for test, said in (("sky LIKE '%Rain%'", "⚠️ RAIN. "), ("sky LIKE '%Thunderstorm%'", "⚠️ THUNDERSTORM. "), ("sky LIKE '%Fog%'", "⚠️ FOG. "), ("t < 0", "🥶 Below freezing. "), ("h > 90", "💧 High humidity. "), ("pr < 1010", "⬇️ Falling pressure (deteriorating). "), ("pr > 1025", "⬆️ Rising pressure (improving). ")))
     + " AS said FROM w) SELECT round(t, 1) AS temperature_celsius, round(t * 9 / 5 + 32, 1) AS temperature_fahrenheit, round(h, 0) AS humidity_percent, round(pr, 1) AS pressure_hpa, round(s, 1) AS wind_speed_kmh, round(s / 1.852, 1) AS wind_speed_knots, round(d, 0) AS wind_direction_degrees, round(g, 1) AS wind_gust_kmh, round(g / 1.852, 1) AS wind_gust_knots, round(rain, 1) AS precipitation_mm, coalesce(sky, 'Unknown') AS condition, coalesce(nullif(said, ''), '✅ Good conditions') AS assessment FROM a",
 }
 ORACLES |= {
-    "get_wind_assessment": f"WITH k AS (SELECT wind_speed_knots AS w, coalesce(wind_gust_knots, wind_speed_knots) AS g FROM ({ORACLES['get_current_weather']})) SELECT {_ladder('w', C.WIND_CONDITIONS, 'Severe gale - dangerous')} AS condition, printf('%.1f', w) || ' - ' || printf('%.1f', g) || ' knots' AS range, "
+    "get_wind_assessment": f"WITH k AS (SELECT *, wind_speed_knots AS w, coalesce(wind_gust_knots, wind_speed_knots) AS g FROM ({ORACLES['get_current_weather']}) WHERE wind_speed_knots IS NOT NULL) SELECT wind_speed_knots, wind_gust_knots, wind_direction_degrees, {_ladder('w', C.WIND_CONDITIONS, 'Severe gale - dangerous')} AS sailing_condition, printf('%.1f', w) || ' - ' || printf('%.1f', g) || ' knots' AS wind_range, "
     + _said(_ladder("w", _FIRST_ADVICE, "WARNING: Severe conditions"), "CASE WHEN w < 5 THEN 'Avoid sudden maneuvers' WHEN w < 8 THEN 'Watch for wind shear' WHEN w < 12 THEN 'Standard sail configuration' WHEN w < 16 THEN 'Consider reefing if gusts exceed ' || printf('%.1f', w + 5) WHEN w < 20 THEN 'Consider jib2 or storm jib' WHEN w IS NOT NULL THEN 'Consider returning to harbor' END", "CASE WHEN w >= 20 THEN 'Double-check all safety equipment' END", "CASE WHEN g > w + 8 THEN 'Significant gusts detected - adjust trim frequently' END")
-    + f" AS recommendations, {_ladder('w', C.SAILS, 'Storm jib only')} AS sails FROM k",
-    "get_wind_comparison": f"WITH x AS (SELECT *, coalesce(nullif(list_position({_LIST([b[0] for b in P.BUOYS])}, station), 0), {len(P.BUOYS) + 1}) AS o FROM ({ORACLES['get_buoy_data']}) WHERE wind_speed IS NOT NULL), c AS (SELECT list_sort(list(printf('%s: %.1f kts', name, wind_speed))) AS summary, first(name ORDER BY wind_speed DESC, o, station DESC) AS strongest, first(name ORDER BY wind_speed, o, station) AS weakest, round(avg(wind_speed), 1) AS average_wind FROM x) "
+    + f" AS recommendations, {_ladder('w', C.SAILS, 'Storm jib only')} AS best_sail_combo FROM k",
+    "get_wind_comparison": f"WITH x AS (SELECT *, coalesce(nullif(list_position({_LIST([b[0] for b in P.BUOYS])}, station), 0), {len(P.BUOYS) + 1}) AS o FROM ({ORACLES['get_buoy_data']}) WHERE wind_speed IS NOT NULL), c AS (SELECT list_sort(list(printf('%s %s: %.1f kts', station, name, wind_speed) || CASE WHEN wind_gust IS NOT NULL THEN printf(', gust %.1f kts', wind_gust) ELSE '' END || ', ' || distance)) AS summary, first(name ORDER BY wind_speed DESC, o, station DESC) AS strongest, first(name ORDER BY wind_speed, o, station) AS weakest, round(avg(wind_speed), 1) AS average_wind FROM x) "
     f"SELECT *, {_ladder('average_wind', C.FLEET_WIND, 'Strong wind conditions across LIS')} AS assessment FROM c",
 }

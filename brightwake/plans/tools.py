@@ -251,8 +251,8 @@ def get_next_event(p, asof, within=""):
 
 
 def at_location(p: DataFrame, location: str) -> DataFrame:
-    """The points of a place; points that name none count as its own."""
-    return p.filter(F.coalesce(F.col("tags")["location"], F.lit(location)) == location)
+    """The points whose ``location`` tag names the place; those that name none are not there."""
+    return p.filter(F.try_element_at("tags", F.lit("location")) == location)
 
 
 def get_current_weather(p, asof, within="30 minutes", location="stamford"):
@@ -268,17 +268,22 @@ def get_current_weather(p, asof, within="30 minutes", location="stamford"):
 
 
 def get_weather_trend(p, asof, within="30 minutes", before="60 minutes", location="stamford"):
+    """Always one row: stable and 0 where one of the two values is missing. A rise has its sign."""
     rows = two_ranges(at_location(p, location).filter(F.col("measurement") == "weather.temperature"), [], "value_double", asof, within, before)
-    label = C.trend(F.col("change"), 0.5, "Warming", "Cooling")
-    text = F.concat(F.lit("Temperature "), F.lower(label), F.format_string(" (%+.1f°C)", "change"))
-    return rows.select(label.alias("trend"), r("change").alias("temperature_change"), text.alias("description"))
+    change = F.coalesce("change", F.lit(0.0))
+    label = C.trend(change, 0.5, "Warming", "Cooling")
+    text = F.concat(F.lit("Temperature "), F.lower(label), F.when(change > 0, " (+").otherwise(" ("), U.fixed(change, 1), F.lit("°C last 30 min)"))
+    return rows.select(label.alias("temperature_trend"), F.round(change, 1).alias("temperature_change_celsius"), text.alias("assessment"))
 
 
 def get_wind_assessment(p, asof, within="30 minutes", location="stamford"):
-    w = get_current_weather(p, asof, within, location)
+    """No row without wind."""
+    w = get_current_weather(p, asof, within, location).filter("wind_speed_knots is not null")
     wind, gust = F.col("wind_speed_knots"), F.coalesce("wind_gust_knots", "wind_speed_knots")
     span = F.concat(U.fixed(wind, 1), F.lit(" - "), U.fixed(gust, 1), F.lit(" knots"))
-    return w.select(C.wind_condition(wind).alias("condition"), span.alias("range"), C.wind_advice(wind, gust).alias("recommendations"), C.sail_plan(wind).alias("sails"))
+    return w.select(
+        "wind_speed_knots", "wind_gust_knots", "wind_direction_degrees", C.wind_condition(wind).alias("sailing_condition"), span.alias("wind_range"), C.wind_advice(wind, gust).alias("recommendations"), C.sail_plan(wind).alias("best_sail_combo")
+    )
 
 
 def get_crew_status(p, asof, within="1 hour"):
@@ -306,18 +311,27 @@ def get_crew_workload(p, asof, within="5 minutes"):
     return rows.select(r("w", 1).alias("wind_speed"), r("s", 1).alias("boat_speed"), C.workload(F.col("w")).alias("x")).select("wind_speed", "boat_speed", "x.*")
 
 
+def stationed(p: DataFrame) -> DataFrame:
+    """Points with a ``station`` column, from the tag of that name where they have none of their own; 'unknown' without either."""
+    own = [F.col("station")] if "station" in p.columns else []
+    tag = [F.try_element_at("tags", F.lit("station"))] if "tags" in p.columns else []
+    return p.withColumn("station", F.coalesce(*own, *tag, F.lit("unknown")))
+
+
 def get_buoy_data(p, asof, within="1 hour"):
-    """A row for each station, from readings with a ``station`` column; unknown stations get the default row."""
-    rows = latest(near(p, asof, within), {"wind_speed": "buoy.wind_speed_knots", "wind_gust": "buoy.wind_gust_knots", "wind_direction": "buoy.wind_direction", "wave_height": "buoy.wave_height", "water_temp": "buoy.water_temperature"}, by=["station"], value="value_double")
-    known = lookup(rows, P.buoys(p.sparkSession), "station", {"name": "Unknown", "lat": 0.0, "lon": 0.0, "distance": "?"})
-    return known.select("station", "name", "lat", "lon", "distance", *(r(c).alias(c) for c in ("wind_speed", "wind_gust", "wind_direction", "wave_height", "water_temp")))
+    """A row for each station; unknown stations get the default row."""
+    rows = near(stationed(p), asof, within).filter(F.col("measurement").startswith("buoy."))
+    rows = latest(rows, {"wind_speed": "buoy.wind_speed_knots", "wind_gust": "buoy.wind_gust_knots", "wind_direction": "buoy.wind_direction", "wave_height": "buoy.wave_height", "water_temp": "buoy.water_temperature"}, by=["station"], value="value_double")
+    known = lookup(rows, P.buoys(p.sparkSession), "station", {"name": "Unknown", "lat": 0.0, "lon": 0.0, "distance": "?", "location": P.place(0.0, 0.0)})
+    return known.select("station", "name", "lat", "lon", "location", "distance", *(r(c).alias(c) for c in ("wind_speed", "wind_gust", "wind_direction", "wave_height", "water_temp")))
 
 
 def get_wind_comparison(p, asof, within="1 hour"):
+    """Winds as they are shown, with one decimal."""
     rows = get_buoy_data(p, asof, within).filter("wind_speed is not null")
     first = F.array_position(F.array(*(F.lit(b[0]) for b in P.BUOYS)), F.col("station"))
     order = F.when(first > 0, first).otherwise(len(P.BUOYS) + 1)  # of equal winds the first station in the list counts
-    line = F.format_string("%s: %.1f kts", "name", "wind_speed")
+    line = F.concat_ws(", ", F.format_string("%s %s: %.1f kts", "station", "name", "wind_speed"), F.when(F.col("wind_gust").isNotNull(), F.format_string("gust %.1f kts", "wind_gust")), F.col("distance"))
     out = rows.agg(F.array_sort(F.collect_list(line)).alias("summary"), F.max_by("name", F.struct("wind_speed", (-order).alias("o"), "station")).alias("strongest"), F.min_by("name", F.struct("wind_speed", order.alias("o"), "station")).alias("weakest"), F.round(F.avg("wind_speed"), 1).alias("average_wind"))
     return out.withColumn("assessment", C.fleet_wind(F.col("average_wind")))
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 POINT = "time timestamp, measurement string, field string, value_double double, value_string string, value_boolean boolean, source string, tags map<string,string>"
 
 #: Names under which one measurement is also written.
-ALIASES = {"navigation.position.lat": "navigation.position.latitude", "navigation.position.lon": "navigation.position.longitude", "environment.water.depth": "environment.depth.belowKeel"}
+ALIASES = {"navigation.position.lat": "navigation.position.latitude", "navigation.position.lon": "navigation.position.longitude"}
 
 
 def read(spark: SparkSession, root: str) -> DataFrame:
@@ -47,6 +47,13 @@ def from_events(df: DataFrame) -> DataFrame:
     )
 
 
+def at_places(points: DataFrame) -> DataFrame:
+    """Points with a ``location`` tag beside their others: of three users one is at Stamford, one at Newport, and one says nothing."""
+    user = F.try_element_at("tags", F.lit("user")).cast("bigint")
+    place = lambda name: F.map_concat("tags", F.create_map(F.lit("location"), F.lit(name)))
+    return points.withColumn("tags", F.when(user % 3 == 0, place("stamford")).when(user % 3 == 1, place("newport")).otherwise(F.col("tags")))
+
+
 #: Measurements of one boat, dealt over the events by id: (measurement, factor, offset).
 BOAT = [
     ("navigation.headingTrue", 0.0128, 0.0), ("navigation.position.latitude", 0.002, 40.6), ("navigation.position.longitude", 0.004, -73.6), ("navigation.speedOverGround", 0.02, 0.0),
@@ -97,8 +104,14 @@ POLAR = [
 ]
 
 
+def place(lat: float, lon: float) -> str:
+    """As the tools write a place."""
+    return f"{lat:g}°N, {lon:g}°W"
+
+
 def buoys(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(BUOYS, "station string, name string, lat double, lon double, distance string")
+    rows = [(*b, place(b[2], b[3])) for b in BUOYS]
+    return spark.createDataFrame(rows, "station string, name string, lat double, lon double, distance string, location string")
 
 
 def polar(spark: SparkSession) -> DataFrame:
@@ -115,8 +128,10 @@ def polar_from_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def buoy_points(df: DataFrame) -> DataFrame:
-    """Each event as a reading of one of four stations, the last of them unknown to the dimension."""
+    """Each event as a canonical point of one of four stations, named in the tags, the last of them unknown to the dimension."""
     names = ["buoy.wind_speed_knots", "buoy.wind_gust_knots", "buoy.wave_height", "buoy.water_temperature", "buoy.wind_direction"]
     stations = [b[0] for b in BUOYS] + ["44099"]
     pick = lambda xs, by: F.get(F.array(*map(F.lit, xs)), by.cast("int"))
-    return df.select(F.col("ts").alias("time"), pick(names, F.col("event_id") % 5).alias("measurement"), pick(stations, F.col("user_id") % 4).alias("station"), (F.col("value") / 20).alias("value_double"), "event_id")
+    rows = from_events(df.withColumn("value", F.col("value") / 20))
+    user = F.try_element_at("tags", F.lit("user")).cast("bigint")
+    return rows.withColumns({"measurement": pick(names, F.col("event_id") % 5), "tags": F.create_map(F.lit("station"), pick(stations, user % 4))})
