@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from brightwake.operators import split
 from brightwake.operators.series import Series
 from brightwake.plans import alerts, panels
+from brightwake.sources import battery
 from brightwake.plans.series_queries import ASOF, STAMP, asof, events, r8, stamp
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -172,3 +173,21 @@ def alert_shifts(spark, sf_dir):
     names = {r.uid: r.measurement for r in rules}
     own = F.create_map(*(F.lit(x) for kv in names.items() for x in kv))
     return found.withColumn("measurement", own[F.col("uid")]).join(at, ["user", "time", "measurement"]).select("event_id", "uid", "change")
+
+
+_MV = "CAST(floor(value * 100) AS BIGINT) % 16000"
+
+
+@query(f"SELECT user_id AS device, {STAMP.format('ts')} AS at, round({_MV} / 1000.0, 3) AS volts, round((event_id % 20000 - 9000) / 1000000.0, 6) AS amperes, CAST(event_id % 101 AS INTEGER) AS soc, CAST(event_id % 1000 AS INTEGER) AS cycles FROM events WHERE event_id % 7 <> 0 AND event_id % 11 <> 0")
+def battery_status(spark, sf_dir):
+    """Each event as a status frame in two chunks; every seventh has a wrong checksum, every eleventh lacks its second chunk."""
+    e = F.col("event_id")
+    le = lambda v, n: [F.shiftright(v.cast("long"), 8 * k).bitwiseAND(F.lit(255)) for k in range(n)]
+    body = F.array(F.lit(0xCC).cast("long"), F.lit(0xF0).cast("long"), *le(F.floor(F.col("value") * 100) % 16000, 3), *le(e % 20000 - 9000, 3), *le(F.lit(40), 3), *le(F.lit(-5), 3), *le(e % 1000, 2), *le(e % 101, 2))
+    text = lambda xs: F.array_join(F.transform(xs, lambda x: F.lpad(F.hex(x), 2, "0")), "")
+    check = battery.crc8(F.transform("body", lambda x: x.cast("int"))).cast("long")
+    rows = events(spark, sf_dir).withColumn("body", body).withColumn("digits", text(F.concat("body", F.array(F.when(e % 7 == 0, check.bitwiseXOR(F.lit(1))).otherwise(check)))))
+    cut = F.when(e % 11 == 0, F.array(F.substring("digits", 1, 24))).otherwise(F.array(F.substring("digits", 1, 24), F.substring("digits", 25, 99)))
+    chunks = rows.select(F.col("user").alias("device"), "time", F.posexplode(cut).alias("seq", "hex")).select("device", "time", "seq", F.unhex("hex").alias("data"))
+    found = battery.readings(battery.frames(chunks, bucket="1 day"))
+    return found.select("device", stamp("time").alias("at"), F.round("voltage_v", 3).alias("volts"), F.round("current_a", 6).alias("amperes"), F.col("soc_pct").alias("soc"), "cycles")
