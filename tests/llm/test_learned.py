@@ -314,3 +314,36 @@ def test_no_rule_is_cut(spark):
     rows = [(path, "block")] * 40 + [([q], "block") for q in more] + [(["h:a", "h:b"], "allow")] * 29 + [(["h:a", "h:b"], None)] + [(["h:a"], None)] * 30 + [(["h:b"], None)] * 30
     rules = {tuple(r["items"]): r["label"] for r in url_rules.mine(spark.createDataFrame(rows, "tokens array<string>, label string"), 0.0004, 0.9)}
     assert rules == {(p,): "block" for p in path + more} | {("h:a", "h:b"): "allow"}
+
+
+def test_long_urls_are_mined_in_time(spark):
+    """Twenty URLs of 60 parts of their own, and a template of 30 nested parts: neither makes subsets of them all."""
+    import time
+
+    rows = [([f"p:{k}x{i}" for i in range(60)] + ["h:a"], "block" if k % 2 else "allow") for k in range(20)]
+    rows += [([f"n:{i}" for i in range(1 + k % 30)] + ["h:b"], "block" if k % 30 > 20 else None) for k in range(300)]
+    df = spark.createDataFrame(rows, "tokens array<string>, label string")
+    began = time.perf_counter()
+    rules, names = url_rules.rule_table(df, 0.001, 0.9)
+    found = {tuple(r["items"]): r for r in rules.collect()}
+    assert time.perf_counter() - began < 60
+    # Whoever has part 21 has all before it, and is blocked; no longer rule says more.
+    assert found["n:21",]["label"] == "block" and found["n:21",]["confidence"] == 1.0 and round(found["n:21",]["support"], 6) == round(90 / 320, 6)
+    assert not any(len(p) > 1 for p in found if all(x.startswith("n:") for x in p))
+    reps = {r["item"] for r in names.filter("t like 'p:%'").collect()}
+    assert len(reps) == 20 and all((r,) in found for r in reps)
+
+
+def test_wide_urls_are_counted_exactly(spark, monkeypatch):
+    """With few items to combine, what is proposed has the figures of all items."""
+    rng = np.random.default_rng(3)
+    baskets = [(frozenset(f"t{i}" for i in range(9) if rng.random() < 0.4), ["allow", "block", None][rng.integers(3)]) for _ in range(120)]
+    baskets = [(b | {"t0"}, "block") if "t1" in b and "t2" in b else (b, label) for b, label in baskets]
+    every = brute_mine(baskets, 0.03, 0.9)
+    monkeypatch.setattr(url_rules, "WIDE", 4)
+    df = spark.createDataFrame([(sorted(b), label) for b, label in baskets], "tokens array<string>, label string")
+    found = {(tuple(r["items"]), r["label"]): (r["confidence"], r["support"]) for r in url_rules.mine(df, 0.03, 0.9)}
+    have = lambda p: [label for b, label in baskets if set(p) <= b]
+    for (p, label), (confidence, support) in found.items():
+        assert abs(confidence - have(p).count(label) / len(have(p))) < 1e-8 and abs(support - have(p).count(label) / 120) < 1e-8
+    assert found and {k for k in every if len(k[0]) == 1} <= set(found)
