@@ -6,11 +6,11 @@ deadlines, so that after any number of slots each source is less than one block
 
 The weights are taken exactly, as the decimal numbers that they print as, over the whole of a phase. When a
 source has given its last block, a new phase begins with the weights of the others scaled up; the bound
-holds within each phase. All rows are placed, none twice. Weights whose schedule repeats within a frame are
-worked out once; with others each block follows from all before it, so the driver deals them one after
-another, from the sources' sizes alone, with a step for each block of rows (its time grows with them). There may be
-``MOST_SOURCES`` sources; mixing refuses more. The driver holds ``PIECE`` rows of the plan at a time; the plan goes
-through the shared folder and is joined by block.
+holds within each phase. All rows are placed, none twice. Weights whose schedule repeats within a frame, such as those of
+``targets``, are worked out once for each phase, and Spark spreads the plan's few rows over the blocks. With other weights, which a caller
+may give, each block follows from all before it, so the driver deals them one after another, from the sources' sizes alone, with a step for
+each block of rows (its time grows with them), holds ``PIECE`` rows of the plan at a time, and writes them to the shared folder, from
+which they go once they are checkpointed. There may be ``MOST_SOURCES`` sources; mixing refuses more.
 
 Defined results: null sources are one source, the empty name; an empty table gives an empty mix; rows
 that repeat stay, each with a place of its own; rows of a source that tie in their ids come in any order, null ids first.
@@ -23,16 +23,16 @@ import math
 from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from fractions import Fraction
-from itertools import batched, count, islice
+from itertools import batched, chain, count, islice
 from uuid import uuid4
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, fresh, joined_by, quoted, shared_folder, with_rank
+from .common import durable, fresh, joined_by, quoted, remove, shared_folder, with_rank
 
 FRAME = 1024
-#: Rows of the plan, each some blocks of a source, that the driver holds at a time.
+#: Rows of the plan that the driver holds at a time, and blocks of a source that a row of the plan is spread into at a time.
 PIECE = 16_384
 MOST_SOURCES = 10_000
 PLAN = "source string, from_block long, to_block long, start long, frame long, slots array<int>"
@@ -80,7 +80,11 @@ def places(turns: Iterable[str]) -> dict[str, list[int]]:
 
 
 def deal(blocks: dict[str, int], weights: dict[str, float], frame: int = FRAME) -> Iterator[tuple[str, int, int, int, int, list[int]]]:
-    """(source, first block, block after the last, first slot, period, slots in the period), of at most ``frame`` blocks each."""
+    """(source, first block, block after the last, first slot, period, slots in the period).
+
+    Where the weights of those that still have blocks repeat within ``frame`` slots, one row for each source tells all up to the end of
+    the first that runs out, however many blocks that are; else each row has at most ``frame`` blocks.
+    """
     done = dict.fromkeys(blocks, 0)
     exact = whole_weights(weights)
     start = 0
@@ -92,8 +96,7 @@ def deal(blocks: dict[str, int], weights: dict[str, float], frame: int = FRAME)
         if period <= frame:
             cycle = places(islice(earliest_deadline(active), period))
             end = min((left[s] - 1) // len(at) * period + at[(left[s] - 1) % len(at)] for s, at in cycle.items()) + 1
-            step = frame // period * period
-            pieces: Iterable = [(min(step, end - a), cycle) for a in range(0, end, step)]
+            pieces: Iterable = [(end, cycle)]
         else:
             pieces = ((len(part), places(part)) for part in batched(until_one_ends(earliest_deadline(active), left), frame))
         for length, placed in pieces:
@@ -111,11 +114,31 @@ def schedule(blocks: dict[str, int], weights: dict[str, float], frame: int = FRA
     return list(deal(blocks, weights, frame))
 
 
+def targets(sizes: dict[str, int], frame: int = FRAME) -> dict[str, float]:
+    """Whole weights in the proportions of the sizes' square roots, one at least, of about ``frame`` in all (of eight a source, if that is more)."""
+    roots = {s: math.sqrt(n) for s, n in sizes.items()}
+    total, shares = sum(roots.values()), max(frame, 8 * len(sizes)) - len(sizes)
+    return {s: max(1, round(shares * r / total)) for s, r in roots.items()}
+
+
+def _plan(spark: SparkSession, rows: Iterator[tuple]) -> DataFrame:
+    """The rows as a table; where there are many of them, they go by pieces into the shared folder."""
+    first = list(islice(rows, PIECE))
+    if len(first) < PIECE:
+        return spark.createDataFrame(first, PLAN)
+    folder = f"{shared_folder(spark)}/mix-{uuid4().hex}"
+    for piece in chain([first], batched(rows, PIECE)):
+        spark.createDataFrame(list(piece), PLAN).coalesce(1).write.mode("append").parquet(folder)
+    plan = durable(spark.read.schema(PLAN).parquet(folder))
+    remove(spark, folder)
+    return plan
+
+
 def mix(df: DataFrame, id_col: str, source_col: str, weights: dict[str, float] | None = None, block_rows: int = 16, frame: int = FRAME, carry: dict[str, Column] | None = None) -> DataFrame:
     """Per row: id, source, block, slot (its block's) and position, by which the mix is ordered.
 
-    Without ``weights`` a source's target is the square root of its number of rows. ``carry`` names further
-    columns that go along with each row.
+    Without ``weights`` a source's target is the square root of its number of rows, as a whole share of ``frame`` (``targets``), so that
+    what the driver does grows with the sources only. ``carry`` names further columns that go along with each row.
     """
     along = carry or {}
     rows = durable(df.select(F.col(id_col).alias("id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), *(c.alias(name) for name, c in along.items())))
@@ -123,15 +146,13 @@ def mix(df: DataFrame, id_col: str, source_col: str, weights: dict[str, float] |
     if len(sizes) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
     if weights is None:
-        weights = {s: math.sqrt(n) for s, n in sizes.items()}
+        weights = targets(sizes, frame)
+        frame = max(frame, int(sum(weights.values())))
     if missing := [s for s in sizes if weights.get(s, 0) <= 0]:
         raise ValueError(f"no positive weight for {missing[:5]}")
-    spark = df.sparkSession
-    folder = f"{shared_folder(spark)}/mix-{uuid4().hex}"
-    spark.createDataFrame([], PLAN).write.parquet(folder)
-    for piece in batched(deal({s: -(-n // block_rows) for s, n in sizes.items()}, weights, frame), PIECE):
-        spark.createDataFrame(list(piece), PLAN).coalesce(1).write.mode("append").parquet(folder)
-    plans = spark.read.schema(PLAN).parquet(folder).withColumn("at", F.explode(F.expr("sequence(0L, to_block - from_block - 1)")))
+    plans = _plan(df.sparkSession, deal({s: -(-n // block_rows) for s, n in sizes.items()}, weights, frame))
+    plans = plans.withColumn("piece", F.explode(F.expr(f"sequence(0L, (to_block - from_block - 1) div {PIECE})")))
+    plans = plans.withColumn("at", F.explode(F.expr(f"sequence(piece * {PIECE}, least((piece + 1) * {PIECE}, to_block - from_block) - 1)")))
     slot = F.expr("start + at div size(slots) * frame + get(slots, cast(at % size(slots) as int))")
     plans = plans.select("source", (F.col("from_block") + F.col("at")).alias("block"), slot.alias("slot"))
     ranked = with_rank(rows, "source", ["id"], "rank").withColumn("block", F.expr(f"rank div {int(block_rows)}"))

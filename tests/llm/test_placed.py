@@ -419,3 +419,19 @@ def test_three_thousand_hovering_classes(spark):
     root = common.united(len(sets), u, v)
     found = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), "doc_id", F.col("text")).collect()
     assert {r["id"]: r["component_id"] for r in found} == dict(enumerate(root.tolist()))
+
+
+def test_the_drivers_steps_do_not_grow_with_the_rows():
+    """Three million blocks: a row of the plan for each source and phase, and each source's share is less than a block off at every slot."""
+    sizes = {"a": 30_000_000, "b": 11_000_000, "c": 7_000_000, "d": 48_000}
+    weights = source_mix.targets(sizes)
+    blocks = {s: -(-n // 16) for s, n in sizes.items()}
+    plan = source_mix.schedule(blocks, weights)
+    assert len(plan) <= len(sizes) ** 2 and sum(b - a for _, a, b, *_ in plan) == sum(blocks.values()) and abs(sum(weights.values()) - 1024) <= 8
+    first = [p for p in plan if p[3] == 0]
+    total = sum(weights.values())
+    for s, a, b, start, frame, slots in first:
+        at = np.arange(b - a)
+        slot = start + at // len(slots) * frame + np.array(slots)[at % len(slots)]
+        due = slot * weights[s] / total
+        assert (np.diff(slot) > 0).all() and (at - due < 1).all() and (at + 1 - (slot + 1) * weights[s] / total > -1).all()
