@@ -70,6 +70,7 @@ def downwind_advice(efficiency: Column, heel: Column, actual: Column, polar: Col
     )
 
 
+# Bounds and texts of the ladders, as the tools write them.
 WIND_CONDITIONS = [
     (5, "Light wind - challenging"),
     (8, "Light breeze - good for training"),

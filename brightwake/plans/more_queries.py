@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from brightwake.operators import split
 from brightwake.operators.series import Series
 from brightwake.plans import alerts, panels
-from brightwake.sources import battery
+from brightwake.sources import battery, sinks
 from brightwake.plans.series_queries import ASOF, STAMP, asof, events, r8, stamp
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -191,3 +191,16 @@ def battery_status(spark, sf_dir):
     chunks = rows.select(F.col("user").alias("device"), "time", F.posexplode(cut).alias("seq", "hex")).select("device", "time", "seq", F.unhex("hex").alias("data"))
     found = battery.readings(battery.frames(chunks, bucket="1 day"))
     return found.select("device", stamp("time").alias("at"), F.round("voltage_v", 3).alias("volts"), F.round("current_a", 6).alias("amperes"), F.col("soc_pct").alias("soc"), "cycles")
+
+
+_MINUTES = "round(abs({0}) * 60, 4)"
+_COORDINATE = "printf('%0{1}d%07.4f', CAST(floor({0} / 60) AS BIGINT), round({0} - floor({0} / 60) * 60, 4))"
+
+
+@query(f"""WITH p AS (SELECT event_id, ts, value % 80 - 40 AS lat, value * 3 % 360 - 180 AS lon, event_id % 200 / 10.0 AS knots, event_id % 3600 / 10.0 AS deg FROM events), m AS (SELECT *, {_MINUTES.format('lat')} AS a, {_MINUTES.format('lon')} AS o FROM p), b AS (SELECT event_id, 'IIRMC,' || strftime(ts, '%H%M%S') || ',A,' || {_COORDINATE.format('a', 2)} || CASE WHEN lat < 0 THEN ',S,' ELSE ',N,' END || {_COORDINATE.format('o', 3)} || CASE WHEN lon < 0 THEN ',W,' ELSE ',E,' END || printf('%.1f', knots) || ',' || printf('%.1f', deg) || ',' || strftime(ts, '%d%m%y') || ',,' AS body FROM m)
+SELECT event_id, '$' || body || '*' || printf('%02X', list_reduce([ascii(c) for c in string_split(body, '')], lambda x, y: xor(x, y))) AS line FROM b""")
+def course_sentences(spark, sf_dir):
+    """Each event as a sentence of place, speed and course over ground, with its checksum."""
+    v, e = F.col("value"), F.col("event_id")
+    line = sinks.course_sentence(F.col("time"), v % 80 - 40, v * 3 % 360 - 180, e % 200 / 10, e % 3600 / 10)
+    return events(spark, sf_dir).select("event_id", line.alias("line"))

@@ -51,6 +51,36 @@ def speed_sentence(deg: Column, knots: Column) -> Column:
     return sentence("IIVHW", F.format_string("%.1f", deg), F.lit("T"), F.lit(""), F.lit("M"), F.format_string("%.1f", knots), F.lit("N"), F.lit(""), F.lit("K"))
 
 
+def coordinate(deg: Column, width: int) -> Column:
+    """Degrees in ``width`` digits and minutes with four decimals, rounded together, so that no minute is 60."""
+    minutes = F.round(F.abs(deg) * 60, 4)
+    whole = F.floor(minutes / 60)
+    return F.format_string(f"%0{width}d%07.4f", whole, F.round(minutes - whole * 60, 4))
+
+
+def _place(lat: Column, lon: Column) -> list[Column]:
+    return [coordinate(lat, 2), F.when(lat < 0, "S").otherwise("N"), coordinate(lon, 3), F.when(lon < 0, "W").otherwise("E")]
+
+
+def fix_sentence(time: Column, lat: Column, lon: Column, satellites: Column) -> Column:
+    """GGA: time, place, quality 1, satellites; null without a place."""
+    blank = F.lit("")
+    made = sentence("IIGGA", F.date_format(time, "HHmmss"), *_place(lat, lon), F.lit("1"), F.format_string("%02d", satellites), blank, blank, F.lit("M"), blank, F.lit("M"), blank, blank)
+    return F.when(lat.isNotNull() & lon.isNotNull(), made)
+
+
+def course_sentence(time: Column, lat: Column, lon: Column, knots: Column, deg: Column) -> Column:
+    """RMC: time, place, speed and course over ground, date; null without a place."""
+    number = lambda c: F.when(c.isNotNull(), F.format_string("%.1f", c))
+    made = sentence("IIRMC", F.date_format(time, "HHmmss"), F.lit("A"), *_place(lat, lon), number(knots), number(deg), F.date_format(time, "ddMMyy"), F.lit(""), F.lit(""))
+    return F.when(lat.isNotNull() & lon.isNotNull(), made)
+
+
+def wind_direction_sentence(deg: Column, knots: Column) -> Column:
+    """MWD: true wind direction, and its speed in knots and metres a second."""
+    return sentence("IIMWD", F.format_string("%.1f", deg), F.lit("T"), F.lit(""), F.lit("M"), F.format_string("%.1f", knots), F.lit("N"), F.format_string("%.1f", knots / 1.94384), F.lit("M"))
+
+
 def export_csv(points: DataFrame, path: str, keys: list[str], order: str) -> None:
     """A header and rows grouped by ``keys``, sorted within each group."""
     points.repartition(*keys).sortWithinPartitions(*keys, order).write.mode("overwrite").option("header", True).csv(path)
