@@ -94,3 +94,63 @@ def degrees_per_minute(radians_per_second: Column) -> Column:
 def fixed(value: Column, digits: int) -> Column:
     """As text with so many digits; null stays null."""
     return F.when(value.isNotNull(), F.format_string(f"%.{digits}f", value.cast("double")))
+
+
+def _beyond_tie(value: Column, digits: int) -> tuple[Column, Column]:
+    """The whole multiples of 10^-digits at or below a size, and where it lies against the middle of the step: -1, 0 or 1.
+
+    Decided on the double itself, not on its shortest decimal: 1.005 is a little less than a middle, 0.125 is one. The
+    product's rounding error is found by splitting the factor into halves of 26 bits, so it decides exactly.
+    """
+    scale = float(10 ** (digits + 1))
+    high = value * 134217729.0 - (value * 134217729.0 - value)
+    tenths = F.floor(value * scale).cast("double")
+    error = lambda whole: (high * scale - whole) + (value - high) * scale
+    tenths = F.when(error(tenths) < 0, tenths - 1).when(error(tenths) >= 1, tenths + 1).otherwise(tenths)
+    last = F.pmod(tenths, F.lit(10.0))
+    side = F.when(last < 5, -1).when((last > 5) | (error(tenths) > 0), 1).otherwise(0)
+    return F.floor(tenths / 10), side
+
+
+def to_fixed(value: Column, digits: int) -> Column:
+    """Text with so many digits (six at most), the middle away from zero, as scripts of web pages write it; null stays null.
+
+    Sizes must stay below 2^53 / 10^(digits + 1); larger ones, NaN and infinity give null.
+    """
+    if not 0 <= digits <= 6:
+        raise ValueError(f"{digits} digits")
+    size = F.abs(value.cast("double"))
+    below, side = _beyond_tie(size, digits)
+    units = (below + F.when(side >= 0, 1).otherwise(0)).cast("long")
+    whole = F.floor(units / 10**digits).cast("string") if digits else units.cast("string")
+    text = F.concat(whole, F.lit("."), F.lpad((units % 10**digits).cast("string"), digits, "0")) if digits else whole
+    return F.when(size < 2.0**53 / 10 ** (digits + 1), F.concat(F.when(value < 0, "-").otherwise(""), text))
+
+
+def round_even(value: Column, digits: int) -> Column:
+    """The number with so many digits (six at most), an exact middle to the even side, as Python rounds; bounds as :func:`to_fixed`."""
+    if not 0 <= digits <= 6:
+        raise ValueError(f"{digits} digits")
+    size = F.abs(value.cast("double"))
+    below, side = _beyond_tie(size, digits)
+    up = (side > 0) | ((side == 0) & (below % 2 == 1))
+    units = (below + F.when(up, 1).otherwise(0)).cast("double")
+    return F.when(size < 2.0**53 / 10 ** (digits + 1), units / float(10**digits) * F.when(value < 0, -1.0).otherwise(1.0))
+
+
+def with_units(df: DataFrame, units: dict[str, str]) -> DataFrame:
+    """Columns with their display unit as metadata: the first of ``units`` (word of a name, unit) whose word a name has."""
+    for name in df.columns:
+        if (unit := next((u for word, u in units.items() if word.lower() in name.lower()), None)) is not None:
+            df = df.withMetadata(name, df.schema[name].metadata | {"unit": unit})
+    return df
+
+
+def day_stamp(time: Column) -> Column:
+    """The day as eight digits."""
+    return F.date_format(time, "yyyyMMdd")
+
+
+def underscored(text: Column) -> Column:
+    """Blanks as underscores, for names that may hold none."""
+    return F.replace(text, F.lit(" "), F.lit("_"))

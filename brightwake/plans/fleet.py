@@ -50,3 +50,30 @@ def fatigue_index(speeds: DataFrame, by: list[str], every: str = "30 minutes") -
     baseline = F.first("mean").over(Window.partitionBy(*by).orderBy("w.start"))
     loss = nautical.fatigue(F.col("mean"), baseline)
     return means.select(*by, F.col("w.end").alias("time"), "mean", loss.alias("loss"), classify.above(loss, [(25, "exhausted"), (15, "tired"), (5, "easing")], "fresh").alias("grade"))
+
+
+def short_rests(changes: DataFrame, by: list[str], least: float = 7200.0, order: tuple[str, ...] = ()) -> DataFrame:
+    """Turns at the helm that begin less than ``least`` seconds after the same person's last one ended.
+
+    ``changes`` are (time, helmsman) with ``by`` for each boat; a turn lasts until another person takes over, and
+    naming the same person again begins none. Rows without a time or a person say nothing.
+    """
+    boat = Window.partitionBy(*(by or [F.lit(0)])).orderBy("time", *order)
+    was = F.lag("helmsman").over(boat)
+    known = changes.dropna(subset=["time", "helmsman"]).withColumn("__was", was)
+    turns = known.filter("__was is null or __was <> helmsman").withColumn("__until", F.lead("time").over(boat))
+    rested = F.unix_micros("time") - F.unix_micros(F.lag("__until").over(Window.partitionBy(*by, "helmsman").orderBy("time", *order)))
+    return turns.withColumn("rest_seconds", rested / 1_000_000).filter(F.col("rest_seconds") < least).select(*by, "time", "helmsman", "rest_seconds")
+
+
+def speed_drops(speeds: DataFrame, by: list[str], every: str = "1 hour", loss: float = 15.0) -> DataFrame:
+    """Windows whose mean speed is more than ``loss`` per cent below that of the window just before.
+
+    A window without rows ends the comparison: what lies before a gap is no measure. A mean of 0 or less before
+    gives no figure.
+    """
+    means = speeds.groupBy(*by, F.window("time", every)["start"].alias("since")).agg(F.avg("value").alias("mean"))
+    w = Window.partitionBy(*(by or [F.lit(0)])).orderBy("since")
+    before = F.when(F.lag("since").over(w) + F.expr(f"interval {every}") == F.col("since"), F.lag("mean").over(w))
+    out = means.withColumn("before", before).filter("before > 0").withColumn("loss_pct", (F.col("before") - F.col("mean")) / F.col("before") * 100)
+    return out.filter(F.col("loss_pct") > loss).select(*by, "since", "before", "mean", "loss_pct")

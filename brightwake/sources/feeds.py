@@ -131,22 +131,27 @@ def heading(rows: DataFrame, line: str = "line") -> DataFrame:
 
 # ---- points in text forms
 
+#: A line: measurement and tags, fields, nanoseconds; a backslash keeps the next character from parting anything.
+_LINE = r'^((?:[^ \\]++|\\.)+) ((?:[^ "\\]++|\\.|"[^"\\]*+(?:\\.[^"\\]*+)*+")+)(?: (-?\d+))?$'
+_NAME = r"^((?:[^=\\]++|\\.)+)="
+
+
 def line_protocol(rows: DataFrame, line: str = "line") -> DataFrame:
-    """measurement,tag=v field=v,... ns — a row for each field; escaped blanks in names and tags are undone.
+    """measurement,tag=v field=v,... ns — a row for each field; escapes in names, tags and quoted texts are undone.
 
     Lines of another shape give no row. Nanoseconds become microseconds.
     """
-    parts = F.regexp_extract_all(line, F.lit(r"^((?:[^ \\]|\\.)+) ((?:[^ \"]|\"[^\"]*\")+)(?: (-?\d+))?$"), 0)
-    pick = lambda k: F.regexp_extract(line, r"^((?:[^ \\]|\\.)+) ((?:[^ \"]|\"[^\"]*\")+)(?: (-?\d+))?$", k)
+    pick = lambda k: F.regexp_extract(line, _LINE, k)
     plain = lambda c: F.regexp_replace(c, r"\\(.)", "$1")
-    keys = F.regexp_extract_all(pick(1), F.lit(r"(?:[^,\\]|\\.)+"), 0)
-    tags = F.map_from_entries(F.transform(F.filter(F.slice(keys, 2, 100), lambda t: t.contains("=")), lambda t: F.struct(plain(F.substring_index(t, "=", 1)), plain(F.regexp_replace(t, "^[^=]*=", "")))))
-    fields = F.regexp_extract_all(pick(2), F.lit(r"[^,=]+=(?:\"[^\"]*\"|[^,]*)"), 0)
-    kept = rows.filter(F.size(parts) > 0).select(F.when(pick(3) != "", F.timestamp_micros(F.floor(pick(3).cast("decimal(20,0)") / 1000).cast("long"))).alias("time"), plain(F.get(keys, F.lit(0))).alias("measurement"), tags.alias("tags"), F.explode(fields).alias("f"))
-    raw = F.regexp_replace("f", "^[^=]*=", "")
+    name = lambda c: plain(F.regexp_extract(c, _NAME, 1))
+    keys = F.regexp_extract_all(pick(1), F.lit(r"(?:[^,\\]++|\\.)+"), 0)
+    tags = F.map_from_entries(F.transform(F.filter(F.slice(keys, 2, 1 << 30), lambda t: t.rlike(_NAME)), lambda t: F.struct(name(t), plain(F.regexp_replace(t, _NAME, "")))))
+    fields = F.regexp_extract_all(pick(2), F.lit(r'(?:[^,=\\]++|\\.)+=(?:"[^"\\]*+(?:\\.[^"\\]*+)*+"|[^,]*)'), 0)
+    kept = rows.filter(F.col(line).rlike(_LINE)).select(F.when(pick(3) != "", F.timestamp_micros(F.floor(pick(3).cast("decimal(20,0)") / 1000).cast("long"))).alias("time"), plain(F.get(keys, F.lit(0))).alias("measurement"), tags.alias("tags"), F.explode(fields).alias("f"))
+    raw = F.regexp_replace("f", _NAME, "")
     quoted = raw.startswith('"')
     return kept.select(
-        "time", "measurement", plain(F.substring_index("f", "=", 1)).alias("field"), F.when(~quoted, F.regexp_replace(raw, "i$", "").try_cast("double")).alias("value_double"), F.when(quoted, F.regexp_replace(raw, '^"|"$', "")).alias("value_string"),
+        "time", "measurement", name("f").alias("field"), F.when(~quoted, F.regexp_replace(raw, "i$", "").try_cast("double")).alias("value_double"), F.when(quoted, plain(F.regexp_replace(raw, '^"|"$', ""))).alias("value_string"),
         F.when(~quoted & F.lower(raw).isin("t", "true", "f", "false"), F.lower(raw).startswith("t")).alias("value_boolean"), F.try_element_at("tags", F.lit("source")).alias("source"), "tags",
     )
 
