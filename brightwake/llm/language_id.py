@@ -9,7 +9,7 @@ The language with the shortest code wins; the score is its posterior among all,
 The trees hold bytes in tables that are looked up for all positions of a batch at once. Learning reads about
 ``docs_per_lang`` whole documents of each language, chosen by a hash of their ids; all that these hold is counted and
 kept, each language for itself. The number of languages has a bound, beyond which learning refuses (``MOST_LANGS``), so
-what reaches the driver and the tasks is bounded too.
+what reaches the driver and the tasks is bounded too: the sum of the languages' trees, and in a task ``TABLE_BYTES`` of tables.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; so is every text when
 nothing could be learned, as from an empty table. Equal code lengths go to the first name in order. Texts are read whole,
@@ -18,6 +18,7 @@ however long; equal texts get equal results, so rows that repeat do.
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +30,8 @@ from .common import byte_slices, shared
 
 ORDER = 3
 MOST_LANGS = 500
+#: Laid-out code lengths that a task keeps at a time, those of one language at least. Their number changes no result.
+TABLE_BYTES = 1 << 28
 #: Largest table of steps that is laid out in full; a larger one is searched.
 FULL_TABLE = 1 << 25
 #: Code lengths are kept in whole units of 1/1024 bit, so that their sums don't depend on how texts are batched.
@@ -82,7 +85,11 @@ class Steps:
 
 
 class Trees:
-    """The frozen context trees of all languages, as tables."""
+    """The frozen context trees of all languages: each language's own counts, and the runs of bytes of all of them.
+
+    What is sent to the tasks grows with the sum of the languages' trees. Code lengths by run are laid out for one
+    language at a time (:meth:`tables`).
+    """
 
     def __init__(self, lang: np.ndarray, k: np.ndarray, gram: np.ndarray, n: np.ndarray):
         self.langs = sorted(set(lang.tolist()))
@@ -98,35 +105,50 @@ class Trees:
         self.symbol[grams[1]] = np.arange(1, len(grams[1]) + 1)
         self.width = len(grams[1]) + 1
         self.step: dict[int, Steps] = {}
-        self.cost: dict[int, np.ndarray] = {}
-        self.escape: dict[int, np.ndarray] = {}
-        many = len(self.langs)
+        self.context: dict[int, np.ndarray] = {}
+        self.rest: dict[int, np.ndarray] = {}
+        self.own: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         for o in range(1, ORDER + 2):
             g = grams[o]
-            count = np.zeros((many, len(g) + 1))
-            np.add.at(count, (own[o][1], np.searchsorted(g, own[o][0]) + 1), own[o][2])
-            context = np.searchsorted(grams[o - 1], g >> 8) + 1 if o > 1 else np.zeros(len(g), np.int64)
-            contexts = len(grams[o - 1]) + 1 if o > 1 else 1
-            total, distinct = np.zeros((many, contexts)), np.zeros((many, contexts))
-            for m in range(many):
-                np.add.at(total[m], context, count[m, 1:])
-                np.add.at(distinct[m], context, count[m, 1:] > 0)
+            self.context[o] = (np.searchsorted(grams[o - 1], g >> 8) + 1 if o > 1 else np.zeros(len(g))).astype(np.int32)
+            self.rest[o] = (np.searchsorted(grams[o - 1], g & ((1 << 8 * (o - 1)) - 1)) + 1 if o > 1 else np.zeros(len(g))).astype(np.int32)
+            found, whose, count = own[o]
+            order = np.argsort(whose, kind="stable")
+            ends = np.searchsorted(whose[order], np.arange(1, len(self.langs)))
+            self.own[o] = list(zip(np.split((np.searchsorted(g, found) + 1).astype(np.int32)[order], ends), np.split(count[order], ends), strict=True))
+            if o > 1:
+                self.step[o] = Steps(self.context[o].astype(np.int64) * self.width + self.symbol[g & 255], (len(grams[o - 1]) + 1) * self.width)
+        self.made: OrderedDict[int, tuple[dict[int, np.ndarray], dict[int, np.ndarray]]] = OrderedDict()
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"made": OrderedDict()}
+
+    def tables(self, m: int) -> tuple[dict[int, np.ndarray], dict[int, np.ndarray]]:
+        """(cost, escape) by order and run in one language; the latest that fit ``TABLE_BYTES`` are kept, the others made again."""
+        if m in self.made:
+            self.made.move_to_end(m)
+            return self.made[m]
+        cost: dict[int, np.ndarray] = {}
+        escapes: dict[int, np.ndarray] = {}
+        for o in range(1, ORDER + 2):
+            context, (ids, n) = self.context[o], self.own[o][m]
+            contexts = len(self.context[o - 1]) + 1 if o > 1 else 1
+            count = np.zeros(len(context))
+            count[ids - 1] = n
+            total, distinct = np.bincount(context, count, contexts), np.bincount(context, count > 0, contexts)
             with np.errstate(divide="ignore", invalid="ignore"):
                 escape = np.where(total > 0, -np.log2(distinct / (total + distinct)), 0.0)
-                direct = -np.log2(count[:, 1:] / (total + distinct)[:, context])
-            if o > 1:
-                rest = np.searchsorted(grams[o - 1], g & ((1 << 8 * (o - 1)) - 1)) + 1
-                shorter = self.cost[o - 1][:, rest] / UNITS
-            else:
-                shorter = np.full((many, len(g)), 8.0)
-            cost = np.zeros((many, len(g) + 1))
-            cost[:, 1:] = np.where(count[:, 1:] > 0, direct, escape[:, context] + shorter)
-            if o == 1:  # a byte that no language has
-                cost[:, 0] = escape[:, 0] + 8.0
-            self.cost[o] = np.rint(cost * UNITS).astype(np.int32)
-            self.escape[o - 1] = np.rint(escape * UNITS).astype(np.int32)
-            if o > 1:
-                self.step[o] = Steps(context * self.width + self.symbol[g & 255], contexts * self.width)
+                direct = -np.log2(count / (total + distinct)[context])
+            shorter = cost[o - 1][self.rest[o]] / UNITS if o > 1 else 8.0
+            # A byte that no language has costs the escape and the uniform code.
+            first = escape[0] + 8.0 if o == 1 else 0.0
+            cost[o] = np.rint(np.concatenate([[first], np.where(count > 0, direct, escape[context] + shorter)]) * UNITS).astype(np.int32)
+            escapes[o - 1] = np.rint(escape * UNITS).astype(np.int32)
+        self.made[m] = cost, escapes
+        each = sum(x.nbytes for t in self.made[m] for x in t.values())
+        while len(self.made) > max(1, TABLE_BYTES // each):
+            self.made.popitem(last=False)
+        return cost, escapes
 
     def lengths(self, data: np.ndarray, offsets: np.ndarray, window: int = 1 << 19) -> np.ndarray:
         """Code length of each padded text in each language."""
@@ -149,21 +171,22 @@ class Trees:
             missing = np.flatnonzero(coded & (ids[ORDER + 1] == 0))
             owner = np.searchsorted(starts, missing, side="right") - 1
             for m in range(len(self.langs)):
-                part = np.add.reduceat(self.cost[ORDER + 1][m][ids[ORDER + 1]], starts, dtype=np.int64)
+                cost, escape = self.tables(m)
+                part = np.add.reduceat(cost[ORDER + 1][ids[ORDER + 1]], starts, dtype=np.int64)
                 if len(missing):
-                    part += np.bincount(owner, self._shorter(m, ids, missing, ORDER), len(starts)).astype(np.int64)
+                    part += np.bincount(owner, self._shorter(cost, escape, ids, missing, ORDER), len(starts)).astype(np.int64)
                 sums[m, first : last + 1] += part
         return sums
 
-    def _shorter(self, m: int, ids: dict[int, np.ndarray], at: np.ndarray, order: int) -> np.ndarray:
+    def _shorter(self, cost: dict[int, np.ndarray], escape: dict[int, np.ndarray], ids: dict[int, np.ndarray], at: np.ndarray, order: int) -> np.ndarray:
         """Cost of bytes whose context of ``order`` bytes doesn't have them: its escape, then the shorter context."""
-        cost = self.escape[order][m][ids[order][at - 1]].astype(np.int64)
+        found = escape[order][ids[order][at - 1]].astype(np.int64)
         here = ids[order][at]
-        cost += self.cost[order][m][here]
+        found += cost[order][here]
         if order > 1:
             out = np.flatnonzero(here == 0)
-            cost[out] += self._shorter(m, ids, at[out], order - 1)
-        return cost
+            found[out] += self._shorter(cost, escape, ids, at[out], order - 1)
+        return found
 
 
 def learn(df: DataFrame, id_col: str, lang_col: str, text: Column, docs_per_lang: int = 1000) -> Trees | None:

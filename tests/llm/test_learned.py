@@ -347,3 +347,26 @@ def test_wide_urls_are_counted_exactly(spark, monkeypatch):
     for (p, label), (confidence, support) in found.items():
         assert abs(confidence - have(p).count(label) / len(have(p))) < 1e-8 and abs(support - have(p).count(label) / 120) < 1e-8
     assert found and {k for k in every if len(k[0]) == 1} <= set(found)
+
+
+def test_many_languages_keep_few_tables(monkeypatch):
+    """Two hundred languages of words of their own: sums don't depend on how many tables are kept, and what is sent grows with the trees."""
+    import pickle
+
+    dice = np.random.default_rng(4)
+    rows, texts = [], []
+    for i in range(200):
+        text = language_id.PAD.encode() + bytes(dice.integers(97 + i % 20, 103 + i % 20, 400).astype(np.uint8))
+        texts.append(text)
+        for k in range(1, language_id.ORDER + 2):
+            grams, n = np.unique([int.from_bytes(text[p - k + 1 : p + 1], "big") for p in range(language_id.ORDER, len(text))], return_counts=True)
+            rows += [(f"l{i:03}", k, int(g), int(c)) for g, c in zip(grams, n, strict=True)]
+    trees = language_id.Trees(*(np.array(c, dtype=object if i == 0 else np.int64) for i, c in enumerate(zip(*rows, strict=True))))
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    whole = trees.lengths(data, offsets)
+    assert len(trees.made) == 200 and (whole.argmin(axis=0) == np.arange(200)).mean() == 1
+    sent = pickle.dumps(trees)
+    assert len(sent) < 60 * len(rows) + 4 * language_id.FULL_TABLE
+    monkeypatch.setattr(language_id, "TABLE_BYTES", 1)
+    again = pickle.loads(sent)
+    assert not again.made and (again.lengths(data, offsets, window=5000) == whole).all() and len(again.made) == 1
