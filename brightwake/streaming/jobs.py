@@ -38,16 +38,17 @@ def latest_values(points: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def smoothed_stream(points: DataFrame, key: str, alpha: float = 0.05) -> DataFrame:
-    """Exponential smoothing by arrival; the state of a series is its last smoothed value."""
+    """Exponential smoothing by arrival; the state of a series is its last smoothed value. Rows without a number give none and leave it as it is."""
 
     def step(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(batches)).sort_values("time")
+        pdf = pd.concat(list(batches)).dropna(subset=["time", "value"]).sort_values("time")
         value = state.get[0] if state.exists else None
         out = []
         for x in pdf["value"]:
             value = x if value is None else value * (1 - alpha) + x * alpha
             out.append(value)
-        state.update((value,))
+        if value is not None:
+            state.update((value,))
         yield pd.DataFrame({key: [group[0]] * len(out), "time": pdf["time"].to_numpy(), "value": out})
 
     kind = points.schema[key].dataType.simpleString()
