@@ -366,7 +366,7 @@ def test_many_languages_keep_few_tables(monkeypatch):
     whole = trees.lengths(data, offsets)
     assert len(trees.made) == 200 and (whole.argmin(axis=0) == np.arange(200)).mean() == 1
     sent = pickle.dumps(trees)
-    assert len(sent) < 60 * len(rows) + 4 * language_id.FULL_TABLE
+    assert len(pickle.dumps(trees.own)) < 24 * len(rows)
     monkeypatch.setattr(language_id, "TABLE_BYTES", 1)
     again = pickle.loads(sent)
     assert not again.made and (again.lengths(data, offsets, window=5000) == whole).all() and len(again.made) == 1
