@@ -17,6 +17,11 @@ def pmod(a: Column, n: float) -> Column:
     return F.pmod(a, F.lit(n))
 
 
+def atan2(y: Column, x: Column) -> Column:
+    """The angle of (x, y), with pi where y is 0 and x is -0.0, which Spark's own takes for 0.0; y's own sign is not told apart there."""
+    return F.when((y == 0) & (x == 0) & x.cast("string").startswith("-"), F.lit(math.pi)).otherwise(F.atan2(y, x))
+
+
 def degrees_signed(rad: Column) -> Column:
     """Degrees with the sign of the angle kept."""
     return (rad * 180 / math.pi) % 360

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .angles import difference, fold_180, pmod
+from .angles import atan2, difference, fold_180, pmod
 
 
 def current_east(sog: Column, cog: Column, stw: Column, hdg: Column) -> Column:
@@ -25,8 +25,8 @@ def current_drift(sog: Column, cog: Column, stw: Column, hdg: Column) -> Column:
 
 
 def current_set(sog: Column, cog: Column, stw: Column, hdg: Column) -> Column:
-    """Where the water goes, 0 up to two pi."""
-    return pmod(F.atan2(current_east(sog, cog, stw, hdg), current_north(sog, cog, stw, hdg)), 2 * math.pi)
+    """Where the water goes, 0 up to two pi; as ever with atan2, what is 0 keeps the direction that its sign tells."""
+    return pmod(atan2(current_east(sog, cog, stw, hdg), current_north(sog, cog, stw, hdg)), 2 * math.pi)
 
 
 def leeway(cog_deg: Column, heading_deg: Column) -> Column:

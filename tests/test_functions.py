@@ -99,3 +99,12 @@ def test_timer(one):
     assert [one(nautical.synced_timer(F.lit(s))) for s in (90, 91, 30, 29, -10)] == [60, 120, 0, 0, 0]
     assert one(nautical.clock(F.lit(3725))) == "1:02:05"
     assert one(nautical.clock(F.lit(65))) == "1:05"
+
+
+def test_no_current_keeps_the_direction_of_its_sign(spark):
+    from brightwake.functions import nautical
+
+    df = spark.createDataFrame([(0.0, 180.0, 0.0, 0.0), (0.0, 0.0, 0.0, 0.0), (1.0, 90.0, 0.0, 0.0)], "sog double, cog double, stw double, hdg double")
+    got = [r[0] for r in df.select(F.degrees(nautical.current_set(F.col("sog"), F.radians("cog"), F.col("stw"), F.radians("hdg")))).collect()]
+    want = [math.degrees(math.atan2(s * math.sin(math.radians(c)) - w * math.sin(math.radians(h)), s * math.cos(math.radians(c)) - w * math.cos(math.radians(h)))) % 360 for s, c, w, h in df.collect()]
+    assert got == pytest.approx(want) and want[0] == 180.0
