@@ -128,10 +128,10 @@ def feed_heading(spark, sf_dir):
 def feed_buoy_text(spark, sf_dir):
     """A file for each station and day, newest first, with its header, the codes for missing values, and columns in another order than usual."""
     rows = events(spark, sf_dir)
-    wdir, wspd, pres = F.when(eid() % 4 == 0, "MM").otherwise((eid() % 361).cast("string")), F.when(eid() % 10 == 3, "99.0").otherwise(F.col("value").cast("string")), F.when(eid() % 6 == 0, "MM").otherwise((990 + eid() % 50).cast("string"))
+    wdir, wspd, pres = F.when(eid() % 4 == 0, "MM").otherwise((eid() % 361).cast("string")), F.when(eid() % 10 == 3, "99.0").otherwise(feeds.measured(F.col("value"))), F.when(eid() % 6 == 0, "MM").otherwise((990 + eid() % 50).cast("string"))
     line = F.concat_ws("  ", F.date_format("time", "yyyy MM dd HH mm"), pres, wdir, wspd, (eid() % 30).cast("string"))
     files = by_day(rows, line).select(F.col("user").alias("station"), F.concat(F.lit("#YY  MM DD hh mm PRES WDIR WSPD WTMP\n#yr  mo dy hr mn hPa degT m/s degC\n"), F.array_join(F.reverse("items"), "\n"), F.lit("\n")).alias("text"))
-    # No wind of exactly 99 metres a second is lost: that is the code of the column itself.
+    # A wind of exactly 99 metres a second is written with a plus, so that it is not taken for the code.
     found = feeds.buoy_rows(files, rows=6)
     return found.select("station", F.col("order").cast("long").alias("order"), stamp("time").alias("minute"), r8("wind_direction").alias("wind_direction"), "wind_speed", "pressure", r8("water_temperature").alias("water_temperature"))
 
