@@ -207,11 +207,17 @@ def feed_host_metrics(spark, sf_dir):
 
 @query("SELECT event_id, round(CAST(floor(value * 100) AS BIGINT) / 100.0, 6) AS wind_speed, CASE WHEN event_id % 12 = 0 THEN NULL ELSE round(radians(event_id % 360), 8) END AS wind_direction FROM events")
 def feed_masthead_wind(spark, sf_dir):
-    """Frames of speed and direction; every twelfth is cut short and has no direction."""
+    """Frames of speed and direction; every twelfth is cut short and has no direction.
+
+    Two bytes hold speeds up to 655.35; what is beyond goes into a second frame, of how often the first one's count has run over.
+    """
     le = lambda v: F.concat(F.lpad(F.hex(v % 256), 2, "0"), F.lpad(F.hex(F.floor(v / 256)), 2, "0"))
-    frame = F.unhex(F.concat(le(F.floor(F.col("value") * 100)), F.when(eid() % 12 == 0, "05").otherwise(le(eid() % 360))))
-    found = feeds.masthead_wind(events(spark, sf_dir).select("event_id", frame.alias("frame")))
-    return found.select("event_id", F.round("wind_speed", 6).alias("wind_speed"), r8("wind_direction").alias("wind_direction"))
+    count = F.floor(F.col("value") * 100)
+    tail = F.when(eid() % 12 == 0, "05").otherwise(le(eid() % 360))
+    low, high = (F.unhex(F.concat(le(n), tail)) for n in (count % 65536, F.floor(count / 65536)))
+    found = feeds.masthead_wind(events(spark, sf_dir).select("event_id", low.alias("frame"), high.alias("over")))
+    found = feeds.masthead_wind(found.select("event_id", "over", F.col("wind_speed").alias("rest"), "wind_direction").withColumnRenamed("wind_direction", "direction"), "over")
+    return found.select("event_id", F.round(F.col("rest") + F.col("wind_speed") * 65536, 6).alias("wind_speed"), r8("direction").alias("wind_direction"))
 
 
 @query("SELECT event_id, round((4 * 3200 + 6 * (event_id % 50)) / 1000.0, 6) AS pack_volts, CAST(3 * (event_id % 50) AS INTEGER) AS imbalance_mv FROM events")
