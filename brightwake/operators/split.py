@@ -37,12 +37,20 @@ def _bucket(time: str, length: int) -> Column:
     return _floor(F.unix_micros(time), length)
 
 
-def moving(df: DataFrame, by: list[str], values: dict[str, Column], interval: str, strict: bool = True, time: str = "time", bucket: str | None = None) -> DataFrame:
+def moving(df: DataFrame, by: list[str], values: dict[str, Column | tuple[str, Column | str]], interval: str, strict: bool = True, time: str = "time", bucket: str | None = None) -> DataFrame:
     """``values``: aggregates over the rows of the interval that ends with each row, its own time included.
 
-    ``strict`` leaves out what lies exactly the interval back. Without ``bucket`` a bucket has four times the interval, so that
-    a row is copied into one further bucket at most, and a quarter of the rows are.
+    Those given as (mean, sum, count, min or max; column) are worked out in time that grows with the rows, however many an
+    interval has. Any other aggregate is taken afresh over each row's interval, so its time grows with rows times rows in an
+    interval. ``strict`` leaves out what lies exactly the interval back. ``bucket`` counts for the latter only; without it
+    a bucket has four times the interval, so that a row is copied into one further bucket at most, and a quarter of the rows are.
     """
+    known = {name: v for name, v in values.items() if isinstance(v, tuple)}
+    if known:
+        df = _moving_in_parts(df, by, known, interval, strict, time)
+        values = {name: c for name, c in values.items() if name not in known}
+        if not values:
+            return df
     width = _us(interval)
     length = _us(bucket) if bucket else 4 * width
     reach = width - 1 if strict else width
@@ -52,6 +60,38 @@ def moving(df: DataFrame, by: list[str], values: dict[str, Column], interval: st
     return spread.withColumns({name: c.over(w) for name, c in values.items()}).filter(F.col(_B) == F.col("__own")).drop("__us", "__own", _B)
 
 
+def _moving_in_parts(df: DataFrame, by: list[str], values: dict[str, tuple[str, Column | str]], interval: str, strict: bool, time: str) -> DataFrame:
+    """Buckets have the interval's length, so an interval is the end of one bucket and the beginning of the next: each is a running figure.
+
+    Rows are copied into the bucket after theirs under the last time whose interval has them, with nothing but what is counted. From the
+    latest time back they add up to the ends, and the bucket's own rows from its first time on to the beginnings. Nothing is
+    subtracted, so no figure loses precision, and a value that is not a number spoils only its own intervals.
+    """
+    length = _us(interval)
+    reach = length - 1 if strict else length
+    args = {f"__v{i}": (F.col(c) if isinstance(c, str) else c) for i, (_, c) in enumerate(values.values())}
+    rows = df.filter(F.col(time).isNotNull()).withColumns({n: c.cast("double") if how == "mean" else c for (n, c), (how, _) in zip(args.items(), values.values(), strict=True)})
+    rows = rows.withColumns({"__key": F.unix_micros(time), _B: _bucket(time, length), _FLAG: F.lit(1)})
+    halo = rows.select(*by, *args, (F.col("__key") + reach).alias("__key"), (F.col(_B) + 1).alias(_B), F.lit(0).alias(_FLAG)).filter(F.col("__key") >= F.col(_B) * length)
+    both = rows.unionByName(halo, allowMissingColumns=True)
+    w = Window.partitionBy(*by, _B)
+    ends = {1: w.orderBy("__key").rangeBetween(Window.unboundedPreceding, Window.currentRow), 0: w.orderBy(F.desc("__key")).rangeBetween(Window.unboundedPreceding, Window.currentRow)}
+    parts, out = {}, {}
+    for (name, (how, _)), v in zip(values.items(), args, strict=True):
+        for fn in {"mean": ("sum", "count")}.get(how, (how,)):
+            for flag, over in ends.items():
+                parts[f"{v}_{fn}{flag}"] = getattr(F, fn)(F.when(F.col(_FLAG) == flag, F.col(v))).over(over)
+        two = lambda fn, v=v: [F.col(f"{v}_{fn}{flag}") for flag in ends]
+        total = lambda a, b: F.when(a.isNull(), b).when(b.isNull(), a).otherwise(a + b)
+        if how == "mean":
+            n = two("count")[0] + two("count")[1]
+            out[name] = F.when(n > 0, total(*two("sum")) / n)
+        else:
+            out[name] = {"sum": total, "count": lambda a, b: a + b, "min": F.least, "max": F.greatest}[how](*two(how))
+    done = both.withColumns(parts).filter(F.col(_FLAG) == 1)
+    return done.withColumns(out).select(*(c for c in df.columns if c not in out), *out)
+
+
 def _cut(df: DataFrame, time: str, bucket: str) -> DataFrame:
     return df.filter(F.col(time).isNotNull()).withColumn(_B, _bucket(time, _us(bucket)))
 

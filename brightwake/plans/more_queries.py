@@ -36,7 +36,7 @@ def one_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_id, round(avg(value) OVER w, 8) AS mean, count(*) OVER w AS n FROM events WINDOW w AS (ORDER BY ts RANGE BETWEEN INTERVAL '29 minutes 59.999999 seconds' PRECEDING AND CURRENT ROW)")
 def moving_mean_strict(spark, sf_dir):
     """One series over all events: half an hour, without what lies exactly half an hour back."""
-    found = split.moving(one_series(spark, sf_dir), [], {"mean": F.avg("value"), "n": F.count(F.lit(1))}, "30 minutes")
+    found = split.moving(one_series(spark, sf_dir), [], {"mean": ("mean", "value"), "n": ("count", F.lit(1))}, "30 minutes")
     return found.select("event_id", r8("mean").alias("mean"), "n")
 
 

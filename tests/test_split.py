@@ -112,3 +112,16 @@ def test_stretches_and_their_intersection(series, bucket):
     found = rows_of(split.together(parts, ["k"], F.lit(asof)), "k", "since", "ended")
     want = sorted(((k, s, e or asof) for k, rows in by.items() for s, e in spans(rows, lambda v: all(t(v) for t in tests))), key=repr)
     assert found == want
+
+
+@pytest.mark.parametrize("strict", [True, False])
+def test_moving_in_parts(spark, series, strict):
+    """Named figures are those of the aggregates taken afresh, with nulls, rows of one time, and a value that is not a number."""
+    value = F.when(F.col("i") % 7 == 0, F.lit(None)).when(F.col("i") == 40, F.lit(float("nan"))).otherwise(F.col("value"))
+    df = series.withColumn("value", value)
+    df = df.unionByName(df.filter("i % 5 = 0").withColumn("i", F.col("i") + 100_000))
+    named = {"m": ("mean", "value"), "n": ("count", F.lit(1)), "some": ("count", "value"), "total": ("sum", "value"), "low": ("min", "value"), "high": ("max", "value")}
+    fresh = {"m": F.avg("value"), "n": F.count(F.lit(1)), "some": F.count("value"), "total": F.sum("value"), "low": F.min("value"), "high": F.max("value")}
+    plain = lambda found: sorted((r["i"], *(None if r[k] is None else round(r[k], 8) for k in named)) for r in found.collect())
+    got, want = (split.moving(df, ["k"], v, "5 minutes", strict) for v in (named, fresh))
+    assert got.columns == want.columns and repr(plain(got)) == repr(plain(want))
