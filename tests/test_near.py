@@ -105,3 +105,14 @@ def test_speed_drops(spark):
     rows = [at(0, 10.0), at(0.5, 10.0), at(1, 8.4), at(2, 8.3), at(4, 1.0), at(5, 0.0), at(6, 5.0), at(7, None)]
     found = fleet.speed_drops(spark.createDataFrame(rows, "boat int, time timestamp, value double"), ["boat"])
     assert [(r.since, round(r.loss_pct, 6)) for r in found.orderBy("since").collect()] == [(T0 + dt.timedelta(hours=1), 16.0), (T0 + dt.timedelta(hours=5), 100.0)]
+
+
+def test_overtaken_is_what_passings_finds(spark):
+    rng = random.Random(5)
+    rows = [(at, f"v{k}", 40 + rng.random() / 40, -73 + rng.random() / 40, rng.random() * 12, rng.random() * 360) for k in range(60) for at in (dt.datetime(2024, 1, 1) + dt.timedelta(hours=h) for h in range(6)) if rng.random() < 0.8]
+    places = spark.createDataFrame(rows, "step timestamp, vessel string, latitude double, longitude double, sog_kts double, cog_deg double")
+    plain = lambda found: sorted((r.step, r.vessel, r.other, round(r.astern_nm, 9), round(r.along_nm, 9), round(r.closing_kts, 9)) for r in found.collect())
+    got = plain(near.overtaken(places, 0.5, "1 hour"))
+    assert got and got == plain(near.passings(near.encounters(places, 0.5, ["step"]), "1 hour"))
+    ahead, here = near.sent_ahead(places, 0.5, ["step"])
+    assert ahead.count() < 10 * here.count()  # of 14 cells ahead
