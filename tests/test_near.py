@@ -84,6 +84,16 @@ def test_passing_needs_closing_and_the_next_step(spark):
     assert ("a", "late") not in got and ("a", "drift") not in got and ("fast", "a") not in got
 
 
+def test_encounters_shuffle_few_copies_and_broadcast_none(spark):
+    places = spark.createDataFrame(scattered((41.0, -73.0), 0.1, 400, 4), PLACE)
+    found = near.encounters(places, 0.5, ["step"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+    moved = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "__gap" in moved and "miles" in moved  # only cells that a place can reach get a copy of it
+    assert found.count() == 2 * near.pairs(places, 0.5, ["step"]).count() > 0
+
+
 def test_components_of_a_long_path_a_hub_and_repeats(spark):
     path = [(i, i + 1) for i in range(700)]
     random.Random(3).shuffle(path)
