@@ -30,9 +30,8 @@ def crc_table(polynomial: int = POLYNOMIAL) -> list[int]:
 
 def octets(frame: Column) -> Column:
     """A binary's bytes as numbers."""
-    digits = F.hex(frame)
-    places = F.when(F.length(frame) > 0, F.sequence(F.lit(1), 2 * F.length(frame) - 1, F.lit(2))).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda i: F.conv(F.substring(digits, i, F.lit(2)), 16, 10).cast("int"))
+    pairs = F.regexp_extract_all(F.hex(frame), F.lit("(..)"), 1)
+    return F.transform(pairs, lambda x: F.conv(x, 16, 10).cast("int"))
 
 
 def crc8(values: Column) -> Column:
@@ -56,13 +55,14 @@ def frames(chunks: DataFrame, device: str = "device", time: str = "time", seq: s
     rows = rows.withColumn("breaks", F.when((F.col("begins") == 1) | late, 1).otherwise(0))
     rows = split.running(rows, ["device"], "breaks", "sum", "run", True, "time", ("seq",), bucket)
     whole = rows.groupBy("device", "run").agg(F.min("time").alias("time"), F.array_sort(F.collect_list(F.struct("time", "seq", "data", "begins"))).alias("parts"))
-    joined = F.unhex(F.array_join(F.transform("parts", lambda p: F.hex(p["data"])), ""))
-    read = whole.filter(F.get("parts", F.lit(0))["begins"] == 1).withColumn("frame", joined).withColumn("all", octets(F.col("frame")))
-    kinds = F.create_map(*(F.lit(x) for k, (name, n) in KINDS.items() for x in (k, f"{n} {name}")))
-    known = F.split(F.element_at(kinds, F.lower(F.hex(F.substring("frame", 1, 2)))), " ")
-    read = read.withColumns({"least": known[0].cast("int"), "kind": known[1], "bytes": F.slice("all", F.lit(1), F.greatest(F.size("all") - 1, F.lit(0)))})
-    good = (F.size("bytes") >= F.col("least")) & (crc8(F.col("bytes")) == F.element_at("all", -1))
-    return read.filter(good).select("device", "time", "kind", "frame", "bytes")
+    # Each frame is read once: what is found passes through an array of one, into which no filter is pushed and from which none is worked out again.
+    digits = F.array_join(F.transform("parts", lambda p: F.hex(p["data"])), "")
+    once = whole.filter(F.get("parts", F.lit(0))["begins"] == 1).select("device", "time", F.explode(F.array(F.unhex(digits))).alias("frame"))
+    read = once.select("device", "time", F.explode(F.array(F.struct("frame", octets(F.col("frame")).alias("all"), F.lower(F.hex(F.substring("frame", 1, 2))).alias("head")))).alias("f")).select("device", "time", "f.*")
+    kinds, least = (F.create_map(*(F.lit(x) for k, kind in KINDS.items() for x in (k, kind[i]))) for i in (0, 1))
+    size = F.size("all") - 1
+    good = (size >= F.element_at(least, F.col("head"))) & (crc8(F.slice("all", F.lit(1), F.greatest(size, F.lit(0)))) == F.element_at("all", -1))
+    return read.filter(good).select("device", "time", F.element_at(kinds, F.col("head")).alias("kind"), "frame", F.slice("all", F.lit(1), size).alias("bytes"))
 
 
 def readings(found: DataFrame) -> DataFrame:
