@@ -3,8 +3,8 @@
 Fixed patterns find assignments, access keys and long hexadecimal runs. Beside them, first-order Markov models
 over characters judge every other long token by its log-likelihood ratio: one model of ordinary identifiers, and one of
 random strings for each alphabet that random strings are commonly written in. A token is held against the random model of
-the smallest of these alphabets that has all its characters. All are trained from labelled samples. Random: strings
-drawn for each alphabet, and the values that the fixed patterns found in a sample of documents. Ordinary: the sample's
+the smallest of these alphabets that has all its characters. All are trained from all documents. Random: strings
+drawn for each alphabet, and the values that the fixed patterns find in the documents. Ordinary: the documents'
 other tokens, those same words joined the way identifiers are, and decimal numbers. The threshold
 comes from ordinary tokens held out of the training, at a stated rate of false positives.
 
@@ -132,12 +132,26 @@ def random_strings(spark: SparkSession, n: int) -> DataFrame:
 
 
 def ordinary(words: DataFrame) -> DataFrame:
-    """Identifiers, from tokens of texts in the order they stand in (``tokens``, an array): the tokens, and each three of them in turn joined as names, paths and constants are."""
+    """(token, parts) of identifiers, from tokens of texts in the order they stand in (``tokens``, an array): the tokens, and each three of them in turn joined as names, paths and constants are.
+
+    ``parts`` have the same neighbouring characters as the token: joined words and what stands where they meet. Few parts differ, so they are counted, not the joined tokens.
+    """
     three = F.transform(F.sequence(F.lit(0), F.floor(F.size("tokens") / 3).cast("int")), lambda i: F.slice("tokens", 3 * i + 1, 3))
-    rows = words.select("tokens", F.explode(three).alias("three"))
+    rows = words.select(F.explode(three).alias("three"))
     rows = rows.filter((F.array_join("three", "").rlike("^[A-Za-z]+$")) & (F.size("three") == 3)).select("three", F.crc32(F.array_join("three", " ")).alias("turn"))
-    joined = [F.lower(F.array_join("three", "_")), F.upper(F.array_join("three", "_")), F.array_join(F.transform("three", F.initcap), ""), F.array_join("three", "-"), F.array_join("three", "/"), F.concat(F.array_join("three", "_"), F.col("turn") % 100)]
-    return words.select(F.explode("tokens").alias("token")).union(rows.select(F.get(F.array(*joined), (F.col("turn") % len(joined)).cast("int")).alias("token")))
+    cased = lambda f: F.transform("three", f)
+    none = F.lit("")
+    forms = [(cased(F.lower), "_", none), (cased(F.upper), "_", none), (cased(F.initcap), "", none), (F.col("three"), "-", none), (F.col("three"), "/", none), (F.col("three"), "_", F.concat(F.lit("_"), F.col("turn") % 100))]
+    which = (F.col("turn") % len(forms)).cast("int")
+    form = None
+    for k, (names, between, end) in enumerate(forms):
+        one = F.struct(names.alias("names"), F.lit(between).alias("between"), end.alias("end"))
+        form = F.when(which == k, one) if form is None else form.when(which == k, one)
+    rows = rows.select(F.explode(F.array(form)).alias("f")).select("f.*")
+    name, last, first = (lambda k: F.get("names", F.lit(k))), (lambda c: F.substring(c, -1, 1)), (lambda c: F.substring(c, 1, 1))
+    meet = [F.concat(last(name(k)), "between", first(name(k + 1))) for k in (0, 1)] + [F.concat(last(name(2)), "end")]
+    joined = rows.select(F.concat(name(0), "between", name(1), "between", name(2), "end").alias("token"), F.concat("names", F.array(*meet)).alias("parts"))
+    return words.select(F.explode("tokens").alias("token")).select("token", F.array("token").alias("parts")).union(joined)
 
 
 def numbers(spark: SparkSession, n: int) -> DataFrame:
@@ -148,33 +162,47 @@ def numbers(spark: SparkSession, n: int) -> DataFrame:
 
 
 def learn(df: DataFrame, id_col: str, text: Column, docs: int = 600, drawn: int = 2000, held_out: int = 4, false_positives: float = 0.0005, least_ratio: float = 24.0) -> Model:
-    """The models, from about ``docs`` whole documents, chosen by a hash of their ids, and ``drawn`` random strings for each alphabet.
+    """The models, from all documents, and ``drawn`` random strings for each alphabet.
 
-    One of ``held_out`` ordinary tokens trains nothing: of those that are long enough to be judged, at most ``false_positives`` have the
+    What is drawn weighs as it does beside ``docs`` documents: where there are more, what was counted in them is divided by how many times as many.
+    One of ``held_out`` ordinary tokens trains nothing: of those that are long enough to be judged, each counted once, at most ``false_positives`` have the
     ratio that counts as random. It is ``least_ratio`` at least, for where few tokens are held out.
     """
-    rows = df.select(F.col(id_col).alias("id"), text.alias("text")).filter("text is not null")
-    total = df.select(id_col).count()
-    place = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.filter(place < docs / max(1, total)).select(unmarked(F.col("text")).alias("text"))
-    sample = sample.select("text", base_spans(F.col("text")).alias("spans"))
-    secret = sample.select(F.explode(F.transform("spans", lambda s: F.when(s["kind"] == 0, F.regexp_extract(s["text"], ASSIGN, 2)).otherwise(s["text"]))).alias("token"))
+    rows = df.select(unmarked(text).alias("text")).filter(text.isNotNull())
+    share = max(1.0, rows.count() / docs)
+    found = rows.select("text", base_spans(F.col("text")).alias("spans")).filter(F.size("spans") > 0)
+    secret = found.select(F.explode(F.transform("spans", lambda s: F.when(s["kind"] == 0, F.regexp_extract(s["text"], ASSIGN, 2)).otherwise(s["text"]))).alias("token"))
     secret = secret.select(F.regexp_replace("token", "[.]", "").alias("token")).filter(F.length("token") >= LEAST).select(alphabet(F.col("token")).alias("alphabet"), "token")
     blank = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), ACCESS, " "), HEX, " ")
-    plain = ordinary(sample.select(F.regexp_extract_all(blank, F.lit("[A-Za-z0-9+/_=-]{3,}"), 0).alias("tokens"))).withColumn("held", F.crc32("token") % held_out == 0)
-    plain = plain.union(numbers(df.sparkSession, drawn).withColumn("held", F.lit(False)))
-    random = random_strings(df.sparkSession, drawn).union(secret).select(F.lit(1).alias("random"), "alphabet", "token")
-    tokens = random.union(plain.filter(~F.col("held")).select(F.lit(0), F.lit(0), "token")).filter(F.length("token") >= 2)
-    tokens = tokens.groupBy("random", "alphabet", "token").agg(F.count(F.lit(1)).alias("n"))
-    counts = tokens.select("random", "alphabet", F.explode(pairs(F.col("token"))).alias("pair"), "n").groupBy("random", "alphabet", "pair").agg(F.sum("n").alias("n")).collect()
+    plain = ordinary(rows.select(F.explode(F.array(F.regexp_extract_all(blank, F.lit("[A-Za-z0-9+/_=-]{3,}"), 0))).alias("tokens"))).withColumn("held", F.crc32("token") % held_out == 0)
+    made = lambda rows, random, drawn: rows.select(F.lit(random).alias("random"), F.lit(drawn).alias("drawn"), "alphabet", "token")
+    usual = lambda rows: rows.select(F.lit(0).alias("alphabet"), "token")
+    tokens = made(random_strings(df.sparkSession, drawn), 1, True).union(made(secret, 1, False)).union(made(usual(numbers(df.sparkSession, drawn)), 0, True)).union(made(usual(plain.filter(~F.col("held")).select(F.explode("parts").alias("token"))), 0, False))
+    tokens = tokens.filter(F.length("token") >= 2).groupBy("random", "drawn", "alphabet", "token").agg(F.count(F.lit(1)).alias("n"))
+    counts = tokens.select("random", "drawn", "alphabet", F.explode(pairs(F.col("token"))).alias("pair"), "n").groupBy("random", "drawn", "alphabet", "pair").agg(F.sum("n").alias("n")).collect()
     seen = {(k, a): {} for k in (0, 1) for a in range(len(ALPHABETS))}
-    for r in counts:
-        seen[r["random"], r["alphabet"]][r["pair"]] = r["n"]
-    usual = chances(seen[0, 0])
-    ratios = [[ratio(p, x, y) for p, (x, y) in enumerate(zip(chances(seen[1, a]), usual, strict=True))] for a in range(len(ALPHABETS))]
-    judged = plain.filter("held").select("token").distinct().filter(F.length("token") >= LEAST).select(Model(ratios, 0.0).ratio(F.col("token")).alias("ratio"))
-    top = judged.agg(F.percentile("ratio", F.lit(1 - false_positives)).alias("least")).first()["least"]
-    return Model(ratios, max(least_ratio, (top or 0.0) + 1e-6))
+    for r in sorted(counts, key=lambda r: not r["drawn"]):
+        own = seen[r["random"], r["alphabet"]]
+        own[r["pair"]] = own.get(r["pair"], 0) + (r["n"] if r["drawn"] else r["n"] / share)
+    usually = chances(seen[0, 0])
+    ratios = [[ratio(p, x, y) for p, (x, y) in enumerate(zip(chances(seen[1, a]), usually, strict=True))] for a in range(len(ALPHABETS))]
+    judged = plain.filter(F.col("held") & (F.length("token") >= LEAST)).select("token").distinct().select(Model(ratios, 0.0).ratio(F.col("token")).alias("ratio"))
+    return Model(ratios, threshold(judged, least_ratio, false_positives))
+
+
+def threshold(judged: DataFrame, least: float, false_positives: float) -> float:
+    """A ratio, ``least`` at least, that no more than the share ``false_positives`` of the judged tokens reach.
+
+    From ``least`` on, tokens are counted in bins, 256 for each doubling; the threshold is the end of a bin, so that few tokens fewer than might reach it do.
+    """
+    place = F.when(F.col("ratio") >= least, F.floor(F.log2(F.col("ratio") / least) * 256))
+    bins = {r["place"]: r["count"] for r in judged.groupBy(place.alias("place")).count().collect()}
+    left = math.floor(false_positives * sum(bins.values()))
+    for k in sorted((k for k in bins if k is not None), reverse=True):
+        left -= bins[k]
+        if left < 0:
+            return least * 2 ** ((k + 1) / 256) * (1 + 1e-9)
+    return least
 
 
 def ratio(pair: int, random: float, usual: float) -> float:

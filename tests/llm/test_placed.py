@@ -435,3 +435,15 @@ def test_the_drivers_steps_do_not_grow_with_the_rows():
         slot = start + at // len(slots) * frame + np.array(slots)[at % len(slots)]
         due = slot * weights[s] / total
         assert (np.diff(slot) > 0).all() and (at - due < 1).all() and (at + 1 - (slot + 1) * weights[s] / total > -1).all()
+
+
+def test_secret_models_learn_from_every_document(spark):
+    """What only the last of many documents has changes the models, and the threshold is what few ordinary tokens reach."""
+    usual = [(i, "plain words about the weather and the sea") for i in range(5000)]
+    learned = lambda last: secret_scan.learn(spark.createDataFrame([*usual, *((5000 + i, last) for i in range(3))], "k long, text string"), "k", F.col("text"))
+    assert learned("qzjx " * 4000).ratios != learned("plain words").ratios
+    judged = spark.createDataFrame([(float(i),) for i in range(1000)], "ratio double")
+    for share in (0.0, 0.01, 0.3):
+        least = secret_scan.threshold(judged, 24.0, share)
+        assert 0.99 * 1000 * share - 5 <= judged.filter(f"ratio >= {least}").count() <= 1000 * share
+    assert secret_scan.threshold(judged, 24.0, 0.99) == 24.0
