@@ -1,16 +1,15 @@
 """URL filters: association rules.
 
 A URL's tokens (words of its host, parts of its path) and its label, where it has one, form a basket.
-Spark's FP-growth mines the frequent combinations; those that imply a label with enough confidence and
-support are rules. A URL without a label counts against both labels, so a combination that is common
+Spark's FP-growth mines the frequent combinations, or, where URLs are wide, level by level what can still be a rule; those that
+imply a label with enough confidence and support are rules. A URL without a label counts against both labels, so a combination that is common
 outside the labelled part doesn't pass. Rules that a shorter one implies go, in Spark; all others stay, in a
 table keyed by each rule's rarest token: an inverted index, so that a URL is held only against rules that it may fit.
 
-FP-growth makes every subset of what is frequent, so two steps come before it. Tokens that the very same URLs have are
-twins: they are one item, and a URL has it if it has any of them, which is what a rule for each twin would say. And a URL that still has
-more than ``WIDE`` items proposes combinations of its ``WIDE`` purest ones only, and each of its items alone; where there is such a URL, all that is
-proposed is counted again over all items of all URLs, so that every rule's confidence and support are exact. That the items of a rule
-come from some URL's ``WIDE`` purest is the model's bound. Tokens that more than ``COMMON`` of the URLs have tell nothing, and are left out.
+FP-growth makes every subset of what is frequent. So tokens that the very same URLs have are twins: they are one item, and a URL
+has it if it has any of them, which is what a rule for each twin would say. And where a URL still has more than ``WIDE`` items,
+rules are mined by ``by_levels`` instead, over all items of all URLs: the result is the same, and no item or combination is left out. Tokens that
+more than ``COMMON`` of the URLs have tell nothing, and are left out.
 
 Labels are given as a table; ``labelled`` makes one from a bounded sample of pages, by listed rules and by what
 the pages say. Listed rules (host, path prefix, verdict) come first; the longest that fits wins.
@@ -22,6 +21,7 @@ names; rows that repeat get the same verdict each. An empty table gives no rows,
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 
@@ -37,7 +37,7 @@ PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 RULES = "items array<string>, label string, confidence double, support double, key string"
 #: Tokens that more than this share of the URLs have tell nothing.
 COMMON = 0.9
-#: Most items of one URL that are combined.
+#: Most items of one URL for FP-growth, which makes all subsets; wider ones are mined level by level.
 WIDE = 10
 
 
@@ -122,23 +122,14 @@ def rule_table(baskets: DataFrame, min_support: float = 0.001, min_confidence: f
     names = named(baskets, least, total)
     if not total:
         return spark.createDataFrame([], RULES), names
-    # Purest first; of equally pure ones the more frequent.
-    order = F.struct((-F.col("pure")).alias("p"), (-F.col("n")).alias("n"), F.col("item").alias("item"))
-    each = baskets.select("row", F.explode("tokens").alias("t")).join(names, "t")
-    kept = each.groupBy("row").agg(F.transform(F.array_sort(F.collect_set(order)), lambda o: o["item"]).alias("items"))
-    rows = durable(baskets.select("row", "label").join(kept, "row", "left").select("row", "label", F.coalesce("items", F.array().cast("array<string>")).alias("items")))
-    label = F.when(F.col("label").isNull(), F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("label="), F.col("label"))))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    wide = not rows.filter(F.size("items") > WIDE).isEmpty()
-    model = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / total, minConfidence=min_confidence, numPartitions=parts).fit(rows.select(F.concat(F.slice("items", 1, WIDE), label).alias("items")))
+    rows = durable(baskets.select("row", "label").join(items_of(baskets, names), "row", "left").select("row", "label", F.coalesce("items", F.array().cast("array<string>")).alias("items")))
     singles = names.select("item", "n").distinct()
-    if wide:
-        marked = lambda yes: F.filter("items", lambda t: t.startswith("label=") if yes else ~t.startswith("label="))
-        found = model.freqItemsets.select(F.array_sort(marked(False)).alias("items"), F.substring(F.get(marked(True), F.lit(0)), 7, 99).alias("label")).filter("size(items) > 0 and label is not null")
-        alone = singles.select(F.array("item").alias("items"), F.explode(F.array(F.lit("allow"), F.lit("block"))).alias("label"))
-        found = recounted(rows, keyed(found.union(alone).distinct(), singles), total)
-        found = found.filter((F.col("confidence") >= min_confidence) & (F.round(F.col("support") * total) >= least))
+    if not rows.filter(F.size("items") > WIDE).isEmpty():
+        found = by_levels(rows, least, total, min_confidence)
     else:
+        label = F.when(F.col("label").isNull(), F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("label="), F.col("label"))))
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        model = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / total, minConfidence=min_confidence, numPartitions=parts).fit(rows.select(F.concat("items", label).alias("items")))
         right = F.get("consequent", F.lit(0))
         found = model.associationRules.filter(right.startswith("label=")).select(F.array_sort("antecedent").alias("items"), F.substring(right, 7, 99).alias("label"), "confidence", "support")
     rules = unimplied(durable(found))
@@ -152,13 +143,33 @@ def keyed(rules: DataFrame, singles: DataFrame) -> DataFrame:
     return rules.join(rare, ["items", "label"])
 
 
-def recounted(rows: DataFrame, proposed: DataFrame, total: int) -> DataFrame:
-    """The proposed (items, label, key) with their exact confidence and support over (row, label, items)."""
-    own = rows.select(F.col("label").alias("own_label"), F.col("items").alias("own_items"), F.explode("items").alias("key"))
-    fits = own.join(proposed.select("items", "key").distinct(), "key").filter(F.size(F.array_except("items", "own_items")) == 0)
-    counts = fits.groupBy("items").agg(F.count(F.lit(1)).alias("n"), *(F.count_if(F.coalesce(F.col("own_label") == x, F.lit(False))).alias(f"n_{x}") for x in ("allow", "block")))
-    both = F.when(F.col("label") == "allow", F.col("n_allow")).otherwise(F.col("n_block"))
-    return proposed.join(counts, "items").select("items", "label", (both / F.col("n")).alias("confidence"), (both / total).alias("support"))
+def by_levels(rows: DataFrame, least: int, total: int, min_confidence: float) -> DataFrame:
+    """(items, label, confidence, support) of every rule over (row, label, items), but for some that a shorter one implies.
+
+    Sets of k + 1 items are put together, in the rows that have them, from sets of k that are open for a label. A set is open if ``least`` rows with the
+    label have it, and if each of its items keeps out rows without the label. If one keeps out none, the set without it has as few such
+    rows and as many with the label, so it is no less sure; the same holds whatever is added to both. So no longer set is missed that a shorter one doesn't imply.
+    """
+    has = rows.select("row", F.col("label").alias("own_label"), F.explode(F.transform("items", lambda t: F.array(t))).alias("items"))
+    of = lambda label: F.struct(F.lit(label).alias("label"), F.count_if(F.coalesce(F.col("own_label") == label, F.lit(False))).alias("own"))
+    found, before, size = [], None, 1
+    while True:
+        has = durable(has)
+        counts = has.groupBy("items").agg(F.count(F.lit(1)).alias("n"), F.array(of("allow"), of("block")).alias("by_label"))
+        sets = counts.select("items", "n", F.inline("by_label")).filter(F.col("own") >= least).withColumn("wrong", F.col("n") - F.col("own"))
+        if before is not None:
+            part = sets.select("items", "label", "wrong", F.explode(F.transform("items", lambda t: F.array_remove("items", t))).alias("part"))
+            part = part.join(before.select(F.col("items").alias("part"), "label", F.col("wrong").alias("part_wrong")), ["part", "label"]).filter("part_wrong > wrong")
+            sets = sets.join(part.groupBy("items", "label").count().filter(F.col("count") == size).drop("count"), ["items", "label"], "left_semi")
+        sets = durable(sets)
+        found.append(sets.select("items", "label", (F.col("own") / F.col("n")).alias("confidence"), (F.col("own") / total).alias("support")).filter(F.col("confidence") >= min_confidence))
+        before = sets.filter("wrong > 0")
+        if before.isEmpty():
+            return functools.reduce(DataFrame.unionByName, found)
+        open_ = has.join(before.select("items").distinct(), "items", "left_semi").select("row", "own_label", F.slice("items", 1, size - 1).alias("head"), F.element_at("items", -1).alias("last"))
+        more = open_.select("row", "head", F.col("last").alias("next"))
+        has = open_.join(more, ["row", "head"]).filter("last < next").select("row", "own_label", F.concat("head", F.array("last", "next")).alias("items"))
+        size += 1
 
 
 def unimplied(rules: DataFrame) -> DataFrame:

@@ -349,6 +349,25 @@ def test_wide_urls_are_counted_exactly(spark, monkeypatch):
     assert found and {k for k in every if len(k[0]) == 1} <= set(found)
 
 
+def test_wide_urls_lose_no_rule(spark, monkeypatch):
+    """Two items that are a rule only together, in URLs of fourteen items whose others are purer; and all rules are those of brute force."""
+    rng = np.random.default_rng(8)
+    pure = [([f"s{k}"], "block") for k in range(12) for _ in range(5)]
+    rows = pure + [(["a", "b", *(f"s{k}" for k in range(12) if k != j % 12)], "block") for j in range(12)] + [(["a"], None)] * 80 + [(["b"], None)] * 80 + [([f"s{k}"], None) for k in range(12)]
+    df = spark.createDataFrame(rows, "tokens array<string>, label string")
+    assert url_rules.WIDE < 13
+    rules = {(tuple(r["items"]), r["label"]): r["confidence"] for r in url_rules.mine(df, 0.04, 0.97)}
+    assert rules[("a", "b"), "block"] == 1.0
+    assert rules == {p: round(c[0], 9) for p, c in brute_mine([(frozenset(ts), label) for ts, label in rows], 0.04, 0.97).items()}
+    monkeypatch.setattr(url_rules, "WIDE", 3)
+    for confidence in (0.5, 0.9):
+        baskets = [(frozenset(f"t{i}" for i in range(9) if rng.random() < 0.5), ["allow", "block", None][rng.integers(3)]) for _ in range(150)]
+        baskets = [(b, "block") if {"t1", "t4", "t7"} <= b else (b, label) for b, label in baskets]
+        df = spark.createDataFrame([(sorted(b), label) for b, label in baskets], "tokens array<string>, label string")
+        found = {(tuple(r["items"]), r["label"]): (r["confidence"], r["support"]) for r in url_rules.mine(df, 0.03, confidence)}
+        assert found == {p: (round(c, 9), round(n, 9)) for p, (c, n) in brute_mine(baskets, 0.03, confidence).items()} and max(len(p) for p, _ in found) > 2
+
+
 def test_many_languages_keep_few_tables(monkeypatch):
     """Two hundred languages of words of their own: sums don't depend on how many tables are kept, and what is sent grows with the trees."""
     import pickle
