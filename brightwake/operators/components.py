@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _kept(df: DataFrame) -> DataFrame:
+def kept(df: DataFrame) -> DataFrame:
     """``df`` checkpointed in the folder that the session names; a folder of this machine only in local mode."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
@@ -43,11 +43,11 @@ def components(edges: DataFrame) -> DataFrame:
     joined by key, not gathered.
     """
     pairs = edges.dropna(subset=["a", "b"]).filter("a <> b")
-    stars = _kept(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    stars = kept(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     while True:
         ends = stars.select(F.col("a").alias("n"), F.lit(1).alias("child"), F.lit(0).alias("root")).unionByName(stars.select(F.col("b").alias("n"), F.lit(0).alias("child"), F.lit(1).alias("root")))
         open_ = ends.groupBy("n").agg(F.sum("child").alias("child"), F.max("root").alias("root")).filter("child > 1 or child = 1 and root = 1")
         if open_.isEmpty():
             break
-        stars = _kept(_small_star(_large_star(stars)))
+        stars = kept(_small_star(_large_star(stars)))
     return stars.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(stars.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

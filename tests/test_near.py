@@ -126,3 +126,35 @@ def test_overtaken_is_what_passings_finds(spark):
     assert got and got == plain(near.passings(near.encounters(places, 0.5, ["step"]), "1 hour"))
     ahead, here = near.sent_ahead(places, 0.5, ["step"])
     assert ahead.count() < 10 * here.count()  # of 14 cells ahead
+
+
+@pytest.mark.parametrize("few", [64, 0])
+def test_crowds_are_joined_without_all_their_pairs(spark, monkeypatch, few):
+    """Two crowds a hair beyond the radius, then two of which only one place of each is near the other; the same when all parts are halved to the end."""
+    monkeypatch.setattr(near, "FEW", few)
+    rows = []
+    for hour, gap in ((0, 0.5003), (1, 0.4999)):
+        step, dice = T0 + dt.timedelta(hours=hour), random.Random(hour)
+        for name, sign in (("w", -1), ("e", 1)):
+            rows += [(step, f"{name}{i:03}", 41 + dice.uniform(-1, 1) * 0.0008, -73 + sign * (0.26 + dice.random() * 0.1) / 60 / math.cos(math.radians(41)), 0.0, 0.0, 0.0) for i in range(120)]
+            rows.append((step, f"{name}tip", 41.0, -73 + sign * gap / 2 * 60 / 3440.065 / 60 * 180 / math.pi / math.cos(math.radians(41)), 0.0, 0.0, 0.0))
+        rows += scattered((41.05, -73.0), 0.03, 40, 7, step)
+    places = spark.createDataFrame(rows, PLACE)
+    got = {(r.step, r.vessel): (r.cluster, r.size) for r in near.clusters(places, 0.5, ["step"]).collect()}
+    assert got == grouped(rows, 0.5) and got[T0, "wtip"] != got[T0, "etip"] and got[T0 + dt.timedelta(hours=1), "wtip"] == got[T0 + dt.timedelta(hours=1), "etip"]
+
+
+def test_crowds_of_different_places_take_no_time_of_pairs(spark):
+    """Four times 30,000 places, no two on one spot: a step whose crowds are linked, and one where each place is a little too far from all of the other crowd."""
+    import time
+
+    degree = 180 / math.pi / 3440.065
+    east = F.col("id") % 2 * 2 - 1
+    gap = F.when(F.col("id") % 4 < 2, 0.4).otherwise(0.53)
+    rows = spark.range(120_000).select(
+        F.when(F.col("id") % 4 < 2, F.lit(T0)).otherwise(F.lit(T0 + dt.timedelta(hours=1))).alias("step"), F.format_string("%06d", "id").alias("vessel"), (F.rand(1) * 0.02 * degree).alias("latitude"), (east * (gap / 2 + F.rand(2) * 0.02 - 0.01) * degree).alias("longitude")
+    )
+    began = time.perf_counter()
+    found = near.clusters(rows, 0.5, ["step"]).groupBy("step", "cluster", "size").count().collect()
+    assert time.perf_counter() - began < 60
+    assert sorted((r.step, r.cluster, r.size, r["count"]) for r in found) == [(T0, "000000", 60_000, 60_000), *((T0 + dt.timedelta(hours=1), v, 30_000, 30_000) for v in ("000002", "000003"))]
