@@ -94,6 +94,27 @@ def test_encounters_shuffle_few_copies_and_broadcast_none(spark):
     assert found.count() == 2 * near.pairs(places, 0.5, ["step"]).count() > 0
 
 
+def test_encounters_come_in_runs_of_equal_figures(spark):
+    """Rows of a vessel, and equal figures of vessels on one spot, follow one another, so files of many encounters stay small."""
+    spots = [(41.0, -73.0), (41.003, -73.0), (41.0, -73.004)]
+    rows = [(T0, f"{k:03}", *spots[k % 3], 6.0, 90.0, 0.0) for k in range(150)]
+    found = near.encounters(spark.createDataFrame(rows, PLACE).repartition(3), 0.5, ["step"]).collect()
+    runs = lambda *names: sum(1 for a, b in zip([None, *found], found) if a is None or any(a[n] != b[n] for n in names))
+    assert len(found) == 150 * 149 and runs("vessel") == 150 and runs("vessel", "miles", "along_nm", "closing_kts") <= 150 * 5
+
+
+@pytest.mark.parametrize("together", [64, 2])
+@pytest.mark.parametrize("centre", [(41.0, -73.0), (0.0, 180.0), (89.97, 10.0), (-60.0, -179.99)])
+def test_encounters_like_brute_force(spark, monkeypatch, centre, together):
+    monkeypatch.setattr(near, "TOGETHER", together)
+    rows = scattered(centre, 0.06, 60, 1) + scattered(centre, 0.01, 30, 2, T0 + dt.timedelta(hours=1))
+    rows += [(step, f"{v}'", lat, lon, None, 90.0, 1.0) for step, v, lat, lon, *_ in rows[:5]]
+    found = near.encounters(spark.createDataFrame(rows, PLACE), 0.6, ["step"]).collect()
+    want = {(a[0], a[1], b[1]): miles(a, b) for a in rows for b in rows if a[0] == b[0] and a[1] != b[1] and miles(a, b) <= 0.6}
+    assert len(found) == len(want) and {(r.step, r.vessel, r.other): r.miles for r in found} == pytest.approx(want, abs=1e-9)
+    assert {r.closing_kts is None for r in found if r.vessel.endswith("'") or r.other.endswith("'")} == {True} and all(r.along_nm is not None and abs(r.along_nm) <= r.miles + 1e-12 for r in found)
+
+
 def test_components_of_a_long_path_a_hub_and_repeats(spark):
     path = [(i, i + 1) for i in range(700)]
     random.Random(3).shuffle(path)

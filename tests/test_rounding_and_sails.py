@@ -27,6 +27,15 @@ def test_rounding_decides_on_the_double_itself(spark, digits):
         units.to_fixed(F.lit(1.0), 7)
 
 
+def test_rounded_is_what_round_gives(spark):
+    dice = random.Random(6)
+    values = [0.0, -0.0, -1e-9, 4.9999999e-7, 5e-7, -5e-7, 1.0000005, 2.0000015, -0.1234565, 999.9999995, 1000.0000005, 123456789.1234565, 1e15 + 0.3, 1e300, float("inf"), float("-inf"), float("nan"), None]
+    values += [dice.randint(-(10**9), 10**9) / 1e6 + 5e-7 for _ in range(3000)] + [dice.uniform(-1200, 1200) for _ in range(3000)]
+    same = F.col("a").cast("string").eqNullSafe(F.col("b").cast("string"))  # as text, so that -0.0 is not 0.0
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", units.rounded(F.col("v"), 6).alias("a"), F.round("v", 6).alias("b"))
+    assert rows.filter(~same).collect() == []
+
+
 def test_units_as_metadata(spark):
     df = units.with_units(spark.createDataFrame([(1.0, 2.0, 3.0)], "boat_speed double, Heel double, other double"), {"speed": "knots", "heel": "degree"})
     assert [df.schema[c].metadata.get("unit") for c in df.columns] == ["knots", "degree", None] and df.collect() == [(1.0, 2.0, 3.0)]
